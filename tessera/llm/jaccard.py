@@ -9,7 +9,8 @@ first, linked sets share one of their first n - ceil(n*num/den) + 1 shingles (th
 3. Group pairs that share a prefix shingle and have fitting sizes. First each group is only held against the least group
    of the shingle and size range, and each member against its group's least: a row for each, however large the group.
    Members that are linked by then need no further test. Then what still lies in different components is paired in full.
-4. Verification on whole sets, computed again for the documents concerned (a fixed-size filter of their ids goes to the
+   A shingle of one group alone can't be common, so the places before a shared one that such shingles hold count as lost.
+4. Pairs whose prefixes don't agree enough go; the rest is verified on whole sets, computed again for the documents concerned (a fixed-size filter of their ids goes to the
    scan; an exact join follows). Links make components.
 
 No cap anywhere: counters, filter and first round only save work. Sets hold 64-bit hashes of shingles of 64-bit hashes of
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import attach, bytes_of, components, mix, signed, slices, small_batches, words_of, written
@@ -121,6 +122,16 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long, p long, prefix array<long>"), "prefixes")
 
 
+def promising(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose prefixes (heads: id, n, prefix) agree enough. Up to the prefix that ends first in the common
+    order, common shingles lie in both prefixes; beyond, there are at most the shingles that this set has left."""
+    x, y = (heads.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
+    left = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= need - left).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets reach the similarity."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
@@ -166,37 +177,46 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sets = d.where("n > 0 and id is not null")
     classes = written(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("cnt")), "classes")
     narrow = d.select("id", "n", "s1", "s2")
-    reps = sets.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    groups = written(sets.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").groupBy("n", "p").agg(F.min("id").alias("gid"), F.countDistinct("id").alias("cnt")), "groups")
+    reps = written(sets.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
+    groups = written(reps.groupBy("n", "p").agg(F.min("id").alias("gid"), F.countDistinct("id").alias("cnt")), "groups")
     members = written(attach(reps.select(F.col("id").alias("cls"), "n", "p"), groups, ["n", "p"], "cnt", F.col("cls")).select("cls", "n", "gid"), "members")
 
     posts = reps.join(groups.select(F.col("gid").alias("id")), "id", "left_semi").select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
     # sizes that may link lie in the same or in neighbouring ranges
     span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    shared = posts.withColumn("m", F.count(F.lit(1)).over(_over("tok"))).where("m > 1")
-    shared = written(shared.select("gid", "n", "pos", "tok", span.alias("span")), "postings")
-    firsts = shared.groupBy("tok", "span").agg(F.min(F.struct("gid", "n")).alias("f"))
-    near = shared.select("gid", "n", "tok", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(firsts, ["tok", "span"])
+    shared = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("m > 1")
+    # rank: how many shared shingles stand before this one; the others before it are nobody else's, so they can't be common
+    shared = shared.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1)
+    shared = shared.where(F.col("rank") + F.col("n") - F.col("pos") >= F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)))
+    shared = written(shared.select("gid", "n", "pos", "rank", "tok", span.alias("span")), "postings")
     fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
-    first = near.where((F.col("gid") != F.col("f.gid")) & fits(F.col("n"), F.col("f.n"))).select(F.least("gid", "f.gid").alias("a"), F.greatest("gid", "f.gid").alias("b"))
+
+    def enough(a: str, b: str) -> Column:
+        """Whether sets that share a shingle at these places of theirs may have enough in common."""
+        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+        most = F.least(f"{a}rank", f"{b}rank") + F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
+        return fits(na, nb) & (most >= F.ceil((na + nb) * F.lit(num) / F.lit(num + den) - F.lit(1e-9)))
+
+    firsts = shared.groupBy("tok", "span").agg(F.min(F.struct("gid", "n", "pos", "rank")).alias("f"))
+    near = shared.select("gid", F.struct("n", "pos", "rank").alias("o"), "tok", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(firsts, ["tok", "span"])
+    first = near.where((F.col("gid") != F.col("f.gid")) & enough("o.", "f.")).select(F.least("gid", "f.gid").alias("a"), F.greatest("gid", "f.gid").alias("b"))
     first = written(first.union(members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))).distinct(), "pairs")
-    links = verified(first, docs, k, num, den, id_col, text_col)
+    heads = reps.select("id", "n", "prefix")
+    links = verified(promising(first, heads, num, den), docs, k, num, den, id_col, text_col)
     comp = components(links)
 
     # what the first round has not joined
-    of = members.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("cls", "n", "gid", F.coalesce("comp", "cls").alias("comp"))
+    of = members.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("cls", "gid", F.coalesce("comp", "cls").alias("comp"))
     spread = of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     tokens = shared.join(spread, "gid").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("tok")
-    inside = spread.where("lo < hi").select("gid")
-    open_ = written(shared.join(tokens, "tok", "left_semi").join(of.select("gid", "cls", "comp"), "gid").select("tok", "gid", "cls", "comp", "n", "pos", "span"), "open")
-    left = open_.select("tok", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.explode(F.array(F.col("span") - 1, "span", F.col("span") + 1)).alias("span"))
-    right = open_.select("tok", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("ib"), "span")
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
-    most = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    rest = left.join(right, ["tok", "span"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & (most >= need)).select("a", "b")
-    one = of.join(inside, "gid", "left_semi").select("gid", "cls", "comp")
-    same = one.select("gid", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(one.select("gid", F.col("cls").alias("b"), F.col("comp").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
-    rest = written(rest.union(same).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    open_ = written(shared.join(tokens, "tok", "left_semi").join(of, "gid").select("tok", "span", F.struct("cls", "comp", "n", "pos", "rank").alias("o")), "open")
+    left = open_.select("tok", F.col("o").alias("x"), F.explode(F.array(F.col("span") - 1, "span", F.col("span") + 1)).alias("span"))
+    right = open_.select("tok", F.col("o").alias("y"), "span")
+    rest = left.join(right, (left["tok"] == right["tok"]) & (left["span"] == right["span"]) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & enough("x.", "y."))
+    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    inside = of.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").select("gid", "cls", "comp")
+    same = inside.select("gid", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(inside.select("gid", F.col("cls").alias("b"), F.col("comp").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
+    rest = written(promising(written(rest.union(same).distinct(), "pairs").join(first, ["a", "b"], "left_anti"), heads, num, den), "pairs")
     if rest.limit(1).count():
         comp = components(links.union(verified(rest, docs, k, num, den, id_col, text_col)))
     final = classes.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("n", "s1", "s2", "cnt", "cls", F.coalesce("comp", "cls").alias("comp"))
@@ -204,12 +224,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("cls", "id")).otherwise(F.col("id")).alias("class_id"))
 
 
-def _over(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Documents whose id is their component's least; rows with a null id or no words stay. All columns as they were."""
     got = jaccard_components(docs, k, num, den)
