@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 32 bits) and the text that the ids decode to."""
     path = tokenizer_path()
-    return bpe.decode(bpe.encode(docs, path), path).selectExpr("doc_id", "cast(octet_length(ids) / 4 as bigint) as n_tokens", "ids", "text")
+    return bpe.encode(docs, path, decoded=True).selectExpr("doc_id", "cast(octet_length(ids) / 4 as bigint) as n_tokens", "ids", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -60,7 +60,7 @@ def token_bytes(path: str) -> tuple[list[bytes], dict[int, str]]:
 class ChunkEncoder:
     """Encodes whole texts; chunks, pre-tokens and joins seen before are taken from bounded memories."""
 
-    def __init__(self, path: str, chunk_bits: int = 9, most: int = 300_000):
+    def __init__(self, path: str, chunk_bits: int = 9, most: int = 120_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -79,7 +79,7 @@ class ChunkEncoder:
         self.chunks: dict[bytes, tuple[str, bytes, str] | str] = {}
         self.most, self.bits = most, chunk_bits
         self.gear = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.held = 0
 
     def exact(self, text: str) -> bytes:
         """Ids (little-endian, 32 bits) of a text that starts and ends at settled points."""
@@ -121,8 +121,10 @@ class ChunkEncoder:
         else:
             b = self.last.match(text).end()
             got = (text[: a.end()], self.exact(text[a.end() : b]), text[b:])
-        if len(self.chunks) > self.most // 10:
+        self.held += len(raw)
+        if self.held > 64 * self.most:
             self.chunks.clear()
+            self.held = len(raw)
         self.chunks[raw] = got
         return got
 
@@ -159,46 +161,55 @@ def _held(path: str) -> ChunkEncoder:
     return keep[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids binary): ids as little-endian unsigned 32-bit integers, as the tokenizers library has them without added special tokens."""
+class Decoder:
+    """Bytes of all tokens, special ones too, one after another; broken UTF-8 becomes U+FFFD."""
+
+    def __init__(self, path: str):
+        table, _ = token_bytes(path)
+        self.size = np.array([len(x) for x in table] + [0], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def text(self, ids: bytes | None) -> str:
+        t = np.minimum(np.frombuffer(ids or b"", "<u4").astype(np.int64), len(self.size) - 1)
+        n = self.size[t]
+        ends = np.cumsum(n)
+        where = np.repeat(self.at[t] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[where].tobytes().decode("utf-8", errors="replace")
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, ids binary): ids as little-endian unsigned 32-bit integers, as the tokenizers library has them without added
+    special tokens. With ``decoded`` also text, which the ids decode to, by the same process."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _held(tokenizer)
+        e, d = _held(tokenizer), Decoder(tokenizer) if decoded else None
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(e.encode_all(b.column(1)), pa.binary())], names=[id_col, "ids"])
+            for i in range(0, b.num_rows, 200):
+                ids = e.encode_all(b.column(1).slice(i, 200))
+                cols = [b.column(0).slice(i, 200), pa.array(ids, pa.binary())]
+                yield pa.record_batch([*cols, pa.array(map(d.text, ids), pa.string())], names=[id_col, "ids", "text"]) if d else pa.record_batch(cols, names=[id_col, "ids"])
 
     near = F.array_min(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.xxhash64(x)))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = docs.select(id_col, text_col, near.alias("near__")).repartitionByRange(n, "near__", id_col)
-    return dealt.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, ids binary")
+    return dealt.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, ids binary" + ", text string" * decoded)
 
 
 def decode(ids: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, ids, text): bytes of all tokens, special ones too, one after another; broken UTF-8 becomes U+FFFD."""
+    """(id_col, ids, text) of a table (id_col, ids)."""
     small_batches(ids.sparkSession, 1000)
     kind = ids.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, _ = token_bytes(tokenizer)
-        size = np.array([len(x) for x in table] + [0], np.int64)
-        at = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat = np.frombuffer(b"".join(table), np.uint8)
-
-        def text(x: bytes | None) -> str:
-            t = np.minimum(np.frombuffer(x or b"", "<u4").astype(np.int64), len(table))
-            n = size[t]
-            ends = np.cumsum(n)
-            where = np.repeat(at[t] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            return flat[where].tobytes().decode("utf-8", errors="replace")
-
+        d = Decoder(tokenizer)
         for b in batches:
-            x = b.column(1)
-            for i in range(0, len(x), 200):
-                part = x.slice(i, 200)
-                yield pa.record_batch([b.column(0).slice(i, 200), part, pa.array([text(v) for v in part.to_pylist()], pa.string())], names=[id_col, "ids", "text"])
+            for i in range(0, b.num_rows, 200):
+                part = b.column(1).slice(i, 200)
+                yield pa.record_batch([b.column(0).slice(i, 200), part, pa.array(map(d.text, part.to_pylist()), pa.string())], names=[id_col, "ids", "text"])
 
     return ids.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind.simpleString()}, ids binary, text string")
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.llm.common import SPACE, attach, bytes_of, mix, powers, signed, slices, small_batches, written
 
@@ -113,7 +114,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     return later.groupBy("rid", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(text, lines):  # noqa: ANN001
     """Texts without the numbered lines; null where there is nothing to do."""
     import pandas as pd
