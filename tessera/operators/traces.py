@@ -6,19 +6,27 @@ partitions by conv_id alone, so one shuffle serves a chain of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 
-CONV = Window.partitionBy("conv_id").orderBy("turn")
-BEFORE = CONV.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE = Window.partitionBy("conv_id")
+
+def conv() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def before() -> WindowSpec:
+    return conv().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("conv_id")
 
 
 def placed(m: DataFrame) -> DataFrame:
     """pos: a message's place in its conversation, from 0."""
-    return m.withColumn("pos", F.row_number().over(CONV) - 1)
+    return m.withColumn("pos", F.row_number().over(conv()) - 1)
 
 
 def render(role: Column, text: Column, tool: Column) -> Column:
@@ -57,7 +65,7 @@ def call_ids(m: DataFrame) -> DataFrame:
 def context(m: DataFrame, last: int) -> DataFrame:
     """(conv_id, turn, c_turn): for each assistant turn the earlier messages that go with it: all of the system's, the
     first of a user, the last ``last`` of any role, and what stands before a tool's message among those."""
-    p = placed(m).withColumns({"next_role": F.lead("role").over(CONV), "first_user": F.min(F.when(F.col("role") == "user", F.col("turn"))).over(WHOLE)})
+    p = placed(m).withColumns({"next_role": F.lead("role").over(conv()), "first_user": F.min(F.when(F.col("role") == "user", F.col("turn"))).over(whole())})
     t = p.where("role = 'assistant'").select("conv_id", F.col("turn").alias("turn"), F.col("pos").alias("t_pos"))
     c = p.select("conv_id", F.col("turn").alias("c_turn"), F.col("pos").alias("c_pos"), "role", "next_role", "first_user")
     near = F.col("t_pos") - F.col("c_pos")
@@ -90,11 +98,11 @@ def keep_samples(s: DataFrame, text: str, order: list[str], least: int, most: in
 def transitions(m: DataFrame) -> DataFrame:
     """A row for each assistant turn: what was seen before it, the tool call or answer, the call's result
     (the last message of that call id before the id is used again), whether it is the last."""
-    p = m.withColumns({"observation": F.lag("text").over(CONV), "is_call": (F.col("role") == "assistant") & F.col("call_id").isNotNull()})
+    p = m.withColumns({"observation": F.lag("text").over(conv()), "is_call": (F.col("role") == "assistant") & F.col("call_id").isNotNull()})
     by_id = Window.partitionBy("conv_id", "call_id").orderBy("turn")
     p = p.withColumn("use", F.when(F.col("call_id").isNotNull(), F.sum(F.col("is_call").cast("int")).over(by_id)))
     res = p.where("role = 'tool' and use > 0").groupBy("conv_id", "call_id", "use").agg(F.max_by("text", "turn").alias("tool_result"))
-    a = p.where("role = 'assistant'").withColumn("done", F.lead("turn").over(CONV).isNull())
+    a = p.where("role = 'assistant'").withColumn("done", F.lead("turn").over(conv()).isNull())
     out = a.join(res, ["conv_id", "call_id", "use"], "left")
     return out.select("conv_id", "turn", "observation", F.coalesce("tool_name", F.lit("respond")).alias("action"), X.text(F.col("text")).alias("action_text"), "tool_result", "done")
 
@@ -102,7 +110,7 @@ def transitions(m: DataFrame) -> DataFrame:
 def result_of(m: DataFrame) -> DataFrame:
     """(conv_id, turn, result_turn): a call's result is the first tool message of that name after it, before the next
     assistant, with the same id where both have one."""
-    p = placed(m).withColumn("stop", F.first(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(CONV.rowsBetween(1, Window.unboundedFollowing)))
+    p = placed(m).withColumn("stop", F.first(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(conv().rowsBetween(1, Window.unboundedFollowing)))
     a = p.where("role = 'assistant' and tool_name is not null").select("conv_id", "turn", "tool_name", "call_id", "stop")
     t = p.where("role = 'tool'").select("conv_id", F.col("turn").alias("r_turn"), "tool_name", F.col("call_id").alias("r_id"))
     fits = (F.col("r_turn") > F.col("turn")) & (F.col("stop").isNull() | (F.col("r_turn") < F.col("stop"))) & (F.col("call_id").isNull() | F.col("r_id").isNull() | (F.col("call_id") == F.col("r_id")))
@@ -114,10 +122,10 @@ def segments(m: DataFrame, anchors: list[str], terminals: list[str], within: int
     """(conv_id, turn, previous_tool, terminal_turn, terminal_tool, end_pos): from a call of an anchor tool to the
     next call of a terminal one within so many messages, with that call's result if it follows, at most ``most`` messages."""
     call = F.when(F.col("role") == "assistant", F.col("tool_name"))
-    ahead = CONV.rowsBetween(1, within - 1)
-    end = F.when(call.isin(terminals), F.struct(F.col("turn").alias("turn"), F.col("pos").alias("pos"), call.alias("tool"), F.coalesce(F.lead("role").over(CONV) == "tool", F.lit(False)).alias("result")))
+    ahead = conv().rowsBetween(1, within - 1)
+    end = F.when(call.isin(terminals), F.struct(F.col("turn").alias("turn"), F.col("pos").alias("pos"), call.alias("tool"), F.coalesce(F.lead("role").over(conv()) == "tool", F.lit(False)).alias("result")))
     p = placed(m).withColumn("end__", end)
-    p = p.withColumns({"term__": F.first("end__", ignorenulls=True).over(ahead), "previous_tool": F.last(call, ignorenulls=True).over(BEFORE)})
+    p = p.withColumns({"term__": F.first("end__", ignorenulls=True).over(ahead), "previous_tool": F.last(call, ignorenulls=True).over(before())})
     out = p.where(call.isin(anchors) & F.col("term__").isNotNull())
     stop = F.least(F.col("term__.pos") + 1 + F.col("term__.result").cast("int"), F.col("pos") + most)
     return out.select("conv_id", "turn", "previous_tool", F.col("term__.turn").alias("terminal_turn"), F.col("term__.tool").alias("terminal_tool"), stop.cast("int").alias("end_pos"))
@@ -126,7 +134,7 @@ def segments(m: DataFrame, anchors: list[str], terminals: list[str], within: int
 def workflow_weight(m: DataFrame, lookback: int) -> DataFrame:
     """(conv_id, turn, seen, weight): tools used shortly before a call, and a weight by how many."""
     call = F.when(F.col("role") == "assistant", F.col("tool_name"))
-    p = m.withColumn("seen", F.size(F.collect_set(call).over(CONV.rowsBetween(-lookback, -1))))
+    p = m.withColumn("seen", F.size(F.collect_set(call).over(conv().rowsBetween(-lookback, -1))))
     return p.where(call.isNotNull()).select("conv_id", "turn", "seen", F.when(F.col("seen") >= 3, 3).when(F.col("seen") >= 1, 2).otherwise(1).alias("weight"))
 
 
@@ -139,7 +147,7 @@ def recent_pairs(m: DataFrame, tools: list[str], most: int = 2) -> DataFrame:
 
 def grouped(m: DataFrame) -> DataFrame:
     """Grp: a message and the tools' messages that follow it, from 1."""
-    return m.withColumn("grp", F.sum((F.col("role") != "tool").cast("int")).over(CONV))
+    return m.withColumn("grp", F.sum((F.col("role") != "tool").cast("int")).over(conv()))
 
 
 def keep_last(m: DataFrame, most: int) -> DataFrame:
@@ -163,7 +171,7 @@ def keep_budget(m: DataFrame, tokens: int) -> DataFrame:
 
 def parts(m: DataFrame, head: int, tail: int) -> DataFrame:
     """Part: head, middle or tail, by groups."""
-    g = grouped(m).withColumn("last", F.max("grp").over(WHOLE))
+    g = grouped(m).withColumn("last", F.max("grp").over(whole()))
     return g.withColumn("part", F.when(F.col("grp") <= head, "head").when(F.col("grp") > F.col("last") - tail, "tail").otherwise("middle")).drop("last")
 
 
@@ -176,13 +184,13 @@ def history(m: DataFrame, last: int = 20, answers: int = 2) -> DataFrame:
 
 def until(m: DataFrame, stop: Column) -> DataFrame:
     """A conversation up to and with the first message that fulfils the condition."""
-    return m.withColumn("hit__", F.coalesce(F.sum(F.coalesce(stop, F.lit(False)).cast("int")).over(BEFORE), F.lit(0))).where("hit__ = 0").drop("hit__")
+    return m.withColumn("hit__", F.coalesce(F.sum(F.coalesce(stop, F.lit(False)).cast("int")).over(before()), F.lit(0))).where("hit__ = 0").drop("hit__")
 
 
 def counters(m: DataFrame) -> DataFrame:
     """A1: (key, n): statistics by key, one aggregation for all families."""
     call = F.when((F.col("role") == "assistant") & F.col("tool_name").isNotNull(), F.concat(F.lit("tool_call:"), F.col("tool_name")))
-    prev = F.last(F.when(F.col("role") == "assistant", F.col("tool_name")), ignorenulls=True).over(BEFORE)
+    prev = F.last(F.when(F.col("role") == "assistant", F.col("tool_name")), ignorenulls=True).over(before())
     step = F.when(call.isNotNull() & prev.isNotNull(), F.concat(F.lit("workflow_transition:"), prev, F.lit("->"), F.col("tool_name")))
     keys = F.filter(F.array(F.concat(F.lit("role:"), F.col("role")), call, step), lambda k: k.isNotNull())
     return m.withColumn("keys__", keys).select(F.explode("keys__").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))

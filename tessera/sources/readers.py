@@ -62,8 +62,11 @@ def json_any(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, value): records of JSON files that hold an array, {data|tasks|items: [...]}, one object or lines."""
     w = _files(spark.read.text(path, wholetext=True)).withColumn("v", F.try_parse_json("value"))
     inner = F.coalesce(*[F.expr(f"try_variant_get(v, '$.{k}', 'array<variant>')") for k in ("data", "tasks", "items")], F.expr("try_variant_get(v, '$', 'array<variant>')"), F.when(F.col("v").isNotNull(), F.array("v")))
-    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != ""), lambda s: F.parse_json(s))
-    return w.select("file", F.posexplode(F.coalesce(inner, lines)).alias("pos", "r")).select("file", "pos", F.to_json("r").alias("value"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
+    # a parser may stop after the first of several values, so lines that are values each count as lines
+    several = (F.size(lines) > 1) & F.forall(lines, lambda s: F.try_parse_json(s).isNotNull())
+    records = F.when(several | inner.isNull(), F.transform(lines, lambda s: F.parse_json(s))).otherwise(inner)
+    return w.select("file", F.posexplode(records).alias("pos", "r")).select("file", "pos", F.to_json("r").alias("value"))
 
 
 def traces(spark: SparkSession, planner: str, actor: str, schema: str) -> DataFrame:
