@@ -1,15 +1,16 @@
 """Line dedup: repeated runs of lines, found by prefix doubling over line names; later copies go.
 
 A document is a sequence of its lines that hold words; a line's name is a 128-bit hash of the line without white space at
-its ends. Prefix doubling names the blocks of 2, 4, 8, ... lines that start at each line from the names of their halves, so
-that equal names at level k are the suffixes of one interval of the suffix array whose common prefix has 2**k lines or
-more. Names take the place of dense ranks: an interval needs equality only, and grouping by name is the sort that shuffles
-least. In each interval the first place, by document id and line, stays, and the block of every later place is deleted.
+its ends. Prefix doubling names the blocks of 2, 4, 8, ... lines that start at each line from the names of their halves; a
+stretch of any length is named by its length and its two longest blocks, which overlap. Equal names are the suffixes of one
+interval of the suffix array whose common prefix is that stretch or longer: names take the place of dense ranks, since an
+interval needs equality only, and grouping by name is the sort that shuffles least. In each interval the first place, by
+document id and line, stays, and later ones are deleted.
 
-A block counts when it has at least ``min_words`` words. The lines that all counting blocks delete are those of the
-smallest ones: of blocks a half of which has too few words. Such a half has fewer than ``min_words`` lines, which bounds the
-levels whatever the documents' lengths, so all levels go through one grouping. A maximal repeated run is the union of the
-blocks that cover it.
+A repeated run counts when it has at least ``min_words`` words. Every line of such a run lies in a least window of that many
+words within the run, which starts or ends there, and each such window repeats with the run; so the runs' union is that of
+the repeated least windows, two a line at most. They have at most ``min_words`` lines, which bounds the levels of doubling
+whatever the documents' lengths, and all go through one grouping.
 
 Defined results: null and empty texts stay as they are; blank lines belong to no run and stay; a text loses whole lines with
 the line break after them (the last line: before it); rows with the same id and text are one document and change alike;
@@ -68,27 +69,27 @@ def lines_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], number[first], count, *names
 
 
-def blocks_of(doc: np.ndarray, words: np.ndarray, names: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level: the level, the blocks' first lines, their two names; only counting blocks with a half that doesn't count."""
-    a, b = names
-    yield 0, (p := np.flatnonzero(words >= least)), a[p], b[p]
-    k, w, whole = 0, words, np.ones(len(doc), bool)
-    while True:
-        h = 1 << k
-        m = len(doc) - h
-        if m <= 0:
-            return
-        ok = whole[:m] & whole[h:] & (doc[:m] == doc[h:])
-        small = ok & ((w[:m] < least) | (w[h:] < least))
-        if not small.any():
-            return
-        k += 1
-        a = mix(a[:m] * ODD[0] + mix(a[h:] + np.uint64(k)))
-        b = mix(b[:m] * ODD[1] + mix(b[h:] + np.uint64(k)))
-        p = np.flatnonzero(small & (w[:m] + w[h:] >= least))
-        yield k, p, a[p], b[p]
-        w = np.where(ok, w[:m] + w[h:], 0)
-        whole, doc, words = ok, doc[:m], words
+def windows_of(doc: np.ndarray, words: np.ndarray, names: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, ...]:
+    """Least windows with enough words: first line, lines, two names. From each line on and up to each line there is one at
+    most. Doubling names blocks of 2**k lines; a window is named by its length and the two longest blocks at its ends."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    s = np.arange(n)
+    e = np.searchsorted(total, total[:-1] + least) - 1
+    ok = (e < n) & (doc[np.minimum(e, n - 1)] == doc)
+    back = np.searchsorted(total, total[1:] - least, side="right") - 1
+    ok2 = (back >= 0) & (doc[np.maximum(back, 0)] == doc)
+    both = np.unique(np.concatenate([s[ok] * (least + 1) + (e - s + 1)[ok], back[ok2] * (least + 1) + (s - back + 1)[ok2]]))
+    first, size = both // (least + 1), both % (least + 1)
+    out = [np.zeros(len(first), np.uint64) for _ in names]
+    k, h = 0, 1
+    while len(size) and h <= size.max():
+        at = np.flatnonzero((size >= h) & (size < 2 * h))
+        for o, t, odd in zip(out, names, ODD, strict=True):
+            o[at] = mix(t[first[at]] * odd + mix(t[first[at] + size[at] - h] + size[at].astype(np.uint64)))
+        k, h = k + 1, 2 * h
+        names = tuple(mix(t[: n - h + 1] * odd + mix(t[h // 2 : n - h // 2 + 1] + np.uint64(k))) if n >= h else t for t, odd in zip(names, ODD, strict=True))
+    return first, size, *out
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,11 +101,12 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
             for i, j in slices(b.column(2)):
                 doc, number, words, h1, h2 = lines_of(*bytes_of(b.column(2).slice(i, j - i)))
                 rid, th = (b.column(c).slice(i, j - i).to_numpy() for c in (0, 1))
-                for k, p, a, c in blocks_of(doc, words, (h1, h2), min_words):
-                    if len(p):
-                        every = number[p[:, None] + np.arange(1 << k)]
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, every.size + 1, 1 << k, dtype=np.int32)), pa.array(every.ravel().astype(np.int32)))
-                        yield pa.record_batch([pa.array(rid[doc[p]]), pa.array(th[doc[p]]), pa.array(number[p].astype(np.int32)), lists, pa.array(signed(a)), pa.array(signed(c))], names=["rid", "th", "at", "lines", "n1", "n2"])
+                if len(doc):
+                    p, size, a, c = windows_of(doc, words, (h1, h2), min_words)
+                    ends = np.cumsum(size)
+                    every = number[np.repeat(p - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(every.astype(np.int32)))
+                    yield pa.record_batch([pa.array(rid[doc[p]]), pa.array(th[doc[p]]), pa.array(number[p].astype(np.int32)), lists, pa.array(signed(a)), pa.array(signed(c))], names=["rid", "th", "at", "lines", "n1", "n2"])
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     some = docs.where(F.col(text_col).isNotNull()).select(key.alias("rid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
