@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_of, slices, small_batches, words_of
 
 BITS = 20
+LEAST = -0.5
 
 
 def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +71,13 @@ class Ordinal:
 def fit(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float = 6.0) -> Ordinal:
     """Ordinal regression; y are grades 0..K. First the words are chosen: a word must explain what is left of more than
     ``texts`` examples to have a weight, so texts aren't learnt by heart. Then the chosen words' weights are fitted anew."""
-    m = _descend(doc, f, y, texts)
+    m = _descend(doc, f, y, texts, 120)
     keep = m.w[f] != 0
     return _descend(doc[keep], f[keep], y, texts / 12)
 
 
 def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds: int = 250, rate: float = 0.5) -> Ordinal:
-    """Proximal AdaGrad over all examples, with a penalty of ``texts`` / examples on weights, which aren't negative."""
+    """Proximal AdaGrad over all examples, with a penalty of ``texts`` / examples on absolute weights; none is below LEAST."""
     top = int(y.max())
     df = np.bincount(f, minlength=1 << BITS)
     keep = df[f] > texts
@@ -93,7 +94,9 @@ def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds
         g = np.bincount(f, err.sum(axis=1)[doc], minlength=len(used)) / n
         gw += g**2
         step = rate / np.sqrt(gw)
-        w = np.maximum(w - step * g - step * texts / n, 0)  # no word speaks for a text: length mustn't outweigh insults
+        w = w - step * g
+        # words that speak for a text weigh little, so that length doesn't outweigh insults
+        w = np.maximum(np.sign(w) * np.maximum(np.abs(w) - step * texts / n, 0), LEAST)
         g = -err.mean(axis=0)
         gt += g**2
         t = np.maximum.accumulate(t - rate / 3 * g / np.sqrt(gt))
