@@ -9,7 +9,7 @@ first, linked sets share one of their first n - ceil(n*num/den) + 1 shingles (th
 3. Group pairs that share a prefix shingle and have fitting sizes. First each group is only held against the least group
    of the shingle and size range, and each member against its group's least: a row for each, however large the group.
    Members that are linked by then need no further test. Then what still lies in different components is paired in full.
-   A shingle of one group alone can't be common, so the places before a shared one that such shingles hold count as lost.
+   A pair counts at a shingle that can be the first it shares: the rest of both sets must hold all that it needs.
 4. Pairs whose prefixes don't agree enough go; the rest is verified on whole sets, computed again for the documents concerned (a fixed-size filter of their ids goes to the
    scan; an exact join follows). Links make components.
 
@@ -185,20 +185,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # sizes that may link lie in the same or in neighbouring ranges
     span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     shared = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("m > 1")
-    # rank: how many shared shingles stand before this one; the others before it are nobody else's, so they can't be common
-    shared = shared.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1)
-    shared = shared.where(F.col("rank") + F.col("n") - F.col("pos") >= F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)))
-    shared = written(shared.select("gid", "n", "pos", "rank", "tok", span.alias("span")), "postings")
+    shared = written(shared.select("gid", "n", "pos", "tok", span.alias("span")), "postings")
     fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
 
     def enough(a: str, b: str) -> Column:
-        """Whether sets that share a shingle at these places of theirs may have enough in common."""
+        """Whether this can be the first shingle, in the common order, that two linked sets share: what stands before it in
+        either set is not in the other, so the rest of both must be as large as their overlap has to be."""
         na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        most = F.least(f"{a}rank", f"{b}rank") + F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
-        return fits(na, nb) & (most >= F.ceil((na + nb) * F.lit(num) / F.lit(num + den) - F.lit(1e-9)))
+        rest = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
+        return fits(na, nb) & (rest >= F.ceil((na + nb) * F.lit(num) / F.lit(num + den) - F.lit(1e-9)))
 
-    firsts = shared.groupBy("tok", "span").agg(F.min(F.struct("gid", "n", "pos", "rank")).alias("f"))
-    near = shared.select("gid", F.struct("n", "pos", "rank").alias("o"), "tok", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(firsts, ["tok", "span"])
+    firsts = shared.groupBy("tok", "span").agg(F.min(F.struct("gid", "n", "pos")).alias("f"))
+    near = shared.select("gid", F.struct("n", "pos").alias("o"), "tok", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(firsts, ["tok", "span"])
     first = near.where((F.col("gid") != F.col("f.gid")) & enough("o.", "f.")).select(F.least("gid", "f.gid").alias("a"), F.greatest("gid", "f.gid").alias("b"))
     first = written(first.union(members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))).distinct(), "pairs")
     heads = reps.select("id", "n", "prefix")
@@ -209,7 +207,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     of = members.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("cls", "gid", F.coalesce("comp", "cls").alias("comp"))
     spread = of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     tokens = shared.join(spread, "gid").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("tok")
-    open_ = written(shared.join(tokens, "tok", "left_semi").join(of, "gid").select("tok", "span", F.struct("cls", "comp", "n", "pos", "rank").alias("o")), "open")
+    open_ = written(shared.join(tokens, "tok", "left_semi").join(of, "gid").select("tok", "span", F.struct("cls", "comp", "n", "pos").alias("o")), "open")
     left = open_.select("tok", F.col("o").alias("x"), F.explode(F.array(F.col("span") - 1, "span", F.col("span") + 1)).alias("span"))
     right = open_.select("tok", F.col("o").alias("y"), "span")
     rest = left.join(right, (left["tok"] == right["tok"]) & (left["span"] == right["span"]) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & enough("x.", "y."))
