@@ -182,7 +182,7 @@ def words_of(raw: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np.
     return h, doc, start, end, brk[1:][start]
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of a text column with about ``most`` bytes each, so that working memory is bounded by one text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -81,8 +81,10 @@ def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds
     top = int(y.max())
     df = np.bincount(f, minlength=1 << BITS)
     keep = df[f] > texts
-    doc, f = doc[keep], f[keep]
-    used, f = np.unique(f, return_inverse=True)
+    used = np.flatnonzero(df > texts)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    doc, f = doc[keep].astype(np.int32), place[f[keep]]
     above = y[:, None] > np.arange(top)[None, :]
     share = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
     w, t = np.zeros(len(used)), -np.log(share / (1 - share))
@@ -128,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal |
     order = np.argsort(ids, kind="stable")
     lists = t.column(2).combine_chunks().take(pa.array(order))
     y = y[order]
-    f = lists.flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    f = lists.flatten().to_numpy()
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     y = np.unique(y, return_inverse=True)[1]  # grades without examples close up
     held = np.arange(len(y)) % 5 == 0
     fold = np.cumsum(~held) - 1
