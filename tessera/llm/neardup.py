@@ -5,10 +5,12 @@ vectors at a small angle share a long prefix of bits in some pass. Each is held
 the exact cosine; pairs that reach the threshold are united within the task, so a task sends a star of its groups however
 many pairs it has seen, and passes are united as components.
 
-A window is bounded, so a group larger than it shows only some of its pairs. These suffice for the component; the count of
-links is then made exactly, by blocks of a component against blocks of the same component, whose sizes are bounded and
-which spread over the cluster. With b the chance that a bit agrees (0.90 at cosine 0.95), N rows and P passes a lone pair
-is found with 1 - (1 - b**log2(N / window))**P; ``recall_of`` measures it against brute force.
+A window is bounded, and where many vectors share a rough direction their leading bits agree and windows miss links. So the
+passes are followed by an exact one (``missing_links``): every stripe of vectors against every other, in compact blocks of
+which those whose centre and radius can't reach the threshold are skipped, for links between what the passes left apart.
+Links are then counted exactly, by blocks of a component against blocks of the same component, whose sizes are bounded and
+which spread over the cluster. So recall is 1; the cost is that of all pairs that bounds can't exclude, which on vectors
+without structure is nearly all. ``recall_of`` measures recall against brute force.
 
 Defined results: null, zero, empty and non-finite vectors have no links and are their own component; vectors of different
 lengths never link; rows with the same id and vector count once for links and come back as often as they came; null ids
@@ -117,6 +119,74 @@ def cosines(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     return x.select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
+def compact_blocks(m: np.ndarray, size: int = 512) -> list[np.ndarray]:
+    """Row indexes in blocks of at most ``size``: halved along the direction of most spread until they fit."""
+    todo, out = [np.arange(len(m))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        x = m[at] - m[at].mean(axis=0)
+        v = x[np.argmax(np.einsum("ij,ij->i", x, x))]
+        for _ in range(3):
+            v = v @ x.T @ x
+            v = v / (np.sqrt((v * v).sum()) or 1.0)
+        order = np.argsort(x @ v, kind="stable")
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
+def missing_links(vecs: DataFrame, comp: DataFrame, threshold: float, stripe: int = 1 << 20) -> DataFrame:
+    """Links (a, b) of component ids that complete the components exactly: stripes of at most about ``stripe`` numbers, dealt
+    by hash and so of even size, each against each; a pair of stripes sends a star of the components it unites."""
+    spark = vecs.sparkSession
+    total = vecs.agg(F.sum(F.octet_length("v"))).first()[0] or 0
+    # so many that there is a pair for each core at least
+    k = max(int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism))), -(-total // (8 * stripe)))
+    one = vecs.join(comp, "id", "left").select("id", "v", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("id", "v"), F.lit(k)).cast("int").alias("mine"))
+    cells = F.expr(f"transform(sequence(0, {k - 1}), o -> struct(least(o, mine) as i, greatest(o, mine) as j))")
+    dealt = one.select("id", "v", "comp", "mine", F.explode(cells).alias("c")).select("c.i", "c.j", "mine", "id", "comp", "v")
+
+    def scan(rows: pa.Table) -> pa.Table:
+        i, mine, ids, vs = rows["i"][0].as_py(), rows["mine"].to_numpy(), rows["id"].to_numpy(), rows["v"].to_pylist()
+        inner = i == rows["j"][0].as_py()
+        names, lab = np.unique(rows["comp"].to_numpy(), return_inverse=True)
+        top = np.arange(len(names))
+        size = np.array([len(v) for v in vs])
+        for d in np.unique(size):
+            at = np.flatnonzero(size == d)
+            m = _unit(np.frombuffer(b"".join(vs[t] for t in at), "<f8").reshape(len(at), -1))
+            f, own, g = m.astype(np.float32), ids[at], lab[at]
+            # a bound on what single precision may be off by in a sum of products of unit vectors
+            off = max(1e-5, f.shape[1] * 1.2e-7)
+            a = np.arange(len(at)) if inner else np.flatnonzero(mine[at] == i)
+            b = a if inner else np.flatnonzero(mine[at] != i)
+            if not len(a) or not len(b):
+                continue
+            left, right = ([x[p] for p in compact_blocks(f[x])] for x in (a, b))
+            centres = np.stack([f[q].mean(axis=0) for q in right])
+            radii = np.array([np.sqrt(((f[q] - c) ** 2).sum(axis=1).max()) for q, c in zip(right, centres, strict=True)])
+            for s, p in enumerate(left):
+                reach = f[p] @ centres.T + radii >= threshold - 2 * off
+                for t in range(s if inner else 0, len(right)):
+                    if not reach[:, t].any():
+                        continue
+                    x, y = p[reach[:, t]], right[t]
+                    u, w = np.divmod(np.flatnonzero(f[x] @ f[y].T >= threshold - off), len(y))
+                    u, w = x[u], y[w]
+                    apart = (top[g[u]] != top[g[w]]) & (own[u] != own[w])
+                    u, w = u[apart], w[apart]
+                    near = np.concatenate([(m[u[o : o + 4096]] * m[w[o : o + 4096]]).sum(axis=1) >= threshold for o in range(0, len(u), 4096)] or [np.zeros(0, bool)])
+                    if near.any():
+                        q = _union(len(names), np.concatenate([top[g[u[near]]], top]), np.concatenate([top[g[w[near]]], np.arange(len(names))]))
+                        top = q[top]
+        out = np.flatnonzero(top != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[top[out]]), "b": pa.array(names[out])})
+
+    return dealt.groupBy("i", "j").applyInArrow(scan, "a long, b long")
+
+
 def link_counts(vecs: DataFrame, comp: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """(id, n): for each linked vector its links within its component, exactly, block by block."""
     spark = vecs.sparkSession
@@ -180,6 +250,9 @@ def near_duplicates(emb: DataFrame, threshold: float = 0.95, passes: int = 14, w
     if unsure.limit(1).count():
         links = links.union(cosines(unsure, vecs, threshold))
     comp = written(components(links), "components")
+    more = written(missing_links(vecs, comp, threshold), "missing")
+    if more.limit(1).count():
+        comp = written(components(comp.select(F.col("comp").alias("a"), F.col("id").alias("b")).union(more)), "components")
     n = link_counts(vecs.join(comp.select("id"), "id", "left_semi"), comp, threshold)
     out = emb.select(F.col(id_col).cast("long").alias("vec_id")).join(comp.join(n, "id", "left").select(F.col("id").alias("vec_id"), "comp", "n"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"), (F.coalesce("comp", "vec_id") == F.col("vec_id")).alias("kept"))

@@ -151,6 +151,34 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_where_vectors_crowd(spark):
+    """Links in a cone of like directions, which windows miss, are found all the same."""
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((900, 32))
+    m[:600] = 3 * m[0] / np.linalg.norm(m[0]) + m[:600] / np.sqrt(32)
+    m = np.concatenate([m, m[:60] + rng.standard_normal((60, 32)) * np.linalg.norm(m[:60], axis=1)[:, None] * 0.02])
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(m)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    want = components_by_links(near)
+    df = vectors(spark, rows)
+    vecs = neardup.usable(df)
+    windows = {r.id: r.comp for r in common.components(neardup.candidate_links(vecs, 0.98, 2, 4).select("a", "b")).collect()}
+    assert [windows.get(i, i) for i in range(len(m))] != want  # or this tests nothing
+    got = {r.vec_id: r for r in neardup.near_duplicates(df, 0.98, passes=2, window=4).collect()}
+    assert [got[i].component_id for i in range(len(m))] == want
+    assert [got[i].n_links for i in range(len(m))] == list(near.sum(axis=1))
+
+
+def test_compact_blocks_hold_every_row_once():
+    m = np.random.default_rng(5).standard_normal((1000, 8))
+    m[:300] = m[0]
+    got = neardup.compact_blocks(m, 64)
+    assert max(map(len, got)) <= 64 and sorted(np.concatenate(got)) == list(range(1000))
+
+
 def components_by_links(near):
     up = list(range(len(near)))
     for _ in range(len(near)):
