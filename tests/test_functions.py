@@ -1,6 +1,7 @@
 """Hand-derived cases, and properties."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -177,6 +178,18 @@ def test_near_duplicates_assignment_and_lists(spark):
     assert sorted(r.pos for r in pyfuncs.file_dedupe(f).collect()) == [0, 3]
 
 
+def test_exact_copies_go_however_far_apart(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=80)).strip() + " end" for _ in range(260)]
+    near = texts[5][:-1] + "!"
+    tail = [texts[0], texts[0].upper() + "  ", texts[5], near, "short one"]
+    rows = [(1, i, t, "g") for i, t in enumerate(["short one", near, *texts, *tail])] + [(1, 900, texts[0], "other"), (2, 0, texts[0], "g")]
+    p = spark.createDataFrame(rows, "doc_id long, pos int, text string, guard string")
+    got = {(r.doc_id, r.pos) for r in pyfuncs.near_duplicate_lines(p).collect()}
+    # gone: texts[5], near the one before it, and the four copies at the end; another guard or document and short texts stay
+    assert {(d, i) for d, i, _, _ in rows} - got == {(1, 7), *((1, 262 + k) for k in range(4))}
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"id": 1, "v": "x"}\n\n{"id": 2, "v": "y"}\n')
