@@ -34,3 +34,9 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+def test_criteria_meet_every_document_of_their_source(spark, duck):
+    got = QUERIES["criterion_coverage_all"](spark, SF).toPandas()
+    want = duck.execute("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON d.source = 'src' || b.item_id % 20").fetchall()
+    assert sorted(zip(got.item_id, got.doc_id, strict=True)) == sorted(want) and got.doc_id.nunique() > got.item_id.nunique()
