@@ -190,6 +190,13 @@ def test_exact_copies_go_however_far_apart(spark):
     assert {(d, i) for d, i, _, _ in rows} - got == {(1, 7), *((1, 262 + k) for k in range(4))}
 
 
+def test_cover_list_keeps_what_is_91_percent_alike(spark):
+    base = "".join(chr(97 + i % 26) for i in range(100))
+    rows = [("a", 0, base), ("a", 1, base[:91] + "0123456789"[:9]), ("a", 2, base[:93] + "!?+*=%&")]  # ratios 0.91 and 0.93 to the first
+    i = spark.createDataFrame(rows, "task_id string, pos int, text string")
+    assert sorted(r.pos for r in pyfuncs.cover_list(i).collect()) == [0, 1]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"id": 1, "v": "x"}\n\n{"id": 2, "v": "y"}\n')
