@@ -1,11 +1,10 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling over line names; later copies go.
+"""Line dedup: repeated runs of lines, found by hashes of short windows of lines; later copies go.
 
 A document is a sequence of its lines that hold words; a line's name is a 128-bit hash of the line without white space at
-its ends. Prefix doubling names the blocks of 2, 4, 8, ... lines that start at each line from the names of their halves; a
-stretch of any length is named by its length and its two longest blocks, which overlap. Equal names are the suffixes of one
-interval of the suffix array whose common prefix is that stretch or longer: names take the place of dense ranks, since an
-interval needs equality only, and grouping by name is the sort that shuffles least. In each interval the first place, by
-document id and line, stays, and later ones are deleted.
+its ends. The blocks of 2, 4, ... lines that start at each line are named from the names of their halves, within a record
+batch; a window is named by its length and its two longest blocks, which overlap. Windows of one name are one group, in which
+the first place, by document id and line, stays, and later ones are deleted. This stands in for prefix doubling over a suffix
+array's intervals, which would find the same lines: there is no suffix array and no doubling across the cluster.
 
 A repeated run counts when it has at least ``min_words`` words. Every line of such a run lies in a least window of that many
 words within the run, which starts or ends there, and each such window repeats with the run; so the runs' union is that of
