@@ -613,6 +613,19 @@ def claim_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.claim_status(claims, facts)
 
 
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'p' || l_partkey AS s, l_quantity AS v, ['o' || l_suppkey] AS cited FROM lineitem),
+f AS (SELECT 'o' || (p_partkey % 10 + 1) AS source, 'p' || p_partkey AS s, p_size AS w, p_size > 25 AS exclusive FROM part),
+j AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, v, max((list_contains(cited, source) AND v = w)::INT) AS yes, max((list_contains(cited, source) AND v <> w AND exclusive)::INT) AS no, max((NOT list_contains(cited, source) AND v = w)::INT) AS other FROM c JOIN f USING (s) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, v AS l_quantity, CASE WHEN yes = 1 THEN 'supported' WHEN no = 1 THEN 'contradicted' WHEN other = 1 THEN 'wrong_source' ELSE 'unknown' END AS status FROM c LEFT JOIN j USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, v)""")
+def claim_statuses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every order is a claim. Lines share order and number, so what is claimed is part of the id."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    claims = li.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("claim_id"), F.concat(F.lit(" P"), F.col("l_partkey").cast("string")).alias("subject"), F.lit("Size").alias("field"), F.expr("format_number(l_quantity, '0.0')").alias("value"), F.array(F.concat(F.lit("o"), F.col("l_suppkey").cast("string"))).alias("cited"))
+    facts = p.select(F.concat(F.lit("o"), (F.col("p_partkey") % 10 + 1).cast("string")).alias("source"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("subject"), F.lit("size ").alias("field"), F.col("p_size").cast("string").alias("value"), (F.col("p_size") > 25).alias("exclusive"))
+    return reports.claim_status(claims, facts).select("claim_id.*", "status")
+
+
 @query()
 def report_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rubrics of benchmark items, one for each source."""

@@ -40,3 +40,12 @@ def test_criteria_meet_every_document_of_their_source(spark, duck):
     got = QUERIES["criterion_coverage_all"](spark, SF).toPandas()
     want = duck.execute("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON d.source = 'src' || b.item_id % 20").fetchall()
     assert sorted(zip(got.item_id, got.doc_id, strict=True)) == sorted(want) and got.doc_id.nunique() > got.item_id.nunique()
+
+
+def test_every_line_is_judged_by_itself(spark, duck):
+    got = QUERIES["claim_statuses_all"](spark, SF).toPandas()
+    own, same = "'o' || (p_partkey % 10 + 1) = 'o' || l_suppkey", "p_size = l_quantity"
+    has = lambda c: f"EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND {c})"
+    want = duck.execute(f"""SELECT l_orderkey, l_linenumber, CASE WHEN {has(f"{own} AND {same}")} THEN 'supported' WHEN {has(f"{own} AND NOT {same} AND p_size > 25")} THEN 'contradicted'
+        WHEN {has(f"NOT {own} AND {same}")} THEN 'wrong_source' ELSE 'unknown' END FROM lineitem""").fetchall()
+    assert sorted(zip(got.l_orderkey, got.l_linenumber, got.status, strict=True)) == sorted(want) and (got.l_linenumber > 1).any()
