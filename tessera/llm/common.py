@@ -1,13 +1,16 @@
 """Shared pieces: written tables, joins that bear hot keys, components, text hashing.
 
-Executor functions are pickled by value, so executors need no copy of this package.
+Executor functions and what is broadcast for them (``sent``) are pickled by value, so executors need no copy of this package.
 """
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def sent(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """A broadcast of bytes that hold the thing with its classes; the function gives it back on an executor."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(data.value)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives back free memory at its end: workers live on, and what they hold adds up."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+            trim.malloc_trim(0)
+
+    return one
+
+
+def sampled(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows of about n of the table's distinct keys (all, if fewer), those with the smallest hashes: a count of the keys gives the bound, so
+    no task and no driver sorts more. The same rows each time."""
+    total = df.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    share = min(1.0, n / max(1, total))
+    return df if share >= 0.95 else df.where(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
 
@@ -149,23 +178,52 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+BLOCK = 1 << 18
+
+
+def _blocks(raw: np.ndarray, off: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of about BLOCK bytes that end where a text or (by ``ends``, a table of bytes) a word or line ends, with the
+    texts' edges in them: byte arrays of eight bytes each stay small however long a text is."""
+    lo, n = 0, len(raw)
+    while lo < n:
+        at = min(n, lo + BLOCK)
+        hi = int(off[np.searchsorted(off, at)])
+        while at < hi:
+            stop = np.flatnonzero(ends[raw[at : min(at + 4096, hi)]])
+            if len(stop):
+                hi = at + int(stop[0])
+            at += 4096
+        yield lo, hi, off[np.searchsorted(off, lo) : np.searchsorted(off, hi, side="right")] - lo
+        lo = hi
+
+
 def words_of(raw: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np.ndarray, ...]:
     """Words ([^ \\t-\\r]+, A-Z as a-z) of all texts: 64-bit hash, text's index, start and end byte; with ``lines`` a line's index too."""
+    parts, base = [], 0
+    for lo, hi, edges in _blocks(raw, off, SPACE):
+        h, start, end, brk, base = _words(raw[lo:hi], edges, base if lines else None)
+        parts.append((h, start + lo, end + lo, brk))
+    z = np.zeros(0, np.int64)
+    h, start, end, brk = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (z.astype(np.uint64), z, z, z)
+    doc = np.searchsorted(off, start, side="right") - 1
+    return (h, doc, start, end, brk) if lines else (h, doc, start, end)
+
+
+def _words(raw: np.ndarray, edges: np.ndarray, base: int | None) -> tuple:
+    """A block's words: hash, start, end, line (counted from ``base``), and the count of lines up to the block's end."""
     n = len(raw)
-    white = SPACE[raw]
     edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    solid = ~white
+    edge[edges] = True
+    solid = ~SPACE[raw]
     before = np.empty(n, bool)
-    before[:1] = True
+    before[0] = True
     np.logical_not(solid[:-1], out=before[1:])
     start = np.flatnonzero(solid & (before | edge[:-1]))
     after = np.empty(n, bool)
-    after[-1:] = True
+    after[-1] = True
     np.logical_not(solid[1:], out=after[:-1])
     end = np.flatnonzero(solid & (after | edge[1:])) + 1
     size = end - start
-    doc = np.searchsorted(off, start, side="right") - 1
     if not len(start):
         h = np.zeros(0, np.uint64)
     else:
@@ -175,11 +233,10 @@ def words_of(raw: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np.
         place = np.arange(len(at)) - np.repeat(first, size)
         h = np.add.reduceat(BYTE[raw[at]] * powers(int(size.max()))[place], first)
         h = mix(h ^ size.astype(np.uint64))
-    if not lines:
-        return h, doc, start, end
-    brk = np.zeros(n + 1, np.int64)
-    np.cumsum((raw == 10) | edge[:-1], out=brk[1:])
-    return h, doc, start, end, brk[1:][start]
+    if base is None:
+        return h, start, end, start, None
+    brk = np.cumsum((raw == 10) | edge[:-1])
+    return h, start, end, brk[start] + base, base + int(brk[-1])
 
 
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -198,6 +255,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of texts small enough for a Python worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 2000, most: int = 4 << 20) -> None:
+    """Arrow batches of texts small enough for a Python worker's memory: so many rows, and no more once they hold ``most``
+    bytes. A session's setting that holds for plans run later too; it bears on memory, never on results."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

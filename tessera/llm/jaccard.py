@@ -14,11 +14,17 @@ first, linked sets share one of their first n - ceil(n*num/den) + 1 shingles (th
    scan; an exact join follows). Links make components.
 
 No cap anywhere: counters, filter and first round only save work. Sets hold 64-bit hashes of shingles of 64-bit hashes of
-words; a wrong link needs a collision among about two documents' shingles.
+words; a wrong link needs a collision among about two documents' shingles. A class goes by its least id and a hash of its
+set, so an id that comes with several texts has them all compared.
+
+Hot keys: a shingle's postings are counted before they are joined, and joined by ``attach``; what is paired in full is dealt to
+blocks of at most BLOCK rows a side under each shingle or group, so a pair of blocks is one task's work at most; joins by
+class are skew joins, which Spark splits.
 
 Defined results: null, empty or blank text: no shingles, no links, its own component; fewer words than the shingle: the
-whole sequence is the one shingle; repeated rows give repeated rows; null ids keep a row with a null component; other
-columns are not carried.
+whole sequence is the one shingle; repeated rows give repeated rows; rows with one id and different texts are one document
+that has the links of all of them; null ids link with nothing and keep a row with a null component; other columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -27,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attach, bytes_of, components, mix, signed, slices, small_batches, words_of, written
+from tessera.llm.common import attach, bytes_of, components, lean, mix, signed, slices, small_batches, words_of, written
 
 COUNTER_BITS = 20
 SLICE_BITS = 14
 FILTER_BITS = 21
+BLOCK = 4096
 
 
 def shingles_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +68,12 @@ def shingles_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], s[new]
 
 
+def set_hashes(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each text's set; at: where each text's shingles start (n + 1 places)."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(x)))]) for x in (0x1234567, 0xFEDCBA9876543)]
+    return [x[at[1:]] - x[at[:-1]] for x in sums]
+
+
 def counters(docs: DataFrame, k: int) -> np.ndarray:
     """2**COUNTER_BITS counters of all shingles of all documents (4 MB, whatever the input). Tasks send slices of
     their counters, each slice is summed by streaming."""
@@ -84,7 +97,7 @@ def counters(docs: DataFrame, k: int) -> np.ndarray:
         for i, x in sums.items():
             yield pa.record_batch([pa.array([i]), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "c"])
 
-    got = docs.mapInArrow(count, "part long, c binary").repartition(16, "part").mapInArrow(total, "part long, c binary").collect()
+    got = docs.mapInArrow(lean(count), "part long, c binary").repartition(16, "part").mapInArrow(total, "part long, c binary").collect()
     out = np.zeros(1 << COUNTER_BITS, np.uint32)
     for r in got:
         out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.c, np.uint32)
@@ -105,8 +118,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                 n = np.bincount(doc, minlength=m)
                 at = np.zeros(m + 1, np.int64)
                 np.cumsum(n, out=at[1:])
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(x)))]) for x in (0x1234567, 0xFEDCBA9876543)]
-                s1, s2 = (x[at[1:]] - x[at[:-1]] for x in sums)
+                s1, s2 = set_hashes(s, at)
                 order = np.lexsort((s, c[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], doc))
                 s = s[order]
                 size = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
@@ -119,13 +131,13 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                 offs = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.record_batch([b.column(0).slice(i, m), pa.array(n.astype(np.int64)), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(signed(p)), pa.ListArray.from_arrays(offs, pa.array(signed(pre)))], names=["id", "n", "s1", "s2", "p", "prefix"])
 
-    return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long, p long, prefix array<long>"), "prefixes")
+    return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, n long, s1 long, s2 long, p long, prefix array<long>"), "prefixes")
 
 
 def promising(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose prefixes (heads: id, n, prefix) agree enough. Up to the prefix that ends first in the common
+    """Pairs (a, b) whose prefixes (heads: key, n, prefix) agree enough. Up to the prefix that ends first in the common
     order, common shingles lie in both prefixes; beyond, there are at most the shingles that this set has left."""
-    x, y = (heads.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab")
+    x, y = (heads.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b")
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
     left = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
@@ -133,10 +145,10 @@ def promising(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFra
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets reach the similarity."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    """The pairs (a, b) of classes whose whole sets reach the similarity."""
+    keys = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
     cells = 1 << FILTER_BITS
-    got = ids.select(F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("c")).distinct().toArrow()
+    got = keys.select(F.pmod(F.xxhash64("key.id"), F.lit(cells)).cast("int").alias("c")).distinct().toArrow()
     bits = np.zeros(cells, bool)
     bits[got.column(0).to_numpy()] = True
     mask = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -149,10 +161,11 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, id_c
                 doc, s = shingles_of(b.column(1).slice(i, j - i), k)
                 at = np.searchsorted(doc, np.arange(j - i + 1))
                 data = s.tobytes()
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array([data[8 * x : 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["id", "s"])
+                own = pa.StructArray.from_arrays([b.column(0).slice(i, j - i), pa.array(signed(set_hashes(s, at)[0]))], names=["id", "s1"])
+                yield pa.record_batch([own, pa.array([data[8 * x : 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["key", "s"])
 
     some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(cells)).cast("int").alias("c"))
-    s = written(some.mapInArrow(sets, "id long, s binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    s = written(some.mapInArrow(lean(sets), "key struct<id:long,s1:long>, s binary").join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,8 +178,17 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, id_c
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return written(x.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "verified")
+    x = pairs.join(s.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+    kind = "struct<id:long,s1:long>"
+    return written(x.select("a", "b", "x", "y").mapInArrow(lean(test), f"a {kind}, b {kind}"), "verified")
+
+
+def in_blocks(rows: DataFrame, key: str, blocks: str) -> tuple[DataFrame, DataFrame]:
+    """Left and right sides of a join by cells: under each key, a row's block on its own side by every block of the other side,
+    so that any two rows meet in one cell. ``key`` is hashed, ``blocks`` says how many there are."""
+    mine = F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
+    return rows.select("*", mine.alias("row_block"), every.alias("col_block")), rows.select("*", every.alias("row_block"), mine.alias("col_block"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,17 +197,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     small_batches(spark, 2000)
     d = prefixes(docs, k, num, den, id_col, text_col)
     sets = d.where("n > 0 and id is not null")
-    classes = written(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("cnt")), "classes")
-    narrow = d.select("id", "n", "s1", "s2")
-    reps = written(sets.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
-    groups = written(reps.groupBy("n", "p").agg(F.min("id").alias("gid"), F.countDistinct("id").alias("cnt")), "groups")
-    members = written(attach(reps.select(F.col("id").alias("cls"), "n", "p"), groups, ["n", "p"], "cnt", F.col("cls")).select("cls", "n", "gid"), "members")
-
-    posts = reps.join(groups.select(F.col("gid").alias("id")), "id", "left_semi").select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    own = ["n", "s1", "s2"]
+    classes = written(sets.groupBy(*own).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("cnt")), "classes")
+    narrow = d.select("id", *own)
+    reps = sets.join(classes.select("id", *own), ["id", *own], "left_semi").dropDuplicates(["id", "s1", "s2"])
+    reps = written(reps.select(F.struct("id", "s1").alias("key"), "n", "p", "prefix"), "reps")
+    groups = written(reps.groupBy("n", "p").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("cnt")), "groups")
+    members = written(attach(reps.select(F.col("key").alias("cls"), "n", "p"), groups, ["n", "p"], "cnt", F.col("cls")).select("cls", "n", "gid"), "members")
+
+    posts = reps.join(groups.select(F.col("gid").alias("key")), "key", "left_semi").select(F.col("key").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    tokens = written(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("m", F.col("c")), "tokens")
     # sizes that may link lie in the same or in neighbouring ranges
     span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    shared = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("m > 1")
-    shared = written(shared.select("gid", "n", "pos", "tok", span.alias("span")), "postings")
+    shared = written(attach(posts, tokens, ["tok"], "c", F.col("gid")).where("m is not null").select("gid", "n", "pos", "tok", "m", span.alias("span")), "postings")
     fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
 
     def enough(a: str, b: str) -> Column:
@@ -195,31 +219,41 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         rest = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))
         return fits(na, nb) & (rest >= F.ceil((na + nb) * F.lit(num) / F.lit(num + den) - F.lit(1e-9)))
 
-    firsts = shared.groupBy("tok", "span").agg(F.min(F.struct("gid", "n", "pos")).alias("f"))
-    near = shared.select("gid", F.struct("n", "pos").alias("o"), "tok", F.explode(F.array("span", F.col("span") - 1)).alias("span")).join(firsts, ["tok", "span"])
+    firsts = written(shared.groupBy("tok", "span").agg(F.min(F.struct("gid", "n", "pos")).alias("f"), F.max("m").alias("c")), "firsts")
+    near = attach(shared.select("gid", F.struct("n", "pos").alias("o"), "tok", F.explode(F.array("span", F.col("span") - 1)).alias("span")), firsts, ["tok", "span"], "c", F.col("gid"))
     first = near.where((F.col("gid") != F.col("f.gid")) & enough("o.", "f.")).select(F.least("gid", "f.gid").alias("a"), F.greatest("gid", "f.gid").alias("b"))
     first = written(first.union(members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))).distinct(), "pairs")
-    heads = reps.select("id", "n", "prefix")
-    links = verified(promising(first, heads, num, den), docs, k, num, den, id_col, text_col)
+    heads = reps.select("key", "n", "prefix")
+    ids = lambda x: x.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    # ids with several sets are linked with the ids that stand for these
+    many = sets.groupBy("id").agg(F.min(F.struct(*own)).alias("lo"), F.max(F.struct(*own)).alias("hi")).where("lo <> hi").select("id")
+    several = sets.select("id", *own).join(many, "id", "left_semi").join(classes.select(F.col("id").alias("b"), *own), own).select(F.col("id").alias("a"), "b")
+    links = written(ids(verified(promising(first, heads, num, den), docs, k, num, den, id_col, text_col)).union(several), "links")
     comp = components(links)
 
     # what the first round has not joined
-    of = members.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("cls", "gid", F.coalesce("comp", "cls").alias("comp"))
-    spread = of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    tokens = shared.join(spread, "gid").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("tok")
-    open_ = written(shared.join(tokens, "tok", "left_semi").join(of, "gid").select("tok", "span", F.struct("cls", "comp", "n", "pos").alias("o")), "open")
-    left = open_.select("tok", F.col("o").alias("x"), F.explode(F.array(F.col("span") - 1, "span", F.col("span") + 1)).alias("span"))
-    right = open_.select("tok", F.col("o").alias("y"), "span")
-    rest = left.join(right, (left["tok"] == right["tok"]) & (left["span"] == right["span"]) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & enough("x.", "y."))
+    of = members.join(comp.select(F.col("id").alias("cid"), "comp"), F.col("cls.id") == F.col("cid"), "left").select("cls", "gid", F.coalesce("comp", "cls.id").alias("comp"))
+    of = written(of, "members")
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks")
+    spread = written(of.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")), "spread")
+    apart = shared.join(spread.select("gid", "lo", "hi"), "gid").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("tok")
+    open_ = written(shared.join(apart, "tok", "left_semi").select("gid", "n", "pos", "tok", "span").join(of, "gid").select("tok", "span", F.struct("cls", "comp", "n", "pos").alias("o")), "open")
+    open_ = open_.join(open_.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).select("tok", blocks), "tok")
+    x, y = in_blocks(open_, "o.cls", "blocks")
+    left = x.select("tok", F.col("o").alias("x"), F.explode(F.array(F.col("span") - 1, "span", F.col("span") + 1)).alias("span"), "row_block", "col_block")
+    right = y.select("tok", F.col("o").alias("y"), "span", "row_block", "col_block")
+    rest = left.join(right, ["tok", "span", "row_block", "col_block"]).where((F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & enough("x.", "y."))
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    inside = of.join(spread.where("lo < hi").select("gid"), "gid", "left_semi").select("gid", "cls", "comp")
-    same = inside.select("gid", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(inside.select("gid", F.col("cls").alias("b"), F.col("comp").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
+    inside = of.join(spread.where("lo < hi").select("gid", blocks), "gid")
+    x, y = in_blocks(inside, "cls", "blocks")
+    same = x.select("gid", F.col("cls").alias("a"), F.col("comp").alias("ca"), "row_block", "col_block").join(y.select("gid", F.col("cls").alias("b"), F.col("comp").alias("cb"), "row_block", "col_block"), ["gid", "row_block", "col_block"]).where("a < b and ca <> cb").select("a", "b")
     rest = written(promising(written(rest.union(same).distinct(), "pairs").join(first, ["a", "b"], "left_anti"), heads, num, den), "pairs")
     if rest.limit(1).count():
-        comp = components(links.union(verified(rest, docs, k, num, den, id_col, text_col)))
-    final = classes.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("n", "s1", "s2", "cnt", "cls", F.coalesce("comp", "cls").alias("comp"))
-    out = attach(narrow, final, ["n", "s1", "s2"], "cnt", F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("cls", "id")).otherwise(F.col("id")).alias("class_id"))
+        comp = components(links.union(ids(verified(rest, docs, k, num, den, id_col, text_col))))
+    final = classes.join(comp.select("id", "comp"), "id", "left").select(*own, "cnt", F.col("id").alias("cls"), F.coalesce("comp", "id").alias("comp"))
+    out = attach(narrow, written(final, "final"), own, "cnt", F.col("id"))
+    linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"), F.when(linked, F.coalesce("cls", "id")).otherwise(F.col("id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -227,5 +261,3 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     got = jaccard_components(docs, k, num, den)
     gone = got.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-

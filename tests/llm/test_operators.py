@@ -87,12 +87,32 @@ def test_jaccard_against_all_pairs(spark, k, num, den):
 
 
 def test_jaccard_edges(spark):
-    d = docs_of(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "q")])
+    d = docs_of(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "q"), (4, "long " + " ".join(f"w{i}" for i in range(60_000)))])
     got = jaccard.jaccard_components(d).collect()
-    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, 1 if [r for r in got if r.doc_id is None][0].component_id else -1), (1, 1), (1, 1), (2, 2)]
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (1, 1), (1, 1), (2, 2), (4, 4)]
+    assert {r.n_shingles for r in got if r.doc_id == 4} == {59_999}
     assert jaccard.jaccard_components(d.limit(0)).count() == 0
 
 
+def test_jaccard_one_id_with_several_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, x), (5, y), (7, y + " more"), (9, x), (2, z), (2, x + " more"), (8, z)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows), 3, 90, 100).collect()}
+    assert got == {(i, 2) for i in (2, 5, 7, 8, 9)}
+
+
+def test_jaccard_one_shingle_in_a_third_of_the_documents(spark):
+    """A shingle in very many sets, blocks of few rows: the same components as all pairs give."""
+    rng = np.random.default_rng(12)
+    rows = [(i, ("common passage of words " if i % 3 == 0 else "") + text(rng, int(rng.integers(2, 6)), 9)) for i in range(240)]
+    old, jaccard.BLOCK = jaccard.BLOCK, 8
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, rows), 3, 50, 100).collect()}
+    finally:
+        jaccard.BLOCK = old
+    assert got == components_by_hand({i: shingles(t, 3) for i, t in rows}, 50, 100)
+
+
 # --- vectors ---
 
 
