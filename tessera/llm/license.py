@@ -1,11 +1,14 @@
 """License scans: a classifier of paragraphs, confirmed by templates.
 
-Paragraphs are lines. Features are the words and word pairs that occur in templates of licence notices, once each, scaled
-by the paragraph's length; sparse multinomial logistic regression over licence families and an unknown class is trained on
-templates with random context and gaps, against paragraphs from a bounded sample of documents (``sample`` documents with
-the smallest hashed ids). Its scores are calibrated on held-out examples by a temperature, and unknown is a class like
-others, so a paragraph of which no family is likelier than not is unknown. A prediction counts once the pairs of the
-paragraph and of a template of its family agree to at least ``confirm``.
+A paragraph is a line, or lines up to a blank one (a line without letters or digits is blank): both are judged, and where a
+paragraph of several lines holds a line that is a notice by itself, the line is the finding, so a wrapped notice is found whole
+and a notice within other text is found by itself. Features are the words and word pairs that occur in templates of licence
+notices, once each, scaled by the paragraph's length; sparse multinomial logistic regression over licence families and an
+unknown class is trained on templates with random context and gaps, against paragraphs of the corpus: of about ``sample``
+documents, those with the smallest hashes, the ``most`` paragraphs with the smallest hashes; executors send only their known
+features, so what reaches the driver doesn't grow with the input or its texts. Scores are calibrated on held-out examples by a
+temperature, and unknown is a class like others, so a paragraph of which no family is likelier than not is unknown. A
+prediction counts once the paragraph holds at least ``confirm`` of the words and pairs of a template of its family.
 
 Scoring is one pass over whole texts without a shuffle; the model is a fixed table of the templates' features.
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, mix, slices, small_batches, words_of
+from tessera.llm.common import bytes_of, lean, mix, sampled, sent, signed, slices, small_batches, words_of
 from tessera.llm.toxicity import _ALPHA
 
 #: Usual wordings of notices, by family.
@@ -88,7 +91,8 @@ UNKNOWN = "unknown"
 
 
 def paragraphs_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Features of a batch: paragraph's index (in order), feature hash; then each paragraph's text index, line and words."""
+    """Features of a batch: paragraph's index, feature hash; then each paragraph's text index, first line, last line and words.
+    Lines come first, then paragraphs of several lines."""
     raw, off = bytes_of(texts)
     plain = raw.copy()
     keep = _ALPHA[raw] | ((raw >= 48) & (raw <= 57)) | (raw == 10)
@@ -96,19 +100,30 @@ def paragraphs_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     h, doc, _, _, line = words_of(plain, off, lines=True)
     if not len(h):
         z = np.zeros(0, np.int64)
-        return z, h, z, z, z
-    new = np.ones(len(h), bool)
-    new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
-    par = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
+        return z, h, z, z, z, z
+    # lines before each text: words_of counts line breaks and texts' starts, a start at a line break once
+    breaks = np.flatnonzero(raw == 10)
+    starts = off[:-1][off[:-1] < len(raw)]
+    before = np.searchsorted(np.union1d(breaks, starts), off[doc], "right") - (raw[off[doc]] == 10)
+    line = line - before
+    other = np.ones(len(h), bool)
+    other[1:] = doc[1:] != doc[:-1]
+    gap = np.diff(line, prepend=line[:1])
     pair = mix(h[:-1] * np.uint64(3) + h[1:])
-    same = par[1:] == par[:-1]
-    brk = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(raw == 10, out=brk[1:])
-    edges = np.zeros(len(raw) + 1, np.int64)
-    edges[off] = 1
-    number = line[first] - (np.cumsum((raw == 10) | (edges[:-1] == 1))[off[doc[first]]] if len(raw) else 0)
-    return np.concatenate([par, par[1:][same]]), np.concatenate([h, pair[same]]), doc[first], number, np.diff(np.append(first, len(h)))
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    base = 0
+    for new, least in ((other | (gap != 0), 1), (other | (gap > 1), 2)):
+        par = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(h)) - 1
+        good = line[last] - line[first] + 1 >= least
+        name = np.where(good, np.cumsum(good) - 1 + base, -1)
+        same = (par[1:] == par[:-1]) & good[par[1:]]
+        one = good[par]
+        for o, x in zip(out, (np.concatenate([name[par[one]], name[par[1:][same]]]), np.concatenate([h[one], pair[same]]), doc[first[good]], line[first[good]], line[last[good]], (last - first + 1)[good]), strict=True):
+            o.append(x)
+        base += int(good.sum())
+    return tuple(np.concatenate(o) for o in out)
 
 
 class Model:
@@ -119,11 +134,11 @@ class Model:
     def __init__(self) -> None:
         self.classes = [UNKNOWN, *TEMPLATES]
         texts = [(k, t) for k, ts in TEMPLATES.items() for t in ts]
-        par, f, doc, _, _ = paragraphs_of(pa.array([t for _, t in texts]))
+        par, f, doc, *_ = paragraphs_of(pa.array([t for _, t in texts]))
         self.vocab = np.unique(f)
         self.sieve = np.zeros(1 << self.SIEVE, bool)
         self.sieve[(self.vocab >> np.uint64(64 - self.SIEVE)).astype(np.int64)] = True
-        self.templates = [(k, t, np.unique(f[doc[par] == i])) for i, (k, t) in enumerate(texts)]
+        self.templates = [(k, t, np.searchsorted(self.vocab, np.unique(f[doc[par] == i]))) for i, (k, t) in enumerate(texts)]
         self.w = np.zeros((len(self.vocab) + 1, len(self.classes)), np.float32)
         self.heat = 1.0
 
@@ -148,20 +163,34 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, sample: int = 1000, most_chars: int = 100_000, seed: int = 8) -> Model:
-    """The model, against paragraphs of the ``sample`` documents with the smallest hashed ids (of at most ``most_chars``)."""
+def background(docs: DataFrame, m: Model, sample: int, most: int, seed: int) -> list[tuple[list[int], int]]:
+    """(known features, words) of paragraphs of the corpus that hold no notice by the look of it."""
+    chosen = sampled(docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text"), F.col("h"), sample)
+    small_batches(docs.sparkSession, 500)
+    held = sent(docs.sparkSession, m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held()
+        for b in batches:
+            for i, j in slices(b.column(1)):
+                par, f, doc, first, _, words = paragraphs_of(b.column(1).slice(i, j - i))
+                p, v = m.known(par, f)
+                n = np.bincount(p, minlength=len(words))
+                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                key = mix(b.column(0).slice(i, j - i).to_numpy().view(np.uint64)[doc] + (first * 2 + (np.arange(len(words)) > 0)).astype(np.uint64))
+                yield pa.record_batch([pa.array(signed(key)), pa.ListArray.from_arrays(pa.array(at), pa.array(v.astype(np.int32))), pa.array(words)], names=["h", "v", "n"]).filter(pa.array(n < 0.5 * (2 * words - 1)))
+
+    got = chosen.mapInArrow(lean(run), "h long, v array<int>, n long").distinct().orderBy("h", "n").limit(most).collect()
+    return [(r.v, r.n) for r in got]
+
+
+def train(docs: DataFrame, sample: int = 1000, most: int = 6000, seed: int = 8) -> Model:
+    """The model, against at most ``most`` paragraphs of about ``sample`` documents."""
     m = Model()
     rng = np.random.default_rng(seed)
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select(F.xxhash64("doc_id", F.lit(5)).alias("h"), "text").orderBy("h", "text").limit(sample).collect()
-    lines = [x for r in rows for x in r.text.split("\n") if x.strip()]
-    back = [lines[i] for i in rng.permutation(len(lines))[:6000]]
-    # paragraphs that hold a notice are no examples of unknown
-    par, f, doc, _, words = paragraphs_of(pa.array(back, pa.string()))
-    p, v = m.known(par, f)
-    near = {int(doc[k]) for k in np.flatnonzero(np.bincount(p, minlength=len(words)) >= 0.5 * (2 * words - 1))} if len(words) else set()
-    back = [x for i, x in enumerate(back) if i not in near]
-    filler = [w for x in back[:2000] for w in x.split()] or ["lorem", "ipsum", "dolor"]
-    texts, y = list(back), [0] * len(back)
+    back = background(docs, m, sample, most, seed)
+    texts, y = [], []
+    filler = [f"filler{i}" for i in range(500)]
     for c, k in enumerate(m.classes[1:], 1):
         for t in TEMPLATES[k]:
             ws = t.split()
@@ -179,9 +208,12 @@ def train(docs: DataFrame, sample: int = 1000, most_chars: int = 100_000, seed:
                 few = [ws[i] for i in rng.integers(0, len(ws), max(1, len(ws) // 8))] + [filler[i] for i in rng.integers(0, len(filler), 12)]
                 texts.append(" ".join(few[i] for i in rng.permutation(len(few))))
                 y.append(0)
-    par, f, doc, _, words = paragraphs_of(pa.array([re.sub(r"\s+", " ", t) for t in texts], pa.string()))
+    par, f, doc, _, _, words = paragraphs_of(pa.array(texts, pa.string()))
     y = np.array(y)[doc]
     p, v = m.known(par, f)
+    p = np.concatenate([p, len(words) + np.repeat(np.arange(len(back)), [len(v) for v, _ in back])]).astype(np.int64)
+    v = np.concatenate([v, *(np.array(v, np.int64) for v, _ in back)])
+    words, y = np.append(words, [n for _, n in back]).astype(np.float64), np.append(y, np.zeros(len(back), np.int64)).astype(np.int64)
     x = np.zeros((len(words), len(m.vocab)), np.float32)
     x[p, v] = (1 / np.sqrt(words))[p]
     held = rng.random(len(y)) < 0.2
@@ -215,15 +247,15 @@ def scan(docs: DataFrame, model: Model, likely: float = 0.5, confirm: float = 0.
     """(doc_id, line, family, probability, template, agreement, paragraph) of the confirmed notices."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
-    sent = spark.sparkContext.broadcast(model)
+    held = sent(spark, model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = held()
         for b in batches:
             for i, j in slices(b.column(1)):
                 texts = b.column(1).slice(i, j - i)
-                par, f, doc, line, words = paragraphs_of(texts)
+                par, f, doc, line, last, words = paragraphs_of(texts)
                 p, v = m.known(par, f)
                 # a paragraph without features is as unknown as the bias says; only the others are scored
                 some, inv = np.unique(p, return_inverse=True)
@@ -231,17 +263,21 @@ def scan(docs: DataFrame, model: Model, likely: float = 0.5, confirm: float = 0.
                     continue
                 prob = m.scores(inv, v, words[some])
                 c = prob.argmax(axis=1)
-                out = []
+                out, lines = [], set()
                 for k in np.flatnonzero((c > 0) & (prob[np.arange(len(c)), c] >= likely)):
                     q = some[k]
-                    own = np.unique(f[par == q])
-                    share = lambda t: len(np.intersect1d(own, t[2], assume_unique=True)) / min(len(own), len(t[2]))  # noqa: B023, E731
+                    d, a, z = int(doc[q]), int(line[q]), int(last[q])
+                    if z > a and any((d, x) in lines for x in range(a, z + 1)):
+                        continue  # the lines come first
+                    own = v[np.searchsorted(p, q) : np.searchsorted(p, q, "right")]
+                    share = lambda t: len(np.intersect1d(own, t[2], assume_unique=True)) / len(t[2])  # noqa: B023, E731
                     best = max((t for t in m.templates if t[0] == m.classes[c[k]]), key=share)
                     if share(best) >= confirm:
-                        out.append((int(doc[q]), int(line[q]), best[0], float(prob[k, c[k]]), best[1], share(best), texts[int(doc[q])].as_py().split("\n")[int(line[q])]))
+                        lines.add((d, a))
+                        out.append((d, a, best[0], float(prob[k, c[k]]), best[1], share(best), "\n".join(texts[d].as_py().split("\n")[a : z + 1])))
                 if out:
                     cols = list(zip(*out, strict=True))
                     ids = b.column(0).slice(i, j - i).take(pa.array(cols[0]))
                     yield pa.record_batch([ids, pa.array(cols[1], pa.int32()), *(pa.array(x, t) for x, t in zip(cols[2:], (pa.string(), pa.float64(), pa.string(), pa.float64(), pa.string()), strict=True))], names=["doc_id", "line", "family", "probability", "template", "agreement", "paragraph"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, line int, family string, probability double, template string, agreement double, paragraph string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, line int, family string, probability double, template string, agreement double, paragraph string")
