@@ -7,7 +7,8 @@ their regular expression. The index is as small as the rule list (a parameter, w
 one pass counts the rules' own tokens over all URLs, one pass judges, and no row is shuffled.
 
 Defined results: a null URL or one without ``://`` has empty host and path, which fixed rules never fit; patterns still see
-the text of a URL without ``://``; repeated rows stay; page_id may be null; other columns are not carried.
+the text of a URL without ``://``; line breaks and very long URLs are text like any other; repeated rows stay; page_id may be
+null; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import tessera.llm.common  # noqa: F401
+from tessera.llm.common import sent
 
 MOST_RULES = 1_000_000
 TOKEN = r"[a-z0-9]+"
@@ -47,10 +48,14 @@ PATTERNS = [
 class Rule:
     text: str
     verdict: str
-    regex: str  # on "host\npath" in lower-case host for fixed rules, on the URL in lower case for patterns
-    fixed: bool
+    regex: str  # a fixed rule's on the host, a pattern's on the URL, in lower case both
+    path: str | None  # a fixed rule's, on the path as it stands
     literals: tuple[str, ...]
 
+    @property
+    def fixed(self) -> bool:
+        return self.path is not None
+
 
 def fixed_rule(verdict: str, text: str) -> Rule:
     host, slash, path = text.partition("/")
@@ -58,7 +63,7 @@ def fixed_rule(verdict: str, text: str) -> Rule:
     tokens = re.findall(TOKEN, host)
     # the last token of the path may go on in a URL, so it is not a whole token there unless something follows it
     tokens += re.findall(rf"{TOKEN}(?=[^a-z0-9])", (slash + path).lower())
-    return Rule(text, verdict, rf"^(?:.*\.)?{re.escape(host)}\n{re.escape(slash + path)}", True, tuple(dict.fromkeys(tokens)))
+    return Rule(text, verdict, rf"^(?:.*\.)?{re.escape(host)}\Z", "^" + re.escape(slash + path), tuple(dict.fromkeys(tokens)))
 
 
 def pattern_rule(verdict: str, text: str) -> Rule:
@@ -68,7 +73,7 @@ def pattern_rule(verdict: str, text: str) -> Rule:
     rx = "".join(".*" if c == "*" else r"(?:[^a-z0-9_.%-]|$)" if c == "^" else re.escape(c) for c in body)
     # whole tokens only: those with a literal that is no letter or digit (or an anchor) on either side
     tokens = [m[0] for m in re.finditer(TOKEN, body) if (m.start() > 0 and body[m.start() - 1] != "*" or m.start() == 0 and anchored) and m.end() < len(body) and body[m.end()] != "*"]
-    return Rule(text, verdict, (r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?" if anchored else "") + rx, False, tuple(dict.fromkeys(tokens)))
+    return Rule(text, verdict, (r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?" if anchored else "") + rx, None, tuple(dict.fromkeys(tokens)))
 
 
 def host_of(url: Column) -> Column:
@@ -81,9 +86,10 @@ def path_of(url: Column) -> Column:
 
 
 def token_counts(urls: DataFrame, tokens: set[str]) -> dict[str, int]:
-    """How many URLs have each of the rules' tokens, over all rows."""
-    own = F.array_intersect(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})"), 1), F.array(*[F.lit(t) for t in sorted(tokens)]))
-    return {r.t: r.n for r in urls.select(F.explode(own).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """How many URLs have each of the rules' tokens, over all rows: as many numbers as the rules have tokens."""
+    mine = urls.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "t string")
+    own = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})"), 1))).alias("t"))
+    return {r.t: r.n for r in own.join(F.broadcast(mine), "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def judge(pages: DataFrame, fixed: list[tuple[str, str]] | None = None, patterns: list[tuple[str, str]] | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -98,11 +104,11 @@ def judge(pages: DataFrame, fixed: list[tuple[str, str]] | None = None, patterns
     index: dict[str | None, list[Rule]] = {}
     for r in rules:
         index.setdefault(min(r.literals, key=lambda t: (seen.get(t, 0), t), default=None), []).append(r)
-    sent = urls.sparkSession.sparkContext.broadcast(index)
+    held = sent(urls.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, token = sent.value, re.compile(TOKEN)
-        compiled = {r: re.compile(r.regex, re.S) for rs in by.values() for r in rs}
+        by, token = held(), re.compile(TOKEN)
+        compiled = {r: (re.compile(r.regex, re.S), re.compile(r.path or "", re.S)) for rs in by.values() for r in rs}
         lower = {c: c + 32 for c in range(65, 91)}
         longest = lambda r: (len(r.text), r.text)
         for b in batches:
@@ -110,9 +116,8 @@ def judge(pages: DataFrame, fixed: list[tuple[str, str]] | None = None, patterns
             for url, host, path in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 low = (url or "").translate(lower)
                 ask = [r for t in {*token.findall(low), None} for r in by.get(t, ())]
-                place = f"{host}\n{path}"
-                rule = max((r for r in ask if r.fixed and compiled[r].search(place)), key=longest, default=None)
-                hit = None if rule else max((r for r in ask if not r.fixed and compiled[r].search(low)), key=longest, default=None)
+                rule = max((r for r in ask if r.fixed and compiled[r][0].match(host) and compiled[r][1].match(path)), key=longest, default=None)
+                hit = None if rule else max((r for r in ask if not r.fixed and compiled[r][0].search(low)), key=longest, default=None)
                 rules_.append(rule and rule.text)
                 hits.append(hit and hit.text)
                 verdicts.append((rule or hit).verdict if rule or hit else default)
