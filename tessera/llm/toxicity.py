@@ -2,7 +2,7 @@
 
 Severity has ordered grades 0..K; P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds
 t_0 < t_1 < ... A text's features are its distinct words, hashed; a word counts once however long the text. Trained on a
-bounded sample of labelled rows (``sample``: those whose hashed ids are smallest), here by proximal AdaGrad with a penalty
+bounded sample of labelled rows (``sample``, about: those whose hashed ids are smallest), here by proximal AdaGrad with a penalty
 that keeps weights of words which few texts bear out at zero. Expected severity is the sum of P(grade > k).
 
 Grades come from labels: 0 where toxic = 0, 1 for a toxic text of good quality, 2 for a toxic text of low quality. The
@@ -11,8 +11,10 @@ threshold for rejection is the one that does best on held-out rows of the sample
 Scoring is one pass over all texts, whole, with no shuffle; the model (two numbers a feature, a fixed table) is broadcast.
 
 Defined results: null, empty and wordless texts have expected severity 0 and grade 0; repeated rows score alike; a label
-counts once per document, contradictory ones as the worst; labels without a document, null labels and null ids are left
-out of training; without any label, or with labels of one kind, nothing is rejected; other columns stay as they are.
+counts once per document, contradictory ones as the worst; of several texts of one id training takes the one whose hash is
+least; labels without a document, null labels and null ids are left out of training; without any label, or with labels of
+one kind, nothing is rejected; other columns stay as they are, but input columns named expected_severity, grade or rejected
+give way to the results.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, slices, small_batches, words_of
+from tessera.llm.common import bytes_of, lean, sampled, sent, slices, small_batches, words_of
 
 BITS = 20
 LEAST = -0.5
@@ -108,11 +110,11 @@ def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal | None:
-    """The model, from the ``sample`` labelled documents with the smallest hashed ids; None if labels are of one kind."""
+    """The model, from about ``sample`` labelled documents, those with the smallest hashed ids; None if labels are of one kind."""
     lab = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("x"), F.min("quality").alias("g"))
-    chosen = lab.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample)
+    chosen = sampled(lab, F.col("doc_id"), sample)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(F.broadcast(chosen), "doc_id")
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "x", "g").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = joined.select("doc_id", F.when(F.col("x") == 0, 0).otherwise(F.when(F.coalesce("g", F.lit(0)) > 0, 1).otherwise(2)).cast("long").alias("y"), "text")
     small_batches(docs.sparkSession, 1000)
 
@@ -123,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal |
                 at = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32)))], names=["doc_id", "y", "f"])
 
-    t = got.mapInArrow(run, "doc_id long, y long, f array<int>").toArrow().combine_chunks()
+    t = got.mapInArrow(lean(run), "doc_id long, y long, f array<int>").toArrow().combine_chunks()
     ids, y = t.column(0).to_numpy(), t.column(1).to_numpy()
     if not len(y) or y.min() == y.max():
         return None
@@ -146,15 +148,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal |
     return m
 
 
-def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
-    """docs with expected_severity double, grade int (the most that is more likely than not), rejected boolean."""
+def _scored(docs: DataFrame, model: Ordinal | None) -> DataFrame:
+    """docs with severity__ (s, g) and rejected__."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
-    sent = spark.sparkContext.broadcast(model)
+    held = sent(spark, model)
 
     @F.arrow_udf("struct<s: double, g: int>")
     def severity(texts: pa.Array) -> pa.Array:
-        m, s, g = sent.value, [], []
+        m, s, g = held(), [], []
         for i, j in slices(texts):
             p = m.above(*features_of(texts.slice(i, j - i)), j - i) if m else np.zeros((j - i, 1))
             s.append(p.sum(axis=1))
@@ -162,12 +164,16 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
         empty = np.zeros(0)
         return pa.StructArray.from_arrays([pa.array(np.concatenate([empty, *s])), pa.array(np.concatenate([empty, *g]).astype(np.int32))], names=["s", "g"])
 
-    out = docs.withColumn("severity__", severity(F.coalesce(F.col("text"), F.lit(""))))
-    cut = model.cut if model else float("inf")
+    cut = F.lit(model.cut if model else float("inf"))
+    return docs.select("*", severity(F.coalesce(F.col("text"), F.lit(""))).alias("severity__")).withColumn("rejected__", F.col("severity__.s") >= cut)
+
+
+def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
+    """docs with expected_severity double, grade int (the most that is more likely than not), rejected boolean."""
     own = [c for c in docs.columns if c not in ("expected_severity", "grade", "rejected")]
-    return out.select(*own, F.col("severity__.s").alias("expected_severity"), F.col("severity__.g").alias("grade"), (F.col("severity__.s") >= F.lit(cut)).alias("rejected"))
+    return _scored(docs, model).select(*own, F.col("severity__.s").alias("expected_severity"), F.col("severity__.g").alias("grade"), F.col("rejected__").alias("rejected"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
     """The pipeline's form: documents that are not rejected, as they were."""
-    return score(docs, train(docs, labels, sample)).where("not rejected").select(*docs.columns)
+    return _scored(docs, train(docs, labels, sample)).where("not rejected__").select(*docs.columns)
