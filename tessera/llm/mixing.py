@@ -6,14 +6,17 @@ each round sees to, and what that takes away the next round gives to others. A d
 probability, weight x budget / tokens, by a hash of its id: the same decision in every run, and a copy's is the same too.
 
 One pass adds up tokens by cell (summed before the shuffle, so a source with a third of all rows is one partial sum a task),
-raking works on cells, one pass samples. Cells are joined to documents by a shuffle unless they are few; the cells of most
+raking works on cells, one pass samples. Raking goes on, ROUNDS rounds at a time, until no cell's weight moves by more than
+TOLERANCE of itself over ROUNDS rounds (MOST times at most); ``unmet`` tells how far each value's share is from its target,
+which is what the caps leave over. Cells are joined to documents by a shuffle unless they are few; the cells of most
 documents are broadcast, fewer than 256 whatever the input.
 
 Targets: ``targets`` (dimension, value, share), or each value's token share to the power ``flatten``, made to sum to 1.
 
 Defined results: null source, language or topic is the value ''; null or empty text has no tokens and probability 1 (it
 takes nothing from the budget); null ids share one draw; repeated rows are all kept or all dropped; no documents: no rows;
-other columns stay as they are.
+other columns stay as they are, but in ``mix`` input columns named topic, n_tokens, probability or kept give way to the
+results (``sample`` returns them as they were).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from tessera.llm.common import attach, written
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, FLATTEN, KEEP, SEED = 8, 0.7, 0.8, "mix-1"
+TOLERANCE, MOST = 0.002, 40
 WORD = r"[^\x20\x09-\x0D]+"
 #: (topic, what a text of that topic contains); the first that fits.
 TOPICS = [("licence", "icense"), ("table", " | "), ("shouting", "!!"), ("symbols", "%%%")]
@@ -59,59 +63,84 @@ def shares(cells: DataFrame, dim: str, flatten: float, targets: DataFrame | None
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None) -> DataFrame:
-    """cells (source, lang, topic, tokens, docs) with p, the probability of their documents."""
+    """cells (source, lang, topic, tokens, docs) with w, their share of the budget, cap, the most it may be, and t_source, t_lang
+    and t_topic, the targets."""
     x = cells
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
     x = x.crossJoin(F.broadcast(total)).withColumn("cap", F.col("tokens") / (F.col("total") * keep)).withColumn("w", F.col("tokens") / F.col("total"))  # one row
     for d in DIMS:
         x = x.join(shares(cells, d, flatten, targets).select(F.col("value").alias(d), F.col("share").alias(f"t_{d}")), d)
-    x = written(x, "cells")
-    for r in range(rounds):
-        for d in DIMS:
-            x = x.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d)))
-        x = x.withColumn("w", F.least("w", "cap"))
-        if r % 2:
-            x = written(x, "raked")
-    return x.select(*DIMS, "docs", (F.col("w") / F.col("cap")).alias("p"))
+    x = written(x.withColumn("before", F.col("w")), "cells")
+    for _ in range(MOST):
+        x = x.withColumn("before", F.col("w"))
+        for r in range(rounds):
+            for d in DIMS:
+                x = x.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d)))
+            x = x.withColumn("w", F.least("w", "cap"))
+            if r % 4 == 3 or r == rounds - 1:
+                x = written(x, "raked")
+        moved = x.agg(F.max(F.abs(F.col("w") - F.col("before")) / F.col("before"))).first()[0]
+        if not moved or moved <= TOLERANCE:
+            break
+    return x.drop("before")
+
+
+def unmet(raked: DataFrame) -> DataFrame:
+    """(dimension, value, target, share) of raked cells: the shares that the weights have."""
+    every = F.sum("w").over(Window.partitionBy())
+    parts = [raked.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.first(f"t_{d}").alias("target"), F.sum("w").alias("w")).select("dimension", "value", "target", (F.col("w") / every).alias("share")) for d in DIMS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def tokens_of(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """docs with their cell (source__, lang__, topic__) and tokens__."""
+    value = lambda c: F.coalesce(c, F.lit(""))
+    n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("*", value(F.col("source")).alias("source__"), value(F.col("lang")).alias("lang__"), value(topic if topic is not None else topic_of(F.col("text"))).alias("topic__"), n.alias("tokens__"))
+
+
+def cells_of(x: DataFrame) -> DataFrame:
+    return x.where("tokens__ > 0").groupBy(*[F.col(f"{d}__").alias(d) for d in DIMS]).agg(F.sum("tokens__").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+
+
+def _weighed(docs: DataFrame, rounds: int, flatten: float, keep: float, targets: DataFrame | None, topic: Column | None) -> DataFrame:
+    x = tokens_of(docs, topic)
+    p = written(rake(written(cells_of(x), "tokens"), rounds, flatten, keep, targets).select(*[F.col(d).alias(f"{d}__") for d in DIMS], F.col("docs").alias("docs__"), (F.col("w") / F.col("cap")).alias("p__")), "p")
+    y = attach(x, p, [f"{d}__" for d in DIMS], "docs__", F.col("doc_id"))
+    prob = F.when(F.col("tokens__") > 0, F.least(F.col("p__"), F.lit(1.0))).otherwise(F.lit(1.0))
+    return y.withColumn("p__", prob).withColumn("kept__", draw(F.col("doc_id")) < F.col("p__"))
 
 
 def mix(docs: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None) -> DataFrame:
     """docs with topic, n_tokens, probability and kept."""
-    value = lambda c: F.coalesce(F.col(c), F.lit(""))
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability", "kept")]
-    x = docs.select(*own, F.coalesce(topic if topic is not None else topic_of(F.col("text")), F.lit("")).alias("topic"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
-    keys = [value("source").alias("source"), value("lang").alias("lang"), F.col("topic")]
-    cells = x.where("n_tokens > 0").select(*keys, "n_tokens").groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    p = written(rake(written(cells, "tokens"), rounds, flatten, keep, targets), "p")
-    p = p.select(F.col("source").alias("k_source"), F.col("lang").alias("k_lang"), F.col("topic").alias("topic"), "docs", "p")
-    y = x.withColumns({"k_source": value("source"), "k_lang": value("lang")})
-    y = attach(y, p, ["k_source", "k_lang", "topic"], "docs", F.col("doc_id"))
-    prob = F.when(F.col("n_tokens") > 0, F.least(F.col("p"), F.lit(1.0))).otherwise(F.lit(1.0))
-    return y.select(*own, "topic", "n_tokens", prob.alias("probability"), (draw(F.col("doc_id")) < prob).alias("kept"))
-
-
-def sample(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    new = [F.col(f"{a}__").alias(b) for a, b in (("topic", "topic"), ("tokens", "n_tokens"), ("p", "probability"), ("kept", "kept"))]
+    return _weighed(docs, rounds, flatten, keep, targets, topic).select(*own, *new)
+
+
+def sample(docs: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None) -> DataFrame:
     """The pipeline's form: the kept documents, as they were."""
-    return mix(docs, **options).where("kept").select(*docs.columns)
+    return _weighed(docs, rounds, flatten, keep, targets, topic).where("kept__").select(*docs.columns)
 
 
 def oracle(source: str = "documents") -> str:
-    """The same in DuckDB's SQL, with flattened shares as targets."""
+    """The same in DuckDB's SQL, with flattened shares as targets: a recursion whose steps are rounds."""
     topic = " ".join(f"WHEN contains(coalesce(text, ''), '{m}') THEN '{n}'" for n, m in TOPICS)
     out = [f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE 'prose' END AS topic,
       coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens FROM {source})""", "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL)"]
     for k in DIMS:
-        out.append(f"t_{k} AS (SELECT {k}, s / sum(s) OVER () AS t FROM (SELECT {k}, pow(sum(tokens), {FLATTEN}) AS s FROM cells GROUP BY {k}))")
-    out.append(f"r0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS w, tokens / ({KEEP} * sum(tokens) OVER ()) AS cap FROM cells)")
-    last = "r0"
-    for r in range(ROUNDS):
-        for k in DIMS:
-            name = f"r{r + 1}_{k}"
-            out.append(f"{name} AS MATERIALIZED (SELECT c.* EXCLUDE (w), w * t / sum(w) OVER (PARTITION BY {k}) AS w FROM {last} c JOIN t_{k} USING ({k}))")
-            last = name
-        out.append(f"r{r + 1} AS MATERIALIZED (SELECT * EXCLUDE (w), least(w, cap) AS w FROM {last})")
-        last = f"r{r + 1}"
-    return "WITH " + ",\n".join(out) + f"""
+        out.append(f"t_{k} AS (SELECT {k}, s / sum(s) OVER () AS t_{k} FROM (SELECT {k}, pow(sum(tokens), {FLATTEN}) AS s FROM cells GROUP BY {k}))")
+    out.append(f"""c AS (SELECT source, lang, topic, tokens / sum(tokens) OVER () AS w, tokens / ({KEEP} * sum(tokens) OVER ()) AS cap, t_source, t_lang, t_topic
+      FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))""")
+    step = f"(SELECT * EXCLUDE (w, before), w, CASE WHEN k % {ROUNDS} = 0 THEN w ELSE before END AS before FROM r WHERE NOT rests AND k < {ROUNDS * MOST})"
+    for d in DIMS:
+        step = f"(SELECT * EXCLUDE (w), w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {step})"
+    cols = "source, lang, topic, cap, t_source, t_lang, t_topic"
+    out.append(f"""r AS (SELECT 0 AS k, {cols}, w, w AS before, false AS rests FROM c
+      UNION ALL SELECT k, {cols}, w, before, k % {ROUNDS} = 0 AND max(abs(w - before) / before) OVER () <= {TOLERANCE} AS rests
+      FROM (SELECT k + 1 AS k, {cols}, least(w, cap) AS w, before FROM {step}))""")
+    return "WITH RECURSIVE " + ",\n".join(out) + f"""
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 12))::BIGINT / {float(1 << 48)} < p AS kept
-FROM (SELECT d.*, CASE WHEN n_tokens > 0 THEN least(w / cap, 1.0) ELSE 1.0 END AS p FROM d LEFT JOIN {last} USING (source, lang, topic))"""
+FROM (SELECT d.*, CASE WHEN n_tokens > 0 THEN least(w / cap, 1.0) ELSE 1.0 END AS p
+      FROM d LEFT JOIN (SELECT * FROM r WHERE k = (SELECT max(k) FROM r)) USING (source, lang, topic))"""
