@@ -13,7 +13,8 @@ whatever the documents' lengths, and all go through one grouping.
 
 Defined results: null and empty texts stay as they are; blank lines belong to no run and stay; a text loses whole lines with
 the line break after them (the last line: before it); rows with the same id and text are one document and change alike;
-null ids come last in the order; other columns stay as they are.
+null ids come last in the order; other columns stay as they are, but in ``dedup_lines`` an input column removed_lines gives way
+to the result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.llm.common import SPACE, attach, bytes_of, mix, powers, signed, slices, small_batches, written
+from tessera.llm.common import SPACE, attach, bytes_of, lean, mix, powers, signed, slices, small_batches, written
 
 _g = np.random.default_rng(99)
 EXACT = [_g.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -109,7 +110,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     some = docs.where(F.col(text_col).isNotNull()).select(key.alias("rid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = written(some.mapInArrow(run, "rid long, th long, at int, lines array<int>, n1 long, n2 long"), "blocks")
+    rows = written(some.mapInArrow(lean(run), "rid long, th long, at int, lines array<int>, n1 long, n2 long"), "blocks")
     first = written(rows.groupBy("n1", "n2").agg(F.min(F.struct("rid", "th", "at")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "intervals")
     later = attach(rows, first, ["n1", "n2"], "c", F.struct("rid", "at")).where(F.struct("rid", "th", "at") > F.col("first"))
     return later.groupBy("rid", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"))
@@ -129,22 +130,28 @@ def _without(text, lines):  # noqa: ANN001
     return pd.Series([one(t, g) for t, g in zip(text, lines, strict=True)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later copies of repeated runs cut out of ``text_col``, and removed_lines array<int> (empty if none)."""
+def _cut(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with later copies of repeated runs cut out of ``text_col``, and removed__."""
     gone = repeated_lines(docs, min_words, id_col, text_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     own = docs.select("*", key.alias("rid__"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th__"))
-    gone = gone.select(F.col("rid").alias("rid__"), F.col("th").alias("th__"), F.col("lines").alias("removed_lines__"))
+    gone = gone.select(F.col("rid").alias("rid__"), F.col("th").alias("th__"), F.col("lines").alias("lines__"))
     both = own.join(gone, ["rid__", "th__"], "left")
-    cut = _without(F.when(F.col("removed_lines__").isNotNull(), F.col(text_col)), F.col("removed_lines__"))
+    cut = _without(F.when(F.col("lines__").isNotNull(), F.col(text_col)), F.col("lines__"))
     text = F.coalesce(cut, F.col(text_col)).alias(text_col)
-    return both.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.coalesce("removed_lines__", F.expr("cast(array() as array<int>)")).alias("removed_lines"))
+    return both.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.coalesce("lines__", F.expr("cast(array() as array<int>)")).alias("removed__"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with later copies of repeated runs cut out of ``text_col``, and removed_lines array<int> (empty if none)."""
+    out = _cut(docs, min_words, id_col, text_col)
+    return out.select(*[c for c in docs.columns if c != "removed_lines"], F.col("removed__").alias("removed_lines"))
 
 
 def drop_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """The pipeline's form: the columns of documents, n_chars anew where lines went; documents of which no word is left
     go, unless they had none before."""
-    out = dedup_lines(docs, min_words)
-    hit = F.size("removed_lines") > 0
+    out = _cut(docs, min_words, "doc_id", "text")
+    hit = F.size("removed__") > 0
     cols = [F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.where(~hit | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*cols)
