@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, slices, small_batches
+from tessera.llm.common import bytes_of, lean, slices, small_batches
 
 #: Letters, numbers and white space of which every version of Unicode says the same; other texts go to the library whole.
 LETTER = r"A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-яЁёぁ-ゖァ-ヺ一-龥가-힣"
 NUMBER = r"0-9²³¹¼-¾"
 PLAIN = rf"\n\t\r\x20-\x7e¡-ɏ‐-‧‰-⁞€{LETTER}"
 WINDOW = 32
+BLOCK = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -98,13 +99,17 @@ class ChunkEncoder:
 
     def cuts(self, raw: np.ndarray) -> np.ndarray:
         """Places where a chunk may start, from the bytes before them alone."""
-        h = self.gear[raw]
-        k = 1
-        while k < WINDOW:
-            h[k:] += h[:-k] << np.uint32(k)
-            k *= 2
-        ok = (h >> np.uint32(32 - self.bits)) == 0
-        at = np.flatnonzero(ok[:-1]) + 1
+        out = []
+        for lo in range(0, max(len(raw) - 1, 0), BLOCK):  # block by block, so that long texts need little
+            part = raw[max(0, lo - WINDOW + 1) : lo + BLOCK]
+            h = self.gear[part]
+            k = 1
+            while k < WINDOW:
+                h[k:] += h[:-k] << np.uint32(k)
+                k *= 2
+            at = np.flatnonzero((h >> np.uint32(32 - self.bits)) == 0) + max(0, lo - WINDOW + 1) + 1
+            out.append(at[(at > lo) & (at < len(raw))])
+        at = np.concatenate(out) if out else np.zeros(0, np.int64)
         return at[(raw[at] & 0xC0) != 0x80]
 
     def chunk(self, raw: bytes) -> tuple[str, bytes, str] | str:
@@ -196,7 +201,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     near = F.array_min(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.xxhash64(x)))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = docs.select(id_col, text_col, near.alias("near__")).repartitionByRange(n, "near__", id_col)
-    return dealt.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, ids binary" + ", text string" * decoded)
+    return dealt.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind.simpleString()}, ids binary" + ", text string" * decoded)
 
 
 def decode(ids: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
@@ -211,7 +216,7 @@ def decode(ids: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
                 part = b.column(1).slice(i, 200)
                 yield pa.record_batch([b.column(0).slice(i, 200), part, pa.array(map(d.text, part.to_pylist()), pa.string())], names=[id_col, "ids", "text"])
 
-    return ids.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind.simpleString()}, ids binary, text string")
+    return ids.select(id_col, "ids").mapInArrow(lean(run), f"{id_col} {kind.simpleString()}, ids binary, text string")
 
 
 def token_ids(ids: DataFrame) -> DataFrame:
