@@ -13,8 +13,8 @@ none under its bound. That stage is exact, so recall is 1; its cost is queries x
 Only the projection's scale is fitted, on a sample of at most ``sample`` rows; every row is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite parts take no part, nor do null ids; vectors
-of different lengths are never neighbours; equal scores: smaller id first; repeated rows count once; other columns are not
-carried.
+of different lengths are never neighbours; equal scores: smaller id first; repeated rows count once, and an id that comes
+with several vectors counts with the best of them (as a query: each of its vectors asks); other columns are not carried.
 """
 
 from __future__ import annotations
@@ -151,12 +151,17 @@ def search(emb: DataFrame, is_query: Column, k: int = 20, curves: int = 4, windo
     r_parts = max(spark.sparkContext.defaultParallelism, -(-total // (8 * stripe)))
     left = vecs.where("q").join(bound, "id", "left").select(F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(r_parts - 1))).alias("j"), F.lit(None).cast("long").alias("place"), "id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
     first = placed.where("curve = 0")
-    cuts = first.approxQuantile("place", [x / r_parts for x in range(1, r_parts)], 0.1 / r_parts) if r_parts > 1 and total else []
-    stripe_of = F.lit(0)
-    for c in cuts:
-        stripe_of = stripe_of + (F.col("place") > c).cast("int")
-    # a place that holds very many rows would make one stripe long; its rows are dealt on by id
-    right = first.withColumn("j", stripe_of).select(F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("i"), "j", "place", "id", "v", F.lit(None).cast("double").alias("bound"))
+    cuts = np.array(first.approxQuantile("place", [x / r_parts for x in range(1, r_parts)], 0.1 / r_parts) if r_parts > 1 and total else [])
+
+    @F.arrow_udf("int")
+    def stripe_of(places: pa.Array, spread: pa.Array) -> pa.Array:
+        """A place's stripe; a place that makes up several cuts holds the rows of several stripes, which are dealt by id."""
+        x = places.to_numpy()
+        lo, hi = np.searchsorted(cuts, x, "left"), np.searchsorted(cuts, x, "right")
+        return pa.array((lo + spread.to_numpy() % (hi - lo + 1)).astype(np.int32))
+
+    j = stripe_of("place", F.pmod(F.xxhash64("id"), F.lit(1 << 31))) if len(cuts) else F.lit(0)
+    right = first.withColumn("j", j).select(F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("i"), "j", "place", "id", "v", F.lit(None).cast("double").alias("bound"))
 
     def scan(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -199,5 +204,5 @@ def search(emb: DataFrame, is_query: Column, k: int = 20, curves: int = 4, windo
         return pa.table({c: pa.array(np.concatenate(o) if o else np.zeros(0, t)) for c, o, t in zip(("query_id", "vec_id", "score"), out, kinds, strict=True)})
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    merged = found.union(near).dropDuplicates(["query_id", "vec_id"])
+    merged = found.union(near).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
