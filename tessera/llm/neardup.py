@@ -14,7 +14,7 @@ without structure is nearly all. ``recall_of`` measures recall against brute for
 
 Defined results: null, zero, empty and non-finite vectors have no links and are their own component; vectors of different
 lengths never link; rows with the same id and vector count once for links and come back as often as they came; null ids
-link with nothing; other columns are not carried.
+link with nothing, have a null component and are kept; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -255,7 +255,7 @@ def near_duplicates(emb: DataFrame, threshold: float = 0.95, passes: int = 14, w
         comp = written(components(comp.select(F.col("comp").alias("a"), F.col("id").alias("b")).union(more)), "components")
     n = link_counts(vecs.join(comp.select("id"), "id", "left_semi"), comp, threshold)
     out = emb.select(F.col(id_col).cast("long").alias("vec_id")).join(comp.join(n, "id", "left").select(F.col("id").alias("vec_id"), "comp", "n"), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"), (F.coalesce("comp", "vec_id") == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"), F.coalesce(F.coalesce("comp", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def recall_of(found: DataFrame, emb: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", col: str = "embedding") -> float:
