@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, jaccard, license, linededup, mixing, neardup, toxicity, urlfilter, warc  # noqa: A004
+from tessera.llm import ann, bpe, jaccard, license, linededup, mixing, neardup, oracles, toxicity, urlfilter, warc  # noqa: A004
 
 
 def tokenizer_path() -> str:
@@ -68,4 +68,4 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_ann_hilbert, op3_ngram_jaccard, op4_url_filter, op5_embedding_neardup, op6_toxicity, op7_line_dedup, op8_warc, op9_mixing, op10_license)
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": urlfilter.ORACLE, "op9_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": urlfilter.ORACLE, "op9_mixing": mixing.oracle(), **oracles.SQL}

@@ -220,6 +220,13 @@ def test_url_filter_by_hand(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_filter_edges(spark):
+    urls = [(1, "http://evil.org/a.com\n/x", 1), (2, "http://a.com\n/x", 1), (None, "http://a.net/es/1", 1), (3, "http://b.org/" + "x" * 200_000, 1), (3, "http://b.org/" + "x" * 200_000, 1), (4, "http://sub.net\n.org/fr/", 1)]
+    got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string, rule int"))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "pattern"]
+    assert sorted((r.page_id or 0, r.rule or "") for r in got.collect()) == [(0, "net/es/"), (1, ""), (2, ""), (3, ""), (3, ""), (4, "")]
+
+
 def test_url_rules_found_by_index_are_those_found_by_trying_all():
     rules = [urlfilter.pattern_rule(v, t) for v, t in urlfilter.PATTERNS] + [urlfilter.fixed_rule(v, t) for v, t in urlfilter.FIXED]
     rng = np.random.default_rng(4)
@@ -228,10 +235,10 @@ def test_url_rules_found_by_index_are_those_found_by_trying_all():
         url = "".join(rng.choice(parts) for _ in range(int(rng.integers(1, 7))))
         low = url.lower()
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
-        place = f"{m[1].lower()}\n{m[2]}" if m else "\n"
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
         have = set(re.findall(urlfilter.TOKEN, low))
         for r in rules:
-            if re.search(r.regex, place if r.fixed else low, re.S):
+            if r.fixed and re.match(r.regex, host, re.S) and re.match(r.path, path, re.S) or not r.fixed and re.search(r.regex, low, re.S):
                 assert set(r.literals) <= have, (url, r)
 
 
@@ -326,7 +333,7 @@ def test_warc_round_trip(spark, tmp_path):
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got)
     assert kinds == sorted([(0, "response", None), (1, "revisit", 4), (2, "revisit", 3), (3, "response", None), (4, "response", None), (4, "revisit", 4), (5, "response", None), (6, "response", None)], key=lambda x: (x[0], x[1], x[2] or 0))
     again = str(tmp_path / "v")
-    warc.write_warc(df, again, roll_bytes=200)
+    warc.write_warc(df.repartition(3, "url"), again, roll_bytes=200)
     assert [p.read_bytes() for p in sorted((tmp_path / "w").glob("*.warc.gz"))] == [p.read_bytes() for p in sorted((tmp_path / "v").glob("*.warc.gz"))]
     assert warc.archive(df.limit(0), str(tmp_path / "e")).count() == 0
     import sys
@@ -340,10 +347,25 @@ def test_warc_round_trip(spark, tmp_path):
 # --- mixing ---
 
 
+def test_mixing_rakes_until_weights_rest(spark):
+    """A source with a third of all tokens: shares come as near their targets as probabilities of at most 1 allow."""
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", (3000 if i == 0 else 100) * (j + 1) * (1 + (i + k) % 3), 1) for i in range(8) for j in range(3) for k in range(3)], "source string, lang string, topic string, tokens long, docs long")
+    raked = mixing.rake(cells, flatten=0.7, keep=0.8)
+    got = raked.toPandas()
+    w, cap = got.tokens / got.tokens.sum(), got.tokens / got.tokens.sum() / 0.8
+    for _ in range(3000):
+        for d in mixing.DIMS:
+            w = w * got[f"t_{d}"] / w.groupby(got[d]).transform("sum")
+        w = np.minimum(w, cap)
+    assert (abs(got.w / w - 1) < 0.02).all()
+    left = mixing.unmet(raked).toPandas()
+    assert len(left) == 14 and left.groupby("dimension").share.sum().round(9).eq(1).all()
+
+
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(7)
     rows = [(i, text(rng, int(rng.integers(5, 40))), "en" if i % 3 else "de", f"s{i % 4}", 0, "x", 1) for i in range(2000)]
-    df = spark.createDataFrame([*rows, (None, None, None, None, None, None, None), (3000, "", "en", None, 0, "x", 1)], DOCS)
+    df = spark.createDataFrame([*rows, rows[0], rows[0], (None, None, None, None, None, None, None), (3000, "", "en", None, 0, "x", 1)], DOCS)
     targets = spark.createDataFrame([("lang", "en", 0.5), ("lang", "de", 0.5)], "dimension string, value string, share double")
     got = mixing.mix(df, rounds=12, keep=0.5, targets=targets).toPandas()
     full = got[got.n_tokens > 0]
@@ -369,6 +391,60 @@ def test_license_held_out(spark):
     assert license.scan(df.limit(0), license.train(df.limit(0))).count() == 0
 
 
+def test_license_paragraphs():
+    """Lines first, then paragraphs of several lines, with the places that splitting at line breaks gives."""
+    import pyarrow as pa
+
+    t = ["\none two\nthree\n\n  \nfour", None, "five\n--\nsix\nseven", ""]
+    par, f, doc, first, last, words = license.paragraphs_of(pa.array(t))
+    assert list(zip(doc.tolist(), first.tolist(), last.tolist(), words.tolist(), strict=True)) == [(0, 1, 1, 2), (0, 2, 2, 1), (0, 5, 5, 1), (2, 0, 0, 1), (2, 2, 2, 1), (2, 3, 3, 1), (0, 1, 2, 3), (2, 2, 3, 2)]
+    assert np.bincount(par).tolist() == [2 * w - 1 for w in words]
+
+
+def test_license_wrapped_notice_is_one_finding(spark):
+    long = next(t for ts in license.TEMPLATES.values() for t in ts if t.startswith("To the extent"))
+    w = long.split()
+    notice = "\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5))
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join(text(rng, 20, 400) for _ in range(3))) for i in range(60)] + [(100, f"{text(rng, 9)}\n\n{notice}\n\n{text(rng, 9)}"), (101, f"{text(rng, 30_000)}\n\n{notice}"), (102, " ".join(w[:4]))]
+    got = license.scan(docs_of(spark, rows), license.train(docs_of(spark, rows))).collect()
+    assert sorted((r.doc_id, r.line, r.paragraph) for r in got) == [(100, 2, notice), (101, 2, notice)]
+
+
+# --- what executors need ---
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Workers that can't import the package run the operators that broadcast objects."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tessera.llm import queries as q
+for name in ("op4_url_filter", "op6_toxicity", "op10_license"):
+    print(name, q.QUERIES[name](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0 and out.stdout.count("op") >= 3, out.stderr[-2000:]
+
+
+def test_clashing_names(spark):
+    """Working columns don't meet those of the input."""
+    rows = [(i, f"some words of text number {i % 3}\nand a line that repeats itself", "en", "s", 7, 0.5, "mine", [1], 3, True) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, p double, topic string, removed_lines array<int>, grade int, kept boolean")
+    assert mixing.sample(df).columns == df.columns and {r.topic for r in mixing.sample(df).collect()} == {"mine"}
+    assert {r.p for r in mixing.mix(df).collect()} == {0.5} and mixing.mix(df).columns.count("topic") == 1
+    out = linededup.dedup_lines(df)
+    assert out.columns.count("removed_lines") == 1 and linededup.drop_lines(df).columns == df.columns
+    assert {tuple(r.removed_lines) for r in linededup.drop_lines(df).collect()} == {(1,)}
+    assert toxicity.score(df, None).columns.count("grade") == 1 and {r.grade for r in toxicity.reject_toxic(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()} == {3}
+
+
 # --- the pipeline ---
 
 
