@@ -28,7 +28,7 @@ from tessera.llm.common import attach, written
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, FLATTEN, KEEP, SEED = 8, 0.7, 0.8, "mix-1"
-TOLERANCE, MOST = 0.002, 40
+TOLERANCE, MOST, FEW = 0.01, 40, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: (topic, what a text of that topic contains); the first that fits.
 TOPICS = [("licence", "icense"), ("table", " | "), ("shouting", "!!"), ("symbols", "%%%")]
@@ -70,10 +70,13 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep:
     x = x.crossJoin(F.broadcast(total)).withColumn("cap", F.col("tokens") / (F.col("total") * keep)).withColumn("w", F.col("tokens") / F.col("total"))  # one row
     for d in DIMS:
         x = x.join(shares(cells, d, flatten, targets).select(F.col("value").alias(d), F.col("share").alias(f"t_{d}")), d)
-    x = written(x.withColumn("before", F.col("w")), "cells")
+    x = written(x, "cells")
+    # few cells are raked in one task, where windows need no shuffle; more are shuffled by each dimension
+    few = x.count() <= FEW
     for _ in range(MOST):
         x = x.withColumn("before", F.col("w"))
         for r in range(rounds):
+            x = x.coalesce(1) if few else x
             for d in DIMS:
                 x = x.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d)))
             x = x.withColumn("w", F.least("w", "cap"))
