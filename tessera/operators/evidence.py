@@ -85,16 +85,23 @@ def task_keys(qid: Column, id_: Column) -> Column:
     return F.array_distinct(F.filter(F.array(qid, digits(qid), id_, digits(id_)), lambda x: x.isNotNull() & (x != "")))
 
 
+#: Query tokens that are broadcast at most (some 20 MB).
+MOST_SENT = 400_000
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
     """(item_id, rank, doc_id, score): documents by the share of the query's tokens that they have, then longer, then
     first; fillers without a common token only where fewer than k have one.
 
-    Tokens meet in an equi-join; the most a query can gather is one row per document with a token of its, summed before
-    ranking. Fillers come from the k first documents, which every query could need."""
+    k is held to 1 to 5. The queries' tokens are sent to the documents while they are few (their number is checked), so that
+    each document's hits are summed where it lies and only one row for a query and document is shuffled; more tokens meet in
+    an equi-join. Fillers come from the k first documents, which every query could need."""
     k = min(max(k, 1), 5)
     q = queries.select("item_id", X.tokens(F.col("text")).alias("ts"))
     d = docs.select("doc_id", F.length("text").alias("n"), F.explode(X.tokens(F.col("text"))).alias("t"))
-    hits = q.select("item_id", F.size("ts").alias("m"), F.explode("ts").alias("t")).join(d, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    asked = q.select("item_id", F.size("ts").alias("m"), F.explode("ts").alias("t"))
+    asked = F.broadcast(asked) if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else asked
+    hits = d.join(asked, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     score = hits.select("item_id", "doc_id", "n", F.bround(F.col("c") / F.col("m"), 6).alias("score"))
     fill = docs.select("doc_id", F.length("text").alias("n")).where("n is not null").orderBy(F.desc("n"), "doc_id").limit(2 * k)
     short = score.groupBy("item_id").agg(F.count(F.lit(1)).alias("c"))

@@ -76,12 +76,19 @@ def repetition(reports: DataFrame, n: int = 24) -> DataFrame:
     grams = reports.select("doc_id", words.alias("w")).where(F.size("w") >= n).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))).alias("g"))
     ng = multiplicity(grams, "g", 3).select("doc_id", F.col("extra").alias("ng_extra"), F.col("n").alias("ng_n"), F.col("most").alias("ng_most"))
 
-    def tally(units: Column) -> Column:
-        return F.transform(F.array_distinct(units), lambda u: F.size(F.filter(units, lambda v: v == u)))
+    def longest_run(units: Column) -> Column:
+        """How often the most frequent unit occurs: the longest run of equals in sorted order."""
+        start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+        def step(acc: Column, u: Column) -> Column:
+            run = F.when(acc["last"] == u, acc["run"] + 1).otherwise(1)
+            return F.struct(u.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+        return F.aggregate(F.array_sort(units), start, step, lambda acc: acc["most"])
 
     x = reports.select("doc_id", X.sentences(F.col("report")).alias("s"), X.paragraphs(F.col("report")).alias("p"))
     out = x.join(ng, "doc_id", "left")
-    most = lambda a: F.coalesce(F.array_max(tally(F.col(a))), F.lit(0))
+    most = lambda a: longest_run(F.col(a))
     dup = lambda a: per(F.size(a) - F.size(F.array_distinct(a)), F.size(a))
     out = out.select("doc_id", F.size("p").alias("n_paragraphs"), dup("p").alias("dup_paragraphs"), most("p").alias("most_paragraph"), F.size("s").alias("n_sentences"), dup("s").alias("dup_sentences"), most("s").alias("most_sentence"), F.coalesce(F.col("ng_extra") / F.col("ng_n"), F.lit(0.0)).alias("dup_ngrams"), F.coalesce("ng_most", F.lit(0)).alias("most_ngram"))
     c = F.col

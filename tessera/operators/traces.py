@@ -145,6 +145,52 @@ def recent_pairs(m: DataFrame, tools: list[str], most: int = 2) -> DataFrame:
     return p.withColumn("pair", rn).where(F.col("pair") <= most).select("conv_id", "turn", "pair")
 
 
+#: Tools that gather material, and the tools that name a workflow's end.
+RESEARCH_TOOLS = [
+    "serper_search",
+    "fetch_website_content",
+    "fetch_website_content_with_images",
+    "fetch_website_images_only",
+    "image_search",
+    "extract_document_content",
+    "file_read",
+    "execute_code",
+]
+IMAGE_TOOL, SAVE_TOOL, REPORT_TOOL, MARK_TOOL = "ask_question_about_image", "file_saver", "generate_markdown_report", "mark_step"
+
+
+def workflow_modes(m: DataFrame, lookback: int, weights: dict[str, int]) -> DataFrame:
+    """(conv_id, turn, mode, weight) of assistants' calls: what a call ends, by the tools of the ``lookback`` messages before it.
+    ``weights`` has file_saver, report and mark_step, each at least 1."""
+    used = F.when(F.col("role").isin("assistant", "tool"), F.col("tool_name"))
+    p = m.withColumn("recent__", F.collect_set(used).over(conv().rowsBetween(-lookback, -1))).where((F.col("role") == "assistant") & F.col("tool_name").isNotNull())
+    saw = lambda *names: F.arrays_overlap("recent__", F.array(*[F.lit(n) for n in names]))
+    tool = F.col("tool_name")
+    modes = [
+        ((tool == SAVE_TOOL) & saw(IMAGE_TOOL), "workflow_image_to_file_saver", "file_saver"),
+        ((tool == SAVE_TOOL) & saw(*RESEARCH_TOOLS), "workflow_research_to_file_saver", "file_saver"),
+        (tool == SAVE_TOOL, "workflow_file_saver", "file_saver"),
+        (tool == REPORT_TOOL, "workflow_generate_report", "report"),
+        ((tool == MARK_TOOL) & saw(SAVE_TOOL, REPORT_TOOL), "workflow_mark_after_save_or_report", "mark_step"),
+    ]
+    mode, weight = F.when(F.lit(False), ""), F.when(F.lit(False), 1)
+    for c, name, kind in modes:
+        mode, weight = mode.when(c, name), weight.when(c, max(1, weights.get(kind, 1)))
+    return p.select("conv_id", "turn", mode.otherwise("").alias("mode"), weight.otherwise(1).alias("weight"))
+
+
+def recent_tool_pairs(m: DataFrame, tools: list[str], most: int = 2) -> DataFrame:
+    """(conv_id, turn): before a conversation's last message, the ``most`` latest messages that call or answer one of the tools, each
+    with its neighbour: the assistant's message before an answer, the answer after a call. Call and answer count apart."""
+    o = conv()
+    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
+    x = m.withColumns({"i__": F.row_number().over(o), "n__": n, "before__": F.lag(F.struct("turn", "role")).over(o), "after__": F.lead(F.struct("turn", "role")).over(o)})
+    hit = x.where(F.col("tool_name").isin(tools) & F.col("role").isin("assistant", "tool") & (F.col("i__") < F.col("n__")))
+    hit = hit.withColumn("k__", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("i__")))).where(F.col("k__") <= most)
+    near = F.when((F.col("role") == "tool") & (F.col("before__.role") == "assistant"), F.col("before__.turn")).when((F.col("role") == "assistant") & (F.col("after__.role") == "tool") & (F.col("i__") + 1 < F.col("n__")), F.col("after__.turn"))
+    return hit.select("conv_id", F.explode(F.array_compact(F.array("turn", near))).alias("turn")).distinct()
+
+
 def grouped(m: DataFrame) -> DataFrame:
     """Grp: a message and the tools' messages that follow it, from 1."""
     return m.withColumn("grp", F.sum((F.col("role") != "tool").cast("int")).over(conv()))

@@ -27,19 +27,35 @@ def progress(steps: DataFrame) -> DataFrame:
     return steps.groupBy("plan_id").agg(F.count(F.lit(1)).alias("total"), one("completed"), one("in_progress"), one("blocked"), one("not_started"))
 
 
-def closure(deps: DataFrame, most: int = 64) -> DataFrame:
-    """(plan_id, idx, dep): all direct and indirect dependencies. Paths double each round, so a chain of n steps takes
-    log n joins, each on the plan; cycles end as no new pair comes."""
-    paths = deps.select("plan_id", "idx", "dep").distinct().persist()
-    size = paths.count()
-    for _ in range(most):
-        more = paths.alias("a").join(paths.alias("b"), (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.dep") == F.col("b.idx"))).select("a.plan_id", "a.idx", "b.dep")
-        paths = paths.union(more).distinct().persist()
-        now = paths.count()
-        if now == size:
-            break
-        size = now
-    return paths
+def closure(deps: DataFrame) -> DataFrame:
+    """(plan_id, idx, dep): all direct and indirect dependencies; a step in a cycle depends on itself. A plan's own list is
+    followed in one place, so dependencies are shuffled once, however long the chains."""
+    import pyarrow as pa
+
+    kind = deps.schema["plan_id"].dataType.simpleString()
+
+    def follow(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            plans, idx, dep = [], [], []
+            for k, pairs in enumerate(b.column(1).to_pylist()):
+                needs: dict[int, list[int]] = {}
+                for p in pairs:
+                    needs.setdefault(p["idx"], []).append(p["dep"])
+                for start in needs:
+                    seen, todo = set(), list(needs[start])
+                    while todo:
+                        x = todo.pop()
+                        if x not in seen:
+                            seen.add(x)
+                            todo += needs.get(x, ())
+                    plans += [k] * len(seen)
+                    idx += [start] * len(seen)
+                    dep += seen
+            yield pa.record_batch([b.column(0).take(pa.array(plans, pa.int64())), pa.array(idx, pa.int64()), pa.array(dep, pa.int64())], names=["plan_id", "idx", "dep"])
+
+    whole = deps.where("idx is not null and dep is not null").groupBy("plan_id").agg(F.collect_set(F.struct(F.col("idx").cast("long").alias("idx"), F.col("dep").cast("long").alias("dep"))).alias("pairs"))
+    out = whole.mapInArrow(follow, f"plan_id {kind}, idx long, dep long")
+    return out.select("plan_id", F.col("idx").cast(deps.schema["idx"].dataType).alias("idx"), F.col("dep").cast(deps.schema["dep"].dataType).alias("dep"))
 
 
 def claimable(events: DataFrame) -> DataFrame:
