@@ -85,24 +85,71 @@ def task_keys(qid: Column, id_: Column) -> Column:
     return F.array_distinct(F.filter(F.array(qid, digits(qid), id_, digits(id_)), lambda x: x.isNotNull() & (x != "")))
 
 
-#: Query tokens that are broadcast at most (some 20 MB).
+#: Query tokens that are sent to the documents at most (some 20 MB); more meet the documents' in a join.
 MOST_SENT = 400_000
 
 
+def _sent_hits(docs: DataFrame, queries: list, k: int) -> DataFrame:
+    """(item_id, doc_id, n, c): of documents (doc_id, n, ts) each partition's k best of each query, by tokens in common, then longer,
+    then first. Counts come from the queries' posting lists; only the best so far are held."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = pa.array([r.item_id for r in queries])
+    vocab = sorted({t for r in queries for t in r.ts})
+    place = {t: i for i, t in enumerate(vocab)}
+    pairs = np.array(sorted((place[t], q) for q, r in enumerate(queries) for t in r.ts), np.int64).reshape(-1, 2)
+    start = np.searchsorted(pairs[:, 0], np.arange(len(vocab) + 1))
+    posting, size, known, n_queries = pairs[:, 1], np.diff(start), pa.array(vocab, pa.string()), len(queries)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        best = [np.zeros(0, np.int64)] * 4  # query, count, length, document
+        least = np.ones(n_queries, np.int64)
+        for b in batches:
+            lists = b.column(2)
+            tokens = pc.index_in(lists.flatten(), known)
+            doc = np.asarray(pc.list_parent_indices(lists))[np.asarray(tokens.is_valid())]
+            tokens = np.asarray(tokens.drop_null()).astype(np.int64)
+            for lo in range(0, b.num_rows, 64):
+                at = slice(*np.searchsorted(doc, [lo, lo + 64]))
+                t, many = tokens[at], size[tokens[at]]
+                ends = np.cumsum(many)
+                hit = posting[np.repeat(start[t] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+                got = np.bincount(np.repeat(doc[at] - lo, many) * n_queries + hit, minlength=64 * n_queries).reshape(64, n_queries)
+                d, q = np.nonzero(got >= least)
+                own = [q, got[d, q], b.column(1).to_numpy()[lo + d], b.column(0).to_numpy()[lo + d]]
+                best = [np.concatenate(x) for x in zip(best, own, strict=True)]
+                order = np.lexsort((best[3], -best[2], -best[1], best[0]))
+                best = [x[order] for x in best]
+                first = np.searchsorted(best[0], best[0])
+                rank = np.arange(len(first)) - first
+                last = rank == k - 1
+                least[best[0][last]] = best[1][last]
+                best = [x[rank < k] for x in best]
+        q, c, n, ids = best
+        yield pa.record_batch([names.take(pa.array(q)), pa.array(ids), pa.array(n), pa.array(c)], names=["item_id", "doc_id", "n", "c"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n"), "ts").mapInArrow(run, "item_id long, doc_id long, n long, c long")
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
     """(item_id, rank, doc_id, score): documents by the share of the query's tokens that they have, then longer, then
-    first; fillers without a common token only where fewer than k have one.
+    first; fillers without a common token only where fewer than k have one. Documents and queries without an id don't count.
 
-    k is held to 1 to 5. The queries' tokens are sent to the documents while they are few (their number is checked), so that
-    each document's hits are summed where it lies and only one row for a query and document is shuffled; more tokens meet in
-    an equi-join. Fillers come from the k first documents, which every query could need."""
+    k is held to 1 to 5. The queries go to the documents while their tokens are few (their number is checked): a partition then
+    sends its k best of each query and nothing else. More tokens meet the documents' in an equi-join, where a query gathers
+    one row per document with a token of its. Fillers come from the k first documents, which every query could need."""
     k = min(max(k, 1), 5)
-    q = queries.select("item_id", X.tokens(F.col("text")).alias("ts"))
-    d = docs.select("doc_id", F.length("text").alias("n"), F.explode(X.tokens(F.col("text"))).alias("t"))
-    asked = q.select("item_id", F.size("ts").alias("m"), F.explode("ts").alias("t"))
-    asked = F.broadcast(asked) if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else asked
-    hits = d.join(asked, "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    score = hits.select("item_id", "doc_id", "n", F.bround(F.col("c") / F.col("m"), 6).alias("score"))
+    q = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), X.tokens(F.col("text")).alias("ts"))
+    d = docs.select("doc_id", F.length("text").alias("n"), X.tokens(F.col("text")).alias("ts"))
+    if (q.agg(F.sum(F.size("ts"))).first()[0] or 0) <= MOST_SENT:
+        hits = _sent_hits(d, q.collect(), k)
+    else:
+        hits = q.select("item_id", F.explode("ts").alias("t")).join(d.select("doc_id", "n", F.explode("ts").alias("t")), "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("c"), F.desc("n"), "doc_id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = best.join(q.select("item_id", F.size("ts").alias("m")), "item_id").select("item_id", "doc_id", "n", F.bround(F.col("c") / F.col("m"), 6).alias("score"))
     fill = docs.select("doc_id", F.length("text").alias("n")).where("n is not null").orderBy(F.desc("n"), "doc_id").limit(2 * k)
     short = score.groupBy("item_id").agg(F.count(F.lit(1)).alias("c"))
     need = q.join(short, "item_id", "left").where(F.coalesce("c", F.lit(0)) < k).select("item_id")
