@@ -76,7 +76,7 @@ def borders(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
     return ids[order][np.searchsorted(ends, ends[-1] * np.arange(1, n) / n)] if len(ids) else np.zeros(0, np.int64)
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 32 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write the archives below ``path``. Returns the manifest (file, records, bytes), which lies there too."""
     spark = pages.sparkSession
     small_batches(spark, 500)
