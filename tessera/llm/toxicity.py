@@ -1,8 +1,8 @@
 """Toxicity: cumulative-link ordinal regression over sparse words.
 
 Severity has ordered grades 0..K; P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds
-t_0 < t_1 < ... A text's features are its distinct words, hashed; a word counts once however long the text. Trained on a
-bounded sample of labelled rows (``sample``, about: those whose hashed ids are smallest), here by proximal AdaGrad with a penalty
+t_0 < t_1 < ... A text's features are its distinct words, hashed, longer ones by their first HEAD bytes, so that forms of a word
+which no label has count too; a word counts once however long the text. Trained on a bounded sample of labelled rows (``sample``, about: those whose hashed ids are smallest), here by proximal AdaGrad with a penalty
 that keeps weights of words which few texts bear out at zero. Expected severity is the sum of P(grade > k).
 
 Grades come from labels: 0 where toxic = 0, 1 for a toxic text of good quality, 2 for a toxic text of low quality. The
@@ -27,19 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, lean, sampled, sent, slices, small_batches, words_of
+from tessera.llm.common import BYTE, bytes_of, lean, mix, powers, sampled, sent, slices, small_batches, words_of
 
 BITS = 20
 LEAST = -0.5
+HEAD = 8
 
 
 def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text's index, feature), distinct, ordered by text: words without marks at their ends, hashed to BITS bits."""
+    """(text's index, feature), distinct, ordered by text: words without marks at their ends, no more than HEAD bytes of
+    each, hashed to BITS bits."""
     raw, off = bytes_of(texts)
     # marks and digits count as spaces, so that "word," and "word" are one feature
     plain = raw.copy()
     plain[(raw < 128) & ~_ALPHA[raw]] = 32
-    h, doc, _, _ = words_of(plain, off)
+    h, doc, start, end = words_of(plain, off)
+    longer = end - start > HEAD
+    at, head = start[longer], np.zeros(int(longer.sum()), np.uint64)
+    for i, p in enumerate(powers(HEAD)):
+        head += BYTE[plain[at + i]] * p
+    h[longer] = mix(head ^ np.uint64(HEAD))
     f = np.unique(doc << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64))
     return f >> BITS, f & ((1 << BITS) - 1)
 
@@ -73,16 +80,27 @@ class Ordinal:
 def fit(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float = 6.0) -> Ordinal:
     """Ordinal regression; y are grades 0..K. First the words are chosen: a word must explain what is left of more than
     ``texts`` examples to have a weight, so texts aren't learnt by heart. Then the chosen words' weights are fitted anew."""
-    m = _descend(doc, f, y, texts, 120)
-    keep = m.w[f] != 0
+    m = _descend(doc, f, y, texts, rate=0.2)
+    keep = (m.w != 0)[f]
     return _descend(doc[keep], f[keep], y, texts / 12)
 
 
+def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of values[at] between consecutive starts, about a million at a time, so that working memory stays small."""
+    edges = np.append(starts, len(at))
+    out, i = np.empty(len(starts)), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + (1 << 20), side="right")) - 1)
+        out[i:j] = np.add.reduceat(values[at[edges[i] : edges[j]]], edges[i:j] - edges[i])
+        i = j
+    return out
+
+
 def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds: int = 250, rate: float = 0.5) -> Ordinal:
-    """Proximal AdaGrad over all examples, with a penalty of ``texts`` / examples on absolute weights; none is below LEAST."""
+    """Proximal AdaGrad over all examples (doc ascending), with a penalty of ``texts`` / examples on absolute weights; none is below LEAST."""
     top = int(y.max())
-    df = np.bincount(f, minlength=1 << BITS)
-    keep = df[f] > texts
+    df = sum((np.bincount(f[i : i + (1 << 20)], minlength=1 << BITS) for i in range(0, len(f), 1 << 20)), np.zeros(1 << BITS, np.int64))
+    keep = (df > texts)[f]
     used = np.flatnonzero(df > texts)
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
@@ -92,10 +110,15 @@ def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds
     w, t = np.zeros(len(used)), -np.log(share / (1 - share))
     gw, gt = np.full(len(used), 1e-12), np.full(top, 1e-12)
     n = len(y)
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    some = doc[starts]
+    by_word = doc[np.argsort(f, kind="stable")]
+    firsts = np.cumsum(df[used]) - df[used]
+    s = np.zeros(n)
     for _ in range(rounds):
-        s = np.bincount(doc, w[f], minlength=n)
+        s[some] = _sums(w, f, starts)
         err = _sigmoid(s[:, None] - t[None, :]) - above
-        g = np.bincount(f, err.sum(axis=1)[doc], minlength=len(used)) / n
+        g = _sums(err.sum(axis=1), by_word, firsts) / n
         gw += g**2
         step = rate / np.sqrt(gw)
         w = w - step * g
@@ -136,8 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal |
     doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     y = np.unique(y, return_inverse=True)[1]  # grades without examples close up
     held = np.arange(len(y)) % 5 == 0
-    fold = np.cumsum(~held) - 1
-    inner = fit(fold[doc][~held[doc]], f[~held[doc]], y[~held])
+    fold = (np.cumsum(~held) - 1).astype(np.int32)
+    own = ~held[doc]
+    inner = fit(fold[doc[own]], f[own], y[~held])
     p = inner.above(doc, f, len(y)).sum(axis=1)
     tries = np.linspace(0.1, 1.0, 46)
     # a clean text lost weighs as much as three toxic ones kept
