@@ -126,10 +126,11 @@ class ChunkEncoder:
         else:
             b = self.last.match(text).end()
             got = (text[: a.end()], self.exact(text[a.end() : b]), text[b:])
-        self.held += len(raw)
-        if self.held > 64 * self.most:
+        cost = 4 * len(raw) + 500  # the chunk, its text, its ids and their objects
+        self.held += cost
+        if self.held > 256 * self.most:
             self.chunks.clear()
-            self.held = len(raw)
+            self.held = cost
         self.chunks[raw] = got
         return got
 
