@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, jaccard, license, linededup, mixing, neardup, oracles, toxicity, urlfilter, warc  # noqa: A004
+from tessera.llm import ann, bpe, collocations, jaccard, license, linededup, mixing, neardup, oracles, runs, sharding, toxicity, urlfilter, warc  # noqa: A004
 
 
 def tokenizer_path() -> str:
@@ -65,7 +65,25 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(docs, license.train(docs))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, crc = F.coalesce(F.octet_length("text"), F.lit(0)) + 8, F.coalesce(F.crc32("text"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", size.cast("long").alias("size"), crc.cast("long").alias("text_crc32"))
+    return sharding.shuffled(docs, 24)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), 4, 30, 2000, 80)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_ann_hilbert, op3_ngram_jaccard, op4_url_filter, op5_embedding_neardup, op6_toxicity, op7_line_dedup, op8_warc, op9_mixing, op10_license)
+    f.__name__: f
+    for f in (
+        *(op1_bpe, op2_ann_hilbert, op3_ngram_jaccard, op4_url_filter, op5_embedding_neardup, op6_toxicity, op7_line_dedup),
+        *(op8_warc, op9_mixing, op10_license, op11_sharding, op12_collocations, op13_periodic_runs),
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": urlfilter.ORACLE, "op9_mixing": mixing.oracle(), **oracles.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": urlfilter.ORACLE, "op9_mixing": mixing.oracle(), "op12_collocations": collocations.ORACLE, **oracles.SQL}
