@@ -15,7 +15,7 @@ def summary(scored: DataFrame, reward: str = "final_reward") -> DataFrame:
 
 def frequencies(scored: DataFrame, tags: str = "gates", order: str = "doc_id") -> DataFrame:
     """A5: tags by count, then by where they came first."""
-    x = scored.select(order, F.posexplode(tags).alias("pos", "tag"))
+    x = scored.select(order, F.posexplode_outer(tags).alias("pos", "tag")).where("tag is not null")  # outer: no filter on the array is made up and pushed down
     return x.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("first")).orderBy(F.desc("n"), "first").select("tag", "n")
 
 

@@ -1,14 +1,17 @@
 """Report scoring as columns: repetition, citations, evidence, gates, the final reward.
 
 A report is a row (doc_id, report, task_prompt, expected_images, tool_errors, evidence_urls, evidence_titles, judge_reason);
-scores are functions of the row, so they run where the row lies. Only repetition's n-grams need a shuffle, by document.
+scores are functions of the row, so they run where the row lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import prose
 from tessera.functions import text as X
 
 #: Weights of the five scores, caps of the gates.
@@ -69,31 +72,15 @@ def severe(dup_par: Column, most_par: Column, dup_sen: Column, most_sen: Column,
     return F.filter(F.array(*[F.when(c, n) for c, n in rules]), lambda x: x.isNotNull())
 
 
-def repetition(reports: DataFrame, n: int = 24) -> DataFrame:
-    """By document the repetition metrics. Counts of sentences and paragraphs are made in the row (a document's own
-    list); n-grams, many to a document, are counted by hash in one shuffle."""
-    words = F.regexp_extract_all(X.normal_prose(F.col("report")), F.lit("([0-9a-zA-Z%]+|[一-鿿])"), 1)
-    grams = reports.select("doc_id", words.alias("w")).where(F.size("w") >= n).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))).alias("g"))
-    ng = multiplicity(grams, "g", 3).select("doc_id", F.col("extra").alias("ng_extra"), F.col("n").alias("ng_n"), F.col("most").alias("ng_most"))
-
-    def longest_run(units: Column) -> Column:
-        """How often the most frequent unit occurs: the longest run of equals in sorted order."""
-        start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+def repetition(reports: DataFrame) -> DataFrame:
+    """By document the repetition metrics, why it counts as collapsed, and the penalty; made in the row, without a shuffle."""
+    return reports.select("doc_id", prose.repeats(F.col("report")).alias("r")).select("doc_id", "r.*").withColumns(judged(F.col))
 
-        def step(acc: Column, u: Column) -> Column:
-            run = F.when(acc["last"] == u, acc["run"] + 1).otherwise(1)
-            return F.struct(u.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-        return F.aggregate(F.array_sort(units), start, step, lambda acc: acc["most"])
-
-    x = reports.select("doc_id", X.sentences(F.col("report")).alias("s"), X.paragraphs(F.col("report")).alias("p"))
-    out = x.join(ng, "doc_id", "left")
-    most = lambda a: longest_run(F.col(a))
-    dup = lambda a: per(F.size(a) - F.size(F.array_distinct(a)), F.size(a))
-    out = out.select("doc_id", F.size("p").alias("n_paragraphs"), dup("p").alias("dup_paragraphs"), most("p").alias("most_paragraph"), F.size("s").alias("n_sentences"), dup("s").alias("dup_sentences"), most("s").alias("most_sentence"), F.coalesce(F.col("ng_extra") / F.col("ng_n"), F.lit(0.0)).alias("dup_ngrams"), F.coalesce("ng_most", F.lit(0)).alias("most_ngram"))
-    c = F.col
+def judged(c: Callable[[str], Column]) -> dict[str, Column]:
+    """F17 and M9 of a report's counts."""
     why = severe(c("dup_paragraphs"), c("most_paragraph"), c("dup_sentences"), c("most_sentence"), c("dup_ngrams"), c("most_ngram"))
-    return out.withColumns({"severe": why, "penalty": soft_penalty(c("dup_paragraphs"), c("dup_sentences"), c("most_paragraph"), c("most_sentence"), c("dup_ngrams"))})
+    return {"severe": why, "penalty": soft_penalty(c("dup_paragraphs"), c("dup_sentences"), c("most_paragraph"), c("most_sentence"), c("dup_ngrams"))}
 
 
 # --- citations ----------------------------------------------------------------------------------------------------
@@ -268,7 +255,7 @@ def gates(report: Column, prompt: Column, cit: Column, loc: Column, severe_: Col
 def score_reports(reports: DataFrame, year: int, local_strength: float = 0.45) -> DataFrame:
     """Every report's scores, penalties, gates and final reward."""
     c = F.col
-    x = citations(reports).join(repetition(reports).select("doc_id", "severe", "penalty"), "doc_id")
+    x = citations(reports).withColumn("r__", prose.repeats(c("report"))).withColumns(judged(lambda k: c(f"r__.{k}")))
     x = x.withColumns({"loc": local_evidence(c("report"), c("cit"), c("evidence_urls"), c("evidence_titles")), "visual": visual(c("report"), c("expected_images")), "legacy": factuality(c("report"), year), "task": task_following(c("report"), c("task_prompt")), "quant": quantitative(c("report"), c("task_prompt"))})
     x = x.withColumns({"aligned": aligned(c("report"), c("cit"), c("legacy")), "quality": quality(c("report"), c("task"), c("penalty"))})
     x = x.withColumn("evidence", F.when(c("loc.url_count") > 0, clamp((1 - local_strength) * c("aligned") + local_strength * local_score(c("report"), c("cit"), c("loc")))).otherwise(c("aligned")))

@@ -443,7 +443,12 @@ def value_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- reports ------------------------------------------------------------------------------------------------------
 
-NORM = "trim(regexp_replace(replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)https?://[^\\s)\\]}}>\"'']+', ' zzurltokenzz ', 'g'), '(?i)(?:\\[\\s*(?:\\d+|[ivxlcdm]+)\\s*\\])+', ' ', 'g'), '<[^>\\n]+>', ' ', 'g'), '[`*_~]+', ' ', 'g'), '(?m)^\\s{{0,3}}#{{1,6}}\\s*', ' ', 'g')), '[^0-9a-z一-鿿%]+', ' ', 'g'), 'zzurltokenzz', '<url>'), '\\s+', ' ', 'g'))"
+#: Steps of a text's normal form, as (pattern, replacement); a private character stands for an address until the end.
+NORM_STEPS = [("(?i)https?://[^\\s)\\]}}>\"'']+", " \ue000 "), ("(?i)(?:\\[\\s*(?:\\d+|[ivxlcdm]+)\\s*\\])+|<[^>\\n]+>|[`*_~]+", " "), ("(?m)^\\s{{0,3}}#{{1,6}}\\s*", " "), ("(?m)^\\s*(?:[-+]|\\d+[.)、]|[A-Za-z][.)])\\s+", " "), ("[^0-9A-Za-z一-鿿%\ue000]+", " "), ("\ue000", "<url>")]
+NORM = "{0}"
+for pattern, to in NORM_STEPS:
+    NORM = f"regexp_replace({NORM}, '{pattern}', '{to}', 'g')"
+NORM = f"trim(lower({NORM}))"
 REPEATS = f"""
 sen AS (SELECT doc_id, u FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(regexp_replace(report, '\\s+', ' ', 'g'), '[^.!?。！？]+[.!?。！？]?'), lambda s: {NORM.format('s')})) AS u FROM reports) WHERE length(u) >= 30),
 par AS (SELECT doc_id, u FROM (SELECT doc_id, {NORM.format('b')} AS u FROM (SELECT doc_id, unnest(regexp_split_to_array(report, '\\n\\s*\\n+')) AS b FROM reports) WHERE NOT starts_with(b, '## ') AND b <> '') WHERE length(u) >= 40),

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import pyfuncs
+from tessera.functions import prose, pyfuncs
 from tessera.functions import text as X
 from tessera.operators import evidence, mix, reports, traces
 from tessera.plans import dag
@@ -27,7 +27,7 @@ def one(spark, value, f):
         (X.url_host, "https://www.Ex.com/a", "ex.com"),
         (X.urls, "see https://a.b/c) and http://d.e。", ["https://a.b/c", "http://d.e"]),
         (X.tokens, "The 3.5% rise 中国人 ok", ["the", "3.5%", "rise", "中国", "国人"]),
-        (X.normal_prose, "## **Hi** [1], see https://x.y/z ok", "hi see <url> ok"),
+        (prose.normal_text, "## **Hi** [1], see https://x.y/z ok", "hi see <url> ok"),
         (X.value_key, "2024年3月5日", "date:2024-3-5"),
         (X.value_key, "1,200.50 KG", "number:1200.5:kg"),
         (X.value_key, " Some  Text", "text:some text"),
@@ -47,7 +47,7 @@ def one(spark, value, f):
         (X.bad_url, "https://example.com/x", True),
         (X.bad_url, "https://real.site/x", False),
         (X.first_urls, None, []),
-        (pyfuncs.nfkc, "Ａ１", "A1"),
+        (prose.normal_text, "Ａ１ ＵＲＬ", "a1 url"),
         (pyfuncs.none_to_empty, '{"a": [null, {"b": null}]}', '{"a": ["", {"b": ""}]}'),
         (pyfuncs.content_text, '[{"type": "text", "text": "a"}, {"type": "image", "image": "x"}]', "a\n<image>"),
         (pyfuncs.chunks(10), "aaaa\nbbbb\ncccccc. dddddd", ["aaaa\nbbbb", "cccccc.", " dddddd"]),
