@@ -7,7 +7,8 @@ k-1 words; cuts and subsumption are read by following parents, and texts aren't
 
 Names reach the sequences in one of two ways, with equal results: tables of at most ``most`` names (a size checked before they
 are sent) go to the tasks, which look up pairs in Arrow batches; if a level has more, positions are rows and are joined with the
-names, frequent names apart from the others. Counts are summed within tasks before the shuffle.
+names, frequent names apart from the others. Counts are summed within tasks before the shuffle. Parents are joined in the same
+two ways: broadcast up to ``MOST_PARENTS`` rows, else by shuffles.
 
 Defined results: null texts count as empty, a null language as ``und``; repeated rows and ids count each time; ties go by score,
 then frequency, then phrase in byte order; an empty table gives no rows; other columns are ignored. Counts up to 2**63-1;
@@ -31,6 +32,7 @@ PLAIN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 i
 HELD = 2_000_000
 MOST_NAMES = 1 << 22
 MOST_WORDS = 1 << 20
+MOST_PARENTS = 1 << 19
 DISTINCT = 300_000
 
 
@@ -111,7 +113,8 @@ def _sequences(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _count_pairs(seqs: DataFrame, levels: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(left, right, f) of a level's pairs: names of the levels before it are looked up one after another."""
+    """(left, right, f) of a level's pairs: names of the levels before it are looked up one after another. Names that are sent are
+    so few that two fit a long."""
     get = sent(seqs.sparkSession, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +124,7 @@ def _count_pairs(seqs: DataFrame, levels: list[tuple[np.ndarray, np.ndarray]]) -
             pairs, n = np.unique(np.concatenate(held), return_counts=True)
             for i in range(0, len(pairs), 100_000):
                 p = pairs[i : i + 100_000]
-                yield pa.record_batch([pa.array(p >> 32), pa.array(p & 0xFFFFFFFF), pa.array(n[i : i + 100_000])], names=["left", "right", "f"])
+                yield pa.record_batch([pa.array(p), pa.array(n[i : i + 100_000])], names=["pair", "f"])
             held.clear()
 
         for b in batches:
@@ -137,7 +140,8 @@ def _count_pairs(seqs: DataFrame, levels: list[tuple[np.ndarray, np.ndarray]]) -
         if held:
             yield from rows()
 
-    return seqs.mapInArrow(lean(run), "left long, right long, f long").groupBy("left", "right").agg(F.sum("f").alias("f"))
+    x = seqs.mapInArrow(lean(run), "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f"))
+    return x.select(F.shiftright("pair", 32).alias("left"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right"), "f")
 
 
 def _sent_levels(docs: DataFrame, words: DataFrame, longest: int, least: int, most: int) -> list[DataFrame]:
@@ -192,11 +196,15 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, text_col: str =
     none = F.expr("cast(array() as array<bigint>)")
     out = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("pre"), none.alias("suf"))]
     for t in levels:
-        up = out[-1]
+        up, few = out[-1], n <= (MOST_PARENTS if most is None else most)
         a = up.select(F.col("id").alias("left"), F.col("f").alias("n_l"), "lang", F.col("phrase").alias("first"), F.array_append("pre", F.col("f")).alias("pre"))
         b = up.select(F.col("id").alias("right"), F.col("f").alias("n_r"), "last", F.array_append("suf", F.col("f")).alias("suf"))
-        x = attach(attach(t, a, ["left"], "n_l", F.col("id")), b, ["right"], "n_r", F.col("id"))
+        if few:
+            x = t.join(F.broadcast(a.drop("n_l")), "left").join(F.broadcast(b.drop("n_r")), "right")
+        else:
+            x = attach(attach(t, a, ["left"], "n_l", F.col("id")), b, ["right"], "n_r", F.col("id"))
         out.append(written(x.select("id", "left", "right", "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "last", "f", "pre", "suf"), "parents"))
+        n = out[-1].count()
     return totals, out[1:]
 
 
