@@ -3,11 +3,13 @@ tables hold no such data, it is derived from whole tables; the SQL works from th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import claims
-from tessera.queries import query, table
+from tessera.operators import claims, toolcalls
+from tessera.plans import contract
+from tessera.queries import _sink, query, table
+from tessera.streaming import events as streaming
 
 # --- claims -------------------------------------------------------------------------------------------------------
 
@@ -81,3 +83,99 @@ def combined_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sources say of every order's report."""
     out = claims.combined_evidence(*claim_reports(spark, sf_dir))
     return out.withColumn("combined", F.bround("combined", 6))
+
+
+# --- plan contracts -----------------------------------------------------------------------------------------------
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a rollout: a plan of two steps and a report, one of which needs the other; a search; every line tries to save
+    a step; a report; and claims of both steps before and after."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = {"steps": "array<string>", "dependencies": "map<int, array<int>>", "step_id": "string", "content": "string", "evidence_ids": "array<string>", "returned": "array<int>", "status": "string"}
+
+    def event(seq, operation: str, **has):  # noqa: ANN001, ANN003, ANN202
+        return F.struct(seq.cast("long").alias("seq"), F.lit(operation).alias("operation"), *[has.get(k, none(v)).cast(v).alias(k) for k, v in kinds.items()])
+
+    words = lambda n, fill="x": F.repeat(F.lit(fill), n)
+    o = F.col("rollout")
+    last = F.when(o % 7 == 0, "the end").otherwise("Synthesize")
+    needs = F.when(o % 2 == 0, F.expr("map(1, array(0, 1, 99), 7, array(0))")).otherwise(F.expr("map(0, array(1, 1), -1, array(1))"))
+    saves = li.select(F.col("l_orderkey").alias("rollout"), event(n + 3, "save_step", step_id=(F.col("l_partkey") % 4 - 1).cast("string"), content=words(F.when(F.col("l_quantity") < 10, 39).otherwise(40)), evidence_ids=F.when(F.col("l_suppkey") % 3 == 0, F.array(F.lit(" e9"))).otherwise(F.array(F.lit("e1 "), F.lit("")))).alias("e"))
+    orders = li.groupBy(F.col("l_orderkey").alias("rollout")).agg(F.count(F.lit(1)).alias("n"))
+    around = orders.select("rollout", F.explode(F.array(
+        event(F.lit(1), "create_plan", steps=F.array(F.lit("first "), F.lit(" "), F.lit("second"), last), dependencies=needs),
+        event(F.lit(2), "search_evidence", content=F.lit("q"), returned=F.array(F.lit(1), F.lit(2))),
+        event(F.lit(3), "claim_step", step_id=F.lit("1")),
+        event(F.col("n") + 4, "submit_report", content=words(F.when(o % 3 == 0, 199).otherwise(200))),
+        event(F.col("n") + 5, "mark_step", step_id=F.lit("0"), status=F.lit("in_progress")),
+    )).alias("e"))
+    return saves.unionByName(around).select("rollout", "e.*")
+
+
+PLANS = """
+WITH l AS (SELECT l_orderkey AS o, l_partkey % 4 - 1 AS s, l_quantity >= 10 AS long, l_suppkey % 3 <> 0 AS known, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) + 3 AS t FROM lineitem),
+n AS (SELECT o, max(t) AS n, o % 7 <> 0 AS plan, o % 2 AS free FROM l GROUP BY o),
+a AS (SELECT n.*, min(l.t) AS a FROM n LEFT JOIN l ON l.o = n.o AND n.plan AND l.s = n.free AND long AND known GROUP BY ALL),
+b AS (SELECT a.*, min(l.t) AS b FROM a LEFT JOIN l ON l.o = a.o AND l.s = 1 - a.free AND long AND known AND l.t > a.a GROUP BY ALL),
+v AS (SELECT o, t, 'save_step' AS operation, CASE WHEN NOT plan THEN 'no_plan' WHEN s NOT IN (0, 1) THEN 'no_working_step' WHEN s <> free AND (a IS NULL OR t < a) THEN 'blocked'
+    WHEN t > CASE WHEN s = free THEN a ELSE b END THEN 'already_saved' WHEN NOT long THEN 'thin_summary' WHEN NOT known THEN 'unknown_evidence' ELSE 'step_saved' END AS verdict, a, b, free FROM l JOIN b USING (o)
+  UNION ALL SELECT o, 1, 'create_plan', CASE WHEN plan THEN 'plan_accepted' ELSE 'no_report_step' END, a, b, free FROM b
+  UNION ALL SELECT o, 2, 'search_evidence', 'searched', a, b, free FROM b
+  UNION ALL SELECT o, 3, 'claim_step', CASE WHEN NOT plan THEN 'no_step' WHEN free = 1 THEN 'claimed' ELSE 'blocked' END, a, b, free FROM b
+  UNION ALL SELECT o, n + 1, 'submit_report', CASE WHEN NOT plan THEN 'no_plan' WHEN a IS NULL OR b IS NULL THEN 'blocked' WHEN o % 3 = 0 THEN 'thin_report' ELSE 'report_submitted' END, a, b, free FROM b
+  UNION ALL SELECT o, n + 2, 'mark_step', CASE WHEN NOT plan THEN 'no_step' WHEN CASE WHEN free = 0 THEN a ELSE b END IS NOT NULL THEN 'kept_completed' WHEN free = 0 THEN 'marked' WHEN a IS NULL THEN 'blocked' ELSE 'marked' END, a, b, free FROM b)
+SELECT o AS rollout, t AS seq, verdict IN ('plan_accepted', 'searched', 'claimed', 'step_saved', 'report_submitted', 'marked') AS valid, verdict,
+  CASE WHEN verdict <> 'blocked' THEN '' WHEN operation = 'submit_report' THEN CASE WHEN a IS NULL THEN '0,1' ELSE CAST(1 - free AS VARCHAR) END ELSE CAST(free AS VARCHAR) END AS missing,
+  CAST(coalesce(a <= t, false) AS INT) + CAST(coalesce(b <= t, false) AS INT) AS saved, operation IN ('submit_report', 'mark_step') AND a IS NOT NULL AND b IS NOT NULL AND o % 3 <> 0 AS submitted FROM v"""
+
+
+@query(PLANS)
+def plan_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's verdict, by a fold in batch."""
+    return contract.judged(rollouts(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(PLANS)
+def stream_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C18, T6 by Structured Streaming: the same events in files in an order of their own, with the same verdicts."""
+    path = _sink(spark)
+    events = rollouts(spark, sf_dir)
+    events.repartition(3, "seq").write.parquet(f"{path}/events")
+    s = streaming.stream_of(spark, f"{path}/events", "*.parquet", events.schema)
+    return streaming.run_to_end(contract.judged_stream(s), path).withColumn("missing", F.array_join("missing", ","))
+
+
+# --- tool calls ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 8 AS k, coalesce(text, '') AS t, source, n_chars FROM documents),
+one AS (SELECT doc_id, 0 AS call, CASE WHEN k IN (0, 1, 7) THEN 'json' WHEN k = 2 THEN 'fenced' ELSE 'pairs' END AS level, CASE WHEN k = 4 THEN 'ask_question_about_image' ELSE 'serper_search' END AS name,
+    CASE WHEN k IN (0, 1, 2, 7) THEN t WHEN k = 3 THEN source END AS q, CASE WHEN k = 4 THEN source END AS image, k FROM d WHERE k <> 5 AND k <> 6
+  UNION ALL SELECT doc_id, 1, 'json', 'next', CAST(n_chars AS VARCHAR), NULL, k FROM d WHERE k = 1)
+SELECT doc_id, call, level, name, q, CASE WHEN k = 3 THEN q END AS query, image, image AS image_path_url, CASE WHEN image IS NOT NULL THEN 'Please analyze the file and answer the task.' END AS task_prompt, k = 7 AS truncated FROM one
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, k = 6 FROM d WHERE k IN (5, 6)""")
+def tool_calls_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in well-formed, fenced, broken and cut-off blocks, with a document's whole text as argument where it is JSON."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 8
+    body = F.to_json(F.struct(F.lit("serper_search").alias("name"), F.struct(F.coalesce("text", F.lit("")).alias("q")).alias("arguments")))
+    tagged = lambda *x: F.concat(F.lit("so <tool_call>\n"), *[F.lit(c) if isinstance(c, str) else c for c in x], F.lit("\n</tool_call> then"))
+    src = F.col("source")
+    forms = [
+        tagged(body),
+        F.concat(tagged(body), F.lit('<TOOL_CALL>{"tool": "next", "arguments": "{\\"q\\": '), F.col("n_chars").cast("string"), F.lit('}"}</TOOL_CALL>')),
+        tagged("```json\n", body, "\n```"),
+        tagged('{"name": "serper_search", "arguments": {"q": "', src, '", bad}'),
+        tagged('{"name": "ask_question_about_image", "arguments": {"image": "', src, '" "x": 1}}'),
+        F.concat(F.lit("no call, <tool_call>{}</tool_call> nor "), tagged("[1, 2]")),
+        F.concat(F.lit("<tool_call>"), F.substring(body, 1, 20)),
+        F.concat(tagged(body), F.lit('<tool_call>{"name": "half')),
+    ]
+    content = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        content = F.when(k == i, f).otherwise(content)
+    x = toolcalls.repaired(d.select("doc_id", content.alias("content"), F.lit("stop").alias("finish_reason")), "doc_id")
+    return x.select("doc_id", "call", "level", "name", *[F.get_json_object("arguments", f"$.{a}").alias(a) for a in ("q", "query", "image", "image_path_url", "task_prompt")], "truncated")
