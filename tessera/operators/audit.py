@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.ordinals import at_ranks
+
 
 def summary(scored: DataFrame, reward: str = "final_reward") -> DataFrame:
     """A2: count, mean, least and greatest reward, and rates of gates and caps."""
@@ -19,28 +21,10 @@ def frequencies(scored: DataFrame, tags: str = "gates", order: str = "doc_id") -
     return x.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("first")).orderBy(F.desc("n"), "first").select("tag", "n")
 
 
-def percentile(df: DataFrame, col: str, p: float) -> DataFrame:
-    """A3: nearest-rank percentile: the value at round((n - 1) p), half to even.
-
-    Values are counted first; the rank is then found among the distinct values' running counts, which are range-sorted."""
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    at = round((n - 1) * p) if n else 0
-    # coarse: which of 1024 quantile ranges holds the rank; fine: that range alone
-    cuts = counts.approxQuantile("v", [i / 64 for i in range(1, 64)], 0.005) if n else []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col("v") > c).cast("int")
-    x = counts.withColumn("part", part)
-    for r in sorted(x.groupBy("part").agg(F.sum("c").alias("c")).collect(), key=lambda r: r.part):
-        if at < r.c:
-            w = Window.partitionBy("part").orderBy("v")
-            y = x.where(F.col("part") == r.part).withColumn("upto", F.sum("c").over(w))
-            return y.where(F.col("upto") > at).agg(F.min("v").alias("value"))
-        at -= r.c
-    return counts.select(F.col("v").alias("value")).limit(0)
+def percentiles(df: DataFrame, col: str, shares: list[float]) -> DataFrame:
+    """A3: (p, value): nearest-rank percentiles: the values at round((n - 1) p), half to even. Values are counted once, and all
+    ranks are found in one pass over their running counts."""
+    return at_ranks(df.groupBy(col).agg(F.count(F.lit(1)).alias("c")), col, "c", shares)
 
 
 def histogram(df: DataFrame, col: str) -> DataFrame:

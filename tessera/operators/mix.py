@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ordinals import running
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """An order that looks random and depends on seed and keys alone."""
@@ -84,7 +86,5 @@ def renumbered(parts: list[DataFrame], order: list[str]) -> DataFrame:
     for i, p in enumerate(parts):
         p = p.withColumn("source_no", F.lit(i))
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
-    sizes = out.groupBy("source_no").agg(F.count(F.lit(1)).alias("n"))
-    off = sizes.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source_no", "off")  # a row a source
-    rn = F.row_number().over(Window.partitionBy("source_no").orderBy(*order))
-    return out.withColumn("rn__", rn).join(F.broadcast(off), "source_no").withColumn("idx", F.col("off") + F.col("rn__") - 1).drop("rn__", "off")
+    x, _ = running(out, ["source_no", *order], name="idx")
+    return x.withColumn("idx", F.col("idx") - 1)

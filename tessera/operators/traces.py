@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.ordinals import running
 
 
 def conv() -> WindowSpec:
@@ -49,17 +50,9 @@ def call_names(calls: Column) -> Column:
 
 
 def call_ids(m: DataFrame) -> DataFrame:
-    """Ids for calls that lack one, from a running number over all calls in order of (ord, idx). The number is made
-    from counts per range of ``ord``, not in one task."""
-    per = m.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
-    # offsets: a running sum over one row per ord, done by ranges
-    ranged = per.withColumn("part", F.floor(F.col("ord") / 10_000))
-    parts = ranged.groupBy("part").agg(F.sum("n").alias("pn"))
-    before = parts.alias("a").join(parts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.pn"), F.lit(0)).alias("before"))
-    w = Window.partitionBy("part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    offs = ranged.join(before, "part").select("ord", (F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("off"))
-    k = F.row_number().over(Window.partitionBy("ord").orderBy("idx")) - 1
-    return m.withColumn("k", k).join(offs, "ord").withColumn("call_id", F.coalesce("call_id", F.concat(F.lit("call_"), (F.col("off") + F.col("k")).cast("string")))).drop("k", "off")
+    """Ids for calls that lack one, from a running number from 0 over all calls in order of (ord, idx)."""
+    x, _ = running(m, ["ord", "idx"], name="k__")
+    return x.withColumn("call_id", F.coalesce("call_id", F.concat(F.lit("call_"), (F.col("k__") - 1).cast("string")))).drop("k__")
 
 
 def context(m: DataFrame, last: int) -> DataFrame:

@@ -6,12 +6,14 @@ citations and a reference list of pages; ``messages`` turns conversations into t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.shared import shared_dir
 from tessera.operators import audit, evidence, mix, reports, traces
 from tessera.plans import dag
 from tessera.sources import readers
@@ -558,11 +560,7 @@ SELECT '50' AS p, v AS value FROM s, n WHERE i = round_even((n - 1) * 0.5, 0) UN
 def audit_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3."""
     x = table(spark, sf_dir, "documents").select(F.length("text").alias("v"))
-    out = None
-    for name, p in (("50", 0.5), ("90", 0.9), ("99", 0.99)):
-        one = audit.percentile(x, "v", p).select(F.lit(name).alias("p"), "value")
-        out = one if out is None else out.union(one)
-    return out
+    return audit.percentiles(x, "v", [0.5, 0.9, 0.99]).select((F.col("p") * 100).cast("int").cast("string").alias("p"), "value")
 
 
 @query("SELECT min(length(text))::INT AS low, max(length(text))::INT AS high, round_even(avg(length(text)), 2) AS mean FROM documents")
@@ -780,16 +778,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sink(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type, md5(event_type) AS fp FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE event_type IS DISTINCT FROM prev")
 def stream_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1, T2, T5, T8 by Structured Streaming."""
+    """T1, T2, T5 by Structured Streaming."""
     return streaming.run_to_end(streaming.changed_stream(_stream(spark, sf_dir)), _sink(spark))
 
 

@@ -13,11 +13,14 @@ def _files(df: DataFrame) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, value): lines of text files; a file is one row first, so places are exact whatever its splits."""
-    whole = _files(spark.read.text(path, wholetext=True))
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
-    order = whole.select("file").distinct().withColumn("f", F.dense_rank().over(Window.orderBy("file")))  # a row a file
-    return lines.join(F.broadcast(order), "file").select("file", (F.col("f") * F.lit(1 << 40) + F.col("pos")).alias("ord"), "pos", "value")
+    """(file, ord, pos, value): lines of text files, cut at line feeds, with their exact places whatever the splits: each split
+    counts its lines, sums of the counts by place in the file give a split's first line, and no task reads a whole file."""
+    raw = _files(spark.read.option("lineSep", "\n").text(path)).select("file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), "value")
+    n = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))  # a row a split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = n.select("file", "block", (before - F.col("first")).alias("shift"), F.dense_rank().over(Window.orderBy("file")).alias("f"))
+    x = raw.join(at, ["file", "block"]).withColumn("pos", F.col("shift") + F.col("m"))
+    return x.select("file", (F.col("f") * F.lit(1 << 40) + F.col("pos")).alias("ord"), "pos", F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
