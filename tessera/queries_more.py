@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import claims, toolcalls
 from tessera.plans import contract
 from tessera.queries import _sink, query, table
+from tessera.streaming import cache
 from tessera.streaming import events as streaming
 
 # --- claims -------------------------------------------------------------------------------------------------------
@@ -179,3 +180,36 @@ def tool_calls_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = F.when(k == i, f).otherwise(content)
     x = toolcalls.repaired(d.select("doc_id", content.alias("content"), F.lit("stop").alias("finish_reason")), "doc_id")
     return x.select("doc_id", "call", "level", "name", *[F.get_json_object("arguments", f"$.{a}").alias(a) for a in ("q", "query", "image", "image_path_url", "task_prompt")], "truncated")
+
+
+# --- a cache ------------------------------------------------------------------------------------------------------
+
+CACHE = """
+WITH RECURSIVE r AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, CAST(user_id AS VARCHAR) AS e, epoch_ms(ts) AS t FROM events),
+s AS (SELECT k, 0::BIGINT AS i, false AS hit, 0 AS expired, NULL::VARCHAR AS evicted, []::STRUCT(e VARCHAR, u BIGINT)[] AS held FROM (SELECT DISTINCT k FROM r)
+ UNION ALL SELECT k, i, n > 0, CASE WHEN n > 0 THEN 0 ELSE len(held) - len(fresh) END, CASE WHEN n = 0 AND len(fresh) >= 100 THEN fresh[1].e END,
+   CASE WHEN n > 0 THEN list_concat(rest, mine) ELSE list_concat(CASE WHEN len(fresh) >= 100 THEN fresh[2:] ELSE fresh END, [{'e': e, 'u': t + 259200000}]) END
+ FROM (SELECT r.k, r.i, r.e, r.t, held, list_filter(held, lambda x: x.e = r.e AND r.t < x.u) AS mine, len(list_filter(held, lambda x: x.e = r.e AND r.t < x.u)) AS n, list_filter(held, lambda x: x.e <> r.e) AS rest, list_filter(held, lambda x: r.t < x.u) AS fresh
+   FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1))
+SELECT k AS event_type, i AS seq, hit, expired::INT AS expired, evicted, len(held)::INT AS held FROM s WHERE i > 0"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type of event has a cache of users: of 100, for three days."""
+    seq = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long")
+    return table(spark, sf_dir, "events").select("event_type", seq.alias("seq"), F.col("user_id").cast("string").alias("entry"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("at"))
+
+
+@query(CACHE)
+def cache_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, misses, expiry and evictions of a log of requests."""
+    return cache.replayed(_requests(spark, sf_dir), "event_type", 259200, 100)
+
+
+@query(CACHE)
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 by Structured Streaming: the same requests in three files that hold every third of them."""
+    path, r = _sink(spark), _requests(spark, sf_dir)
+    r.repartition(3, F.col("seq") % 3).write.parquet(f"{path}/requests")
+    s = streaming.stream_of(spark, f"{path}/requests", "*.parquet", r.schema)
+    return streaming.run_to_end(cache.replayed_stream(s, "event_type", 259200, 100), path)

@@ -55,7 +55,7 @@ class _Fold(StatefulProcessor):
         self.held = handle.getValueState("held", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        got = json.loads(self.held.get()[0]) if self.held.exists() else {"state": self.start, "next": 1, "waiting": {}}
+        got = json.loads(self.held.get()[0]) if self.held.exists() else {"state": copy.deepcopy(self.start), "next": 1, "waiting": {}}
         for pdf in rows:
             for e in pdf["event__"]:
                 e = json.loads(e)
