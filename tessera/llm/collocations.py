@@ -17,6 +17,7 @@ products are decimals of 38 digits.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -91,7 +92,7 @@ def _next_level(seq: np.ndarray, keys: np.ndarray, names: np.ndarray) -> np.ndar
 
 
 def _sequences(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Each batch of texts as one row: ids of its words (32 bits), 0 for infrequent words and between pieces and texts."""
+    """Each text as a row: ids of its words (32 bits), 0 for infrequent words, between pieces and at the end."""
     t = words.select("lang", "word", "id").toArrow()
     by_lang: dict[str, tuple[list[str], list[int]]] = {}
     for lang, word, i in zip(*(t.column(c).to_pylist() for c in ("lang", "word", "id")), strict=True):
@@ -105,13 +106,20 @@ def _sequences(docs: DataFrame, words: DataFrame) -> DataFrame:
             out = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name = known.get(lang, {}).get
-                out.append(np.array([*[name(w, 0) for w in tokens(text.as_py())], 0], "<i4"))
-            if out:
-                yield pa.record_batch([pa.array([np.concatenate(out).tobytes()], pa.binary())], names=["seq"])
+                out.append(array("i", [*[name(w, 0) for w in tokens(text.as_py())], 0]).tobytes())
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["seq"])
 
     return written(docs.mapInArrow(lean(run), "seq binary"), "sequences")
 
 
+def _joined(rows: pa.BinaryArray) -> np.ndarray:
+    """A batch's sequences, one after another."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    off = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    return np.frombuffer(rows.buffers()[2], np.uint8)[off[0] : off[-1]].view("<i4").astype(np.int64)
+
+
 def _count_pairs(seqs: DataFrame, levels: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(left, right, f) of a level's pairs: names of the levels before it are looked up one after another. Names that are sent are
     so few that two fit a long."""
@@ -128,15 +136,14 @@ def _count_pairs(seqs: DataFrame, levels: list[tuple[np.ndarray, np.ndarray]]) -
             held.clear()
 
         for b in batches:
-            for x in b.column(0):
-                seq = np.frombuffer(x.as_buffer(), "<i4").astype(np.int64)
-                for keys, names in known:
-                    seq = _next_level(seq, keys, names)
-                held.append(_packed(seq)[0])
-                size += len(held[-1])
-                if size > HELD:
-                    yield from rows()
-                    size = 0
+            seq = _joined(b.column(0))
+            for keys, names in known:
+                seq = _next_level(seq, keys, names)
+            held.append(_packed(seq)[0])
+            size += len(held[-1])
+            if size > HELD:
+                yield from rows()
+                size = 0
         if held:
             yield from rows()
 
