@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 
-#: A final report's names, and names that hint at evidence.
-FINAL = r"(?i)final|report|最终|报告|\d{8}[_-]?\d{4,6}"
-HINTS = r"(?i)search|source|evidence|extract|notes?"
+#: A final report's names, and what in a name hints at evidence.
+FINAL_NAMES = ("最终报告", "final_report", "final-report", "final_answer", "final-answer")
+FINAL_STAMP = r"20\d{6}[_-]\d{6}"
+HINTS = ("检索", "来源", "验证", "资料", "证据", "图像分析", "应用场景", "URL", "url", "source", "evidence", "search")
 
 
 def item_id(source_type: Column, task: Column, ref: Column, text: Column) -> Column:
@@ -20,9 +21,22 @@ def item_id(source_type: Column, task: Column, ref: Column, text: Column) -> Col
     return F.left(F.sha1(F.concat_ws("\n", source_type, task, ref, F.left(X.text(text), F.lit(500)))), F.lit(16))
 
 
+def is_final_report(name: Column) -> Column:
+    """by the name's stem: a hint, the words for final and report, or a time stamp."""
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    out = (F.contains(stem, F.lit("最终")) & F.contains(stem, F.lit("报告"))) | stem.rlike(FINAL_STAMP)
+    for hint in FINAL_NAMES:
+        out = out | F.contains(F.lower(stem), F.lit(hint))
+    return out
+
+
 def doc_score(name: Column, text: Column) -> Column:
-    """O1's score: 5 for a URL, 2 a hint in the name, -20 for a final report, 1 for over 500 characters."""
-    return 5 * X.text(text).rlike("https?://").cast("int") + 2 * X.count(name, HINTS) - 20 * name.rlike(FINAL).cast("int") + (F.length(X.text(text)) > 500).cast("int")
+    """O1's score: 5 for a URL, 2 for each hint that the name has as it stands or in lower case, -20 for a final report, 1 for
+    over 500 characters."""
+    hints = F.lit(0)
+    for h in HINTS:
+        hints = hints + (F.contains(name, F.lit(h)) | F.contains(F.lower(name), F.lit(h))).cast("int")
+    return 5 * X.text(text).rlike(r"https?://[^\s)\]}>\"'。，；：！？]").cast("int") + 2 * hints - 20 * is_final_report(name).cast("int") + (F.length(X.text(text)) > 500).cast("int")
 
 
 def top_docs(items: DataFrame, k: int, score: str = "score", size: str = "n_chars", name: str = "name") -> DataFrame:

@@ -75,6 +75,17 @@ def canonical(df: DataFrame, *cols: str) -> Column:
     return F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
 
 
+def vision_key(images: Column, messages: Column) -> Column:
+    """D3: what makes two samples with images the same: the images in order, the first message's text and the last one's."""
+    text = lambda i: F.coalesce(F.try_element_at(messages, F.lit(i)), F.lit(""))
+    return F.to_json(F.struct(F.coalesce(images, F.array().cast("array<string>")).alias("images"), text(1).alias("first"), text(-1).alias("last")))
+
+
+def squeezed(text: Column) -> Column:
+    """A text without white space."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+
+
 def stats(df: DataFrame, kind: str) -> DataFrame:
     """(primary, replay, total, achieved) of rows tagged primary or replay."""
     return df.agg(F.count_if(F.col(kind) == "primary").alias("n_primary"), F.count_if(F.col(kind) == "replay").alias("n_replay"), F.count(F.lit(1)).alias("n_total"), F.bround(F.count_if(F.col(kind) == "replay") / F.count(F.lit(1)), 6).alias("achieved"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import prose
 from tessera.functions import text as X
+from tessera.operators import claims
 
 #: Weights of the five scores, caps of the gates.
 WEIGHTS = {"visual": 0.33, "evidence": 0.27, "task": 0.16, "quant": 0.13, "quality": 0.11}
@@ -20,6 +21,7 @@ CAPS = {"empty_or_crashed": 0.05, "fabricated_source_data": 0.20, "repetition_co
 REFERENCE = r"^\s*(?:[-*+]\s*)?\[(\d+)\]\s*(?::|\s)\s*(.*)$"
 SECTION = r"(?im)^#{1,3}\s*(?:references?|sources?|bibliography|参考|来源|参考文献)"
 DIMENSIONS = ("GEN", "EVI", "VEF", "MM", "PRES")
+RUBRIC_OF = {"visual": "MM", "evidence": "EVI", "task": "GEN", "quant": "VEF", "quality": "PRES"}
 #: What a judge's reason says of a failure.
 REASONS = {
     "fabricated_source_data": r"(?is)fabricated|invents?|hallucinat|non-existent|false presence|future publication dates?|伪造|编造|幻觉|不存在",
@@ -124,6 +126,55 @@ def replaced_citations(answer: Column, urls: Column) -> Column:
 
 # --- scores -------------------------------------------------------------------------------------------------------
 
+#: What is counted in a report (``count_``) and looked for in a task (``asks_``), and the words before an image's
+#: number, which counts from 0 or from 1.
+PATTERNS = {
+    "count_visual": r"(?i)image|figure|fig\.|visual|visible|chart|axis|legend|unit|curve|图像|图片|图表|画面|主体|背景|构图|坐标|图例|单位|曲线|可见",
+    "count_visual_doubt": r"(?i)uncertain|not visible|cannot confirm|cannot determine|不确定|无法确认|看不清|证据不足",
+    "count_citation": r"\[(?:\d+|[A-Za-z][A-Za-z0-9_-]*)\]",
+    "count_section": SECTION,
+    "count_evidence": r"(?i)evidence|source|according to|citation|来源|证据|资料|引用|根据",
+    "count_no_source": r"(?i)citation needed|placeholder|no source|no available source|无法提供|未找到|无可用",
+    "count_heading": r"(?m)^#{1,4}\s+\S",
+    "count_bullet": r"(?m)^\s*(?:[-*+]|\d+[.)、])\s+\S",
+    "count_table": r"(?m)^\s*\|.+\|\s*$",
+    "count_three": r"(?m)^\s*(?:[123][.)、]|一[.)、]|二[.)、]|三[.)、])",
+    "count_hypothesis": r"(?i)hypothesis|candidate|假设|候选|可能",
+    "count_chinese": r"[一-鿿]",
+    "count_latin": r"\b[A-Za-z]{3,}\b",
+    "count_number": r"(?i)(?<![A-Za-z])[-+]?\d+(?:\.\d+)?\s*(?:%|km|kg|gb|mb|usd|rmb|yuan|kwh|mwh|mw|gw|元|年|月|日)?",
+    "count_formula": r"(?i)=|ratio|percent|同比|环比|增长|下降|increase|decrease|per\s+cent",
+    "count_no_number": r"(?i)insufficient data|cannot calculate|cannot confirm|无法计算|无法确认|数据不足|不确定",
+    "count_contradiction": r"(?i)contradict|inconsistent|自相矛盾|前后矛盾|不一致",
+    "count_caveat": r"(?i)uncertain|limitation|caveat|不确定|局限|证据不足",
+    "count_crash": r"(?i)traceback|exception|tool crashed|error executing|空输出|崩溃|报错",
+    "asks_markdown": r"(?i)markdown",
+    "asks_table": r"(?i)table|表格|表形",
+    "asks_list": r"(?i)编号|numbered|bullet|列出|list",
+    "asks_three": r"(?i)3\s*(?:categories|types|类|个)",
+    "asks_two": r"(?i)2\s*(?:possible|candidates?|个|种)|two possible",
+    "asks_short": r"(?i)短答|一小段|under\s+\d+\s+(?:chars|characters|words)|字以内|不超过\s*\d+\s*字",
+    "asks_chinese": r"[一-鿿]",
+    "asks_numbers": r"(?i)quant|numeric|calculate|ratio|percent|trend|unit|rank|compare|定量|数量|计算|比例|百分比|同比|环比|单位|排序|比较|峰值|最大|最小",
+    "asks_200": r"(?i)under\s+200\s+characters|within\s+200\s+characters|200\s*字以内|不超过\s*200\s*字",
+    "asks_real_table": r"(?i)table|表格",
+}
+IMAGE_WORDS = ("image ", "figure ", "fig. ", "img ", "图", "图 ")
+SHORT, LONG = 3_500, 220_000
+ALIGNMENT = 0.75
+
+
+def _n(report: Column, what: str) -> Column:
+    return X.count(report, PATTERNS[f"count_{what}"])
+
+
+def _asked(prompt: Column, what: str) -> Column:
+    return X.text(prompt).rlike(PATTERNS[f"asks_{what}"])
+
+
+def _up_to(most: float, x: Column) -> Column:
+    return F.least(F.lit(most), x)
+
 
 def image_coverage(report: Column, images: Column) -> Column:
     """The share of images that the report names, by file, stem or number."""
@@ -132,7 +183,7 @@ def image_coverage(report: Column, images: Column) -> Column:
     def named(image: Column, i: Column) -> Column:
         stem = F.regexp_replace(F.lower(image), r"\.[^.]*$", "")
         ks = [i.cast("string"), (i + 1).cast("string")]
-        marks = [F.lower(image), *[F.concat(F.lit(p), k) for p in ("image ", "figure ", "fig. ", "img ", "图", "图 ") for k in ks], F.concat(F.lit("图片"), ks[1]), F.concat(F.lit("图像"), ks[1]), F.concat(F.lit("第"), ks[1], F.lit("张"))]
+        marks = [F.lower(image), *[F.concat(F.lit(p), k) for p in IMAGE_WORDS for k in ks], F.concat(F.lit("图片"), ks[1]), F.concat(F.lit("图像"), ks[1]), F.concat(F.lit("第"), ks[1], F.lit("张"))]
         out = (F.length(stem) >= 3) & F.contains(low, stem)
         for m in marks:
             out = out | F.contains(low, m)
@@ -143,82 +194,82 @@ def image_coverage(report: Column, images: Column) -> Column:
 
 def visual(report: Column, images: Column) -> Column:
     """C3."""
-    n = F.size(images)
-    terms = X.count(report, r"(?i)image|figure|fig\.|visual|visible|chart|axis|legend|unit|curve|图像|图片|图表|画面|主体|背景|构图|坐标|图例|单位|曲线|可见")
-    doubt = X.count(report, r"(?i)uncertain|not visible|cannot confirm|cannot determine|不确定|无法确认|看不清|证据不足")
-    x = 0.65 * image_coverage(report, images) + 0.25 * F.least(F.lit(1.0), terms / F.greatest(F.lit(4), n * 4)) + 0.10 * F.when(doubt > 0, F.least(F.lit(1.0), doubt / 3)).otherwise(0.25)
+    n, doubt = F.size(images), _n(report, "visual_doubt")
+    x = 0.65 * image_coverage(report, images) + 0.25 * _up_to(1.0, _n(report, "visual") / F.greatest(F.lit(4), n * 4)) + 0.10 * F.when(doubt > 0, _up_to(1.0, doubt / 3)).otherwise(0.25)
     return F.when(n > 0, clamp(x)).otherwise(0.55)
 
 
 def factuality(report: Column, year: int) -> Column:
     """C4."""
     urls = X.urls(report)
-    n, cites = F.size(urls), X.count(report, r"\[(?:\d+|[A-Za-z][A-Za-z0-9_-]*)\]")
-    section = X.count(report, SECTION)
-    markers = X.count(report, r"(?i)evidence|source|according to|citation|来源|证据|资料|引用|根据")
-    none = X.count(report, r"(?i)citation needed|placeholder|no source|no available source|无法提供|未找到|无可用")
-    some = 0.45 * (1.0 - F.least(F.lit(1.0), per(X.bad_urls(urls), n))) + 0.35 * F.when(cites > 0, F.least(F.lit(1.0), cites / 8)).otherwise(0.35) + F.when(section > 0, 0.15).otherwise(0.0) + F.least(F.lit(0.15), markers * 0.01)
+    n, cites, section = F.size(urls), _n(report, "citation"), _n(report, "section")
+    some = 0.45 * (1.0 - _up_to(1.0, per(X.bad_urls(urls), n))) + 0.35 * F.when(cites > 0, _up_to(1.0, cites / 8)).otherwise(0.35) + F.when(section > 0, 0.15).otherwise(0.0) + _up_to(0.15, _n(report, "evidence") * 0.01)
     base = F.when((n == 0) & (cites == 0) & (section == 0), 0.30).otherwise(some)
-    return clamp(base - F.least(F.lit(0.25), X.future_years(report, year) * 0.05) - F.least(F.lit(0.25), none * 0.05))
+    return clamp(base - _up_to(0.25, X.future_years(report, year) * 0.05) - _up_to(0.25, _n(report, "no_source") * 0.05))
 
 
-def aligned(report: Column, cit: Column, legacy: Column, strength: float = 0.75) -> Column:
+def aligned(report: Column, cit: Column, legacy: Column, strength: float = ALIGNMENT) -> Column:
     """C5."""
     mapped = cit["mapped_urls"]
-    full = 0.05 + 0.40 * cit["integrity"] + 0.20 * cit["claim_coverage"] + 0.15 * (1.0 - F.least(F.lit(1.0), per(X.bad_urls(mapped), F.size(mapped)))) + 0.10 * F.least(F.lit(1.0), F.size(mapped) / 6.0) + F.when(X.text(report).rlike(SECTION), 0.10).otherwise(0.0) - F.least(F.lit(0.25), 0.25 * cit["orphan_ratio"])
+    full = 0.05 + 0.40 * cit["integrity"] + 0.20 * cit["claim_coverage"] + 0.15 * (1.0 - _up_to(1.0, per(X.bad_urls(mapped), F.size(mapped)))) + 0.10 * _up_to(1.0, F.size(mapped) / 6.0)
+    full = full + F.when(X.text(report).rlike(SECTION), 0.10).otherwise(0.0) - _up_to(0.25, 0.25 * cit["orphan_ratio"])
     x = F.when(cit["count"] == 0, F.when(F.size(mapped) == 0, 0.12).otherwise(0.20)).when(F.size(mapped) == 0, 0.08).otherwise(full)
     return clamp((1.0 - strength) * legacy + strength * clamp(x))
 
 
-def local_evidence(report: Column, cit: Column, urls: Column, titles: Column) -> Column:
-    """What the report shares with its evidence."""
+def local_evidence(report: Column, cit: Column, urls: Column, titles: Column, items: Column | None = None) -> Column:
+    """What the report shares with its evidence: ``items`` pieces (by default as many as titles or URLs)."""
     own = F.array_sort(F.array_distinct(F.filter(F.transform(urls, X.normal_url), lambda u: u != "")))
     low = F.lower(X.text(report))
     hosts = F.array_distinct(F.filter(F.transform(own, X.url_host), lambda h: h != ""))
     said = F.array_distinct(F.transform(X.urls(report), X.normal_url))
+    both = F.size(F.array_intersect(cit["mapped_urls"], own))
     return F.struct(
+        F.coalesce(items if items is not None else F.greatest(F.size(titles), F.size(urls)), F.lit(0)).alias("items"),
         F.size(own).alias("url_count"), F.size(F.array_intersect(own, said)).alias("exact_hits"), F.size(F.filter(hosts, lambda h: F.contains(low, h))).alias("host_hits"), F.size(hosts).alias("host_count"),
-        F.size(F.filter(titles, lambda t: (F.length(t) >= 4) & F.contains(low, F.lower(t)))).alias("title_hits"), F.size(F.array_intersect(cit["mapped_urls"], own)).alias("supported"),
-        per(F.size(F.array_intersect(cit["mapped_urls"], own)), F.size(cit["mapped_urls"])).alias("precision"), per(F.size(F.array_intersect(cit["mapped_urls"], own)), F.size(own)).alias("coverage"),
+        F.size(F.filter(titles, lambda t: (F.length(t) >= 4) & F.contains(low, F.lower(t)))).alias("title_hits"), both.alias("supported"),
+        per(both, F.size(cit["mapped_urls"])).alias("precision"), F.when(F.size(own) > 0, _up_to(1.0, both / F.least(F.lit(6), F.size(own)))).otherwise(0.0).alias("coverage"),
     )
 
 
-def local_score(report: Column, cit: Column, loc: Column) -> Column:
-    """C6's aligned part: precision and coverage against the evidence."""
-    full = 0.05 + 0.30 * loc["precision"] + 0.15 * loc["coverage"] + 0.20 * cit["integrity"] + 0.25 * cit["claim_coverage"] + F.when(X.text(report).rlike(SECTION), 0.05).otherwise(0.0) - F.least(F.lit(0.25), 0.25 * cit["orphan_ratio"])
-    full = F.when(cit["count"] == 0, F.least(full, F.lit(0.20))).when(cit["integrity"] == 0, F.least(full, F.lit(0.30))).otherwise(full)
-    return clamp(F.when(loc["url_count"] == 0, 0.50).when(F.size(cit["mapped_urls"]) == 0, 0.08).otherwise(full))
+def local_score(report: Column, cit: Column, loc: Column, provenance: bool = True, strength: float = ALIGNMENT) -> Column:
+    """A part by names and hosts, and a part by precision and coverage of cited URLs against the evidence."""
+    section = X.text(report).rlike(SECTION)
+    seen = lambda k: loc[k] if provenance else F.lit(0.0)
+    known = 0.28 + 0.42 * _up_to(1.0, seen("host_hits") / F.greatest(F.lit(1), F.least(F.lit(3), loc["host_count"]))) + 0.18 * _up_to(1.0, seen("exact_hits") / F.greatest(F.lit(1), F.least(F.lit(2), loc["url_count"])))
+    titles = _up_to(1.0, seen("title_hits") / 2)
+    legacy = clamp(F.when(loc["url_count"] > 0, known + F.when(section, 0.07).otherwise(0.0) + 0.05 * titles).otherwise(0.42 + 0.30 * titles + F.when(section, 0.08).otherwise(0.0)))
+    full = 0.05 + 0.30 * seen("precision") + 0.15 * seen("coverage") + 0.20 * cit["integrity"] + 0.25 * cit["claim_coverage"] + F.when(section, 0.05).otherwise(0.0) - _up_to(0.25, 0.25 * cit["orphan_ratio"])
+    full = F.when(cit["count"] == 0, _up_to(0.20, full)).when(cit["integrity"] == 0, _up_to(0.30, full)).otherwise(full)
+    near = F.when(loc["url_count"] == 0, 0.50).when(F.size(cit["mapped_urls"]) == 0, 0.08).otherwise(full)
+    return F.when(loc["items"] == 0, 0.50).otherwise(clamp((1.0 - strength) * legacy + strength * clamp(near)))
 
 
 def task_following(report: Column, prompt: Column) -> Column:
     """C7."""
-    headings, bullets, tables = X.count(report, r"(?m)^#{1,4}\s+\S"), X.count(report, r"(?m)^\s*(?:[-*+]|\d+[.)、])\s+\S"), X.count(report, r"(?m)^\s*\|.+\|\s*$")
-    p = X.text(prompt)
-    add = lambda cond, n: F.when(cond, n).otherwise(0.0)
-    x = 0.45 + F.least(F.lit(0.20), headings * 0.03) + F.least(F.lit(0.12), bullets * 0.01) + F.least(F.lit(0.08), tables * 0.02)
-    x = x - add(F.contains(F.lower(p), F.lit("markdown")) & (headings == 0), 0.12) - add(p.rlike("(?i)table|表格|表形") & (tables == 0), 0.18) - add(p.rlike("(?i)编号|numbered|bullet|列出|list") & (bullets < 2), 0.12)
-    x = x + F.when(p.rlike(r"(?i)3\s*(?:categories|types|类|个)"), F.when(X.count(report, r"(?m)^\s*(?:[123][.)、]|一[.)、]|二[.)、]|三[.)、])") >= 3, 0.08).otherwise(-0.10)).otherwise(0.0)
-    x = x + F.when(p.rlike(r"(?i)2\s*(?:possible|candidates?|个|种)|two possible"), F.when(X.count(report, "(?i)hypothesis|candidate|假设|候选|可能") >= 2, 0.06).otherwise(-0.08)).otherwise(0.0)
-    x = x - add(p.rlike(r"(?i)短答|一小段|under\s+\d+\s+(?:chars|characters|words)|字以内|不超过\s*\d+\s*字") & (F.length(report) > 3500), 0.18)
-    return clamp(x - add(p.rlike("[一-鿿]") & (X.count(report, "[一-鿿]") < X.count(report, r"\b[A-Za-z]{3,}\b")), 0.10))
+    headings, bullets, tables = _n(report, "heading"), _n(report, "bullet"), _n(report, "table")
+    add = lambda cond, n, other=0.0: F.when(cond, n).otherwise(other)
+    x = 0.45 + _up_to(0.20, headings * 0.03) + _up_to(0.12, bullets * 0.01) + _up_to(0.08, tables * 0.02)
+    x = x - add(_asked(prompt, "markdown") & (headings == 0), 0.12) - add(_asked(prompt, "table") & (tables == 0), 0.18) - add(_asked(prompt, "list") & (bullets < 2), 0.12)
+    x = x + add(_asked(prompt, "three"), add(_n(report, "three") >= 3, 0.08, -0.10)) + add(_asked(prompt, "two"), add(_n(report, "hypothesis") >= 2, 0.06, -0.08))
+    x = x - add(_asked(prompt, "short") & (F.length(report) > SHORT), 0.18)
+    return clamp(x - add(_asked(prompt, "chinese") & (_n(report, "chinese") < _n(report, "latin")), 0.10))
 
 
 def quantitative(report: Column, prompt: Column) -> Column:
     """C8."""
-    asked = X.text(prompt).rlike("(?i)quant|numeric|calculate|ratio|percent|trend|unit|rank|compare|定量|数量|计算|比例|百分比|同比|环比|单位|排序|比较|峰值|最大|最小")
-    numbers = X.count(report, r"(?i)(?<![A-Za-z])[-+]?\d+(?:\.\d+)?\s*(?:%|km|kg|gb|mb|usd|rmb|yuan|kwh|mwh|mw|gw|元|年|月|日)?")
-    formulas = X.count(report, r"(?i)=|ratio|percent|同比|环比|增长|下降|increase|decrease|per\s+cent")
-    doubt = X.count(report, "(?i)insufficient data|cannot calculate|cannot confirm|无法计算|无法确认|数据不足|不确定")
-    return clamp(F.when(asked, 0.30 + F.least(F.lit(0.35), numbers * 0.015) + F.least(F.lit(0.20), formulas * 0.03) + F.when(doubt > 0, 0.05).otherwise(0.0)).otherwise(0.55 + F.least(F.lit(0.12), numbers * 0.004)))
+    numbers = _n(report, "number")
+    wanted = 0.30 + _up_to(0.35, numbers * 0.015) + _up_to(0.20, _n(report, "formula") * 0.03) + F.when(_n(report, "no_number") > 0, 0.05).otherwise(0.0)
+    return clamp(F.when(_asked(prompt, "numbers"), wanted).otherwise(0.55 + _up_to(0.12, numbers * 0.004)))
 
 
 def quality(report: Column, task: Column, penalty: Column) -> Column:
     """C9."""
     body = X.strip(X.text(report))
     blocks = F.when(body == "", 0).otherwise(F.size(F.split(body, r"\n\s*\n+")))
-    x = 0.38 + 0.30 * task + F.least(F.lit(0.25), X.count(report, r"(?m)^#{1,4}\s+\S") * 0.035) + F.least(F.lit(0.12), blocks * 0.004) - penalty * 0.75
-    x = x - F.least(F.lit(0.20), X.count(report, "(?i)contradict|inconsistent|自相矛盾|前后矛盾|不一致") * 0.08) + F.least(F.lit(0.05), X.count(report, "(?i)uncertain|limitation|caveat|不确定|局限|证据不足") * 0.01)
-    return clamp(x - F.when(F.length(report) > 220_000, 0.12).otherwise(0.0))
+    x = 0.38 + 0.30 * task + _up_to(0.25, _n(report, "heading") * 0.035) + _up_to(0.12, blocks * 0.004) - penalty * 0.75
+    x = x - _up_to(0.20, _n(report, "contradiction") * 0.08) + _up_to(0.05, _n(report, "caveat") * 0.01)
+    return clamp(x - F.when(F.length(report) > LONG, 0.12).otherwise(0.0))
 
 
 def reason_tags(reason: Column) -> Column:
@@ -240,46 +291,66 @@ def cap_of(tag: Column) -> Column:
     return out
 
 
-def gates(report: Column, prompt: Column, cit: Column, loc: Column, severe_: Column, reason: Column, year: int) -> Column:
+def gates(report: Column, prompt: Column, cit: Column, loc: Column, severe_: Column, reason: Column, year: int, provenance: bool = True) -> Column:
     """The gates that a report has hit."""
     body, urls = X.strip(X.text(report)), X.urls(report)
-    n, p = F.size(urls), X.text(prompt)
+    n = F.size(urls)
     fake = ((n > 0) & (X.bad_urls(urls) >= F.greatest(F.lit(2), F.ceil(n * 0.5)))) | (X.future_years(report, year) >= 3) | ((cit["count"] >= 4) & (n == 0) & (cit["mapping_count"] == 0))
     fake = fake | ((cit["count"] >= 40) & (cit["mapping_count"] >= 6) & (cit["integrity"] < 0.20)) | ((cit["count"] >= 80) & (cit["claim_coverage"] < 0.08)) | ((cit["mapping_count"] >= 8) & (cit["orphan_ratio"] >= 0.60))
-    fake = fake | ((loc["url_count"] > 0) & (F.size(cit["mapped_urls"]) >= 4) & (loc["precision"] < 0.25))
-    form = (p.rlike(r"(?i)under\s+200\s+characters|within\s+200\s+characters|200\s*字以内|不超过\s*200\s*字") & (F.length(body) > 1200)) | (p.rlike("(?i)table|表格") & (X.count(report, r"(?m)^\s*\|.+\|\s*$") == 0))
-    own = F.array(F.when((F.length(body) < 100) | body.rlike("(?i)traceback|exception|tool crashed|error executing|空输出|崩溃|报错"), "empty_or_crashed"), F.when(fake, "fabricated_source_data"), F.when(form, "format_instruction_fail"), F.when(F.size(severe_) > 0, "repetition_collapse"))
+    if provenance:
+        fake = fake | ((loc["items"] > 0) & (F.size(cit["mapped_urls"]) >= 4) & (loc["precision"] < 0.25))
+    form = (_asked(prompt, "200") & (F.length(body) > 1200)) | (_asked(prompt, "real_table") & (_n(report, "table") == 0))
+    own = F.array(F.when((F.length(body) < 100) | body.rlike(PATTERNS["count_crash"]), "empty_or_crashed"), F.when(fake, "fabricated_source_data"), F.when(form, "format_instruction_fail"), F.when(F.size(severe_) > 0, "repetition_collapse"))
     return F.array_sort(F.array_distinct(F.filter(F.concat(own, reason_tags(reason)), lambda x: x.isNotNull())))
 
 
-def score_reports(reports: DataFrame, year: int, local_strength: float = 0.45) -> DataFrame:
-    """Every report's scores, penalties, gates and final reward."""
+def score_reports(reports: DataFrame, year: int, local_strength: float = 0.45, criteria: DataFrame | None = None, claim_evidence: DataFrame | None = None, hard_gates: bool = True, provenance: bool = True) -> DataFrame:
+    """Every report's scores, penalties, gates and final reward.
+
+    ``criteria``: with rubrics (see ``rubric_scores``), reports that have a rubric_id mix 0.7 of each score with 0.3 of its
+    dimension's. ``claim_evidence``: what sources say (see claims.combined_evidence) moves the evidence score. ``hard_gates``
+    false: neither caps nor penalties; ``provenance`` false: matches with the evidence pool don't count."""
     c = F.col
     x = citations(reports).withColumn("r__", prose.repeats(c("report"))).withColumns(judged(lambda k: c(f"r__.{k}")))
-    x = x.withColumns({"loc": local_evidence(c("report"), c("cit"), c("evidence_urls"), c("evidence_titles")), "visual": visual(c("report"), c("expected_images")), "legacy": factuality(c("report"), year), "task": task_following(c("report"), c("task_prompt")), "quant": quantitative(c("report"), c("task_prompt"))})
+    items = c("evidence_items") if "evidence_items" in reports.columns else None
+    x = x.withColumns({"loc": local_evidence(c("report"), c("cit"), c("evidence_urls"), c("evidence_titles"), items), "visual": visual(c("report"), c("expected_images")), "legacy": factuality(c("report"), year), "task": task_following(c("report"), c("task_prompt")), "quant": quantitative(c("report"), c("task_prompt"))})
     x = x.withColumns({"aligned": aligned(c("report"), c("cit"), c("legacy")), "quality": quality(c("report"), c("task"), c("penalty"))})
-    x = x.withColumn("evidence", F.when(c("loc.url_count") > 0, clamp((1 - local_strength) * c("aligned") + local_strength * local_score(c("report"), c("cit"), c("loc")))).otherwise(c("aligned")))
-    x = x.withColumn("gates", gates(c("report"), c("task_prompt"), c("cit"), c("loc"), c("severe"), c("judge_reason"), year))
-    invalid = F.least(F.lit(0.20), c("tool_errors") * 0.05)
-    raw = sum((w * c(k) for k, w in WEIGHTS.items()), F.lit(0.0)) - invalid - c("penalty")
-    x = x.withColumns({"raw_reward": raw, "reward_cap": F.coalesce(F.array_min(F.transform("gates", cap_of)), F.lit(1.0))})
+    x = x.withColumn("evidence", F.when(c("loc.items") > 0, clamp((1 - local_strength) * c("aligned") + local_strength * local_score(c("report"), c("cit"), c("loc"), provenance))).otherwise(c("aligned")))
+    x = x.withColumn("gates", gates(c("report"), c("task_prompt"), c("cit"), c("loc"), c("severe"), c("judge_reason"), year, provenance))
+    if criteria is not None:
+        dims = rubric_dimensions(x.where("rubric_id is not null").select("doc_id", "rubric_id", "report", "cit"), criteria)
+        got = dims.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "s"))).alias("dims__"))  # five at most
+        x = x.join(got, "doc_id", "left")
+        mixed = lambda k: F.when(c("rubric_id").isNull(), c(k)).otherwise(0.70 * c(k) + 0.30 * F.coalesce(c("dims__")[RUBRIC_OF[k]], F.lit(0.0)))
+        x = x.withColumns({k: mixed(k) for k in WEIGHTS})
+    if claim_evidence is not None:
+        moved = claims.combined_evidence(x.select("doc_id", "report", c("evidence").alias("base")), claim_evidence)
+        x = x.drop("evidence").join(moved.select("doc_id", clamp(c("combined")).alias("evidence")), "doc_id")
+    invalid, repeat = (_up_to(0.20, c("tool_errors") * 0.05), c("penalty")) if hard_gates else (F.lit(0.0), F.lit(0.0))
+    x = x.withColumn("raw_reward", sum((w * c(k) for k, w in WEIGHTS.items()), F.lit(0.0)) - invalid - repeat)
+    x = x.withColumn("reward_cap", F.coalesce(F.array_min(F.transform("gates", cap_of)), F.lit(1.0)) if hard_gates else F.lit(1.0))
     return x.select("doc_id", *WEIGHTS, "penalty", "gates", "raw_reward", "reward_cap", F.least(clamp(c("raw_reward")), c("reward_cap")).alias("final_reward"))
 
 
 # --- rubrics ------------------------------------------------------------------------------------------------------
 
 
-def rubric_scores(reports: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(doc_id, rubric) of reports with cit and a rubric_id, against criteria (rubric_id, dim, weight, criterion,
-    evaluation). Criteria with citations count the sentences that cite a resolved id for four fifths."""
+def rubric_dimensions(reports: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(doc_id, dim, s, w): the mean score and the weight of each of a rubric's dimensions, for reports with cit and a
+    rubric_id, against criteria (rubric_id, dim, weight, criterion, evaluation). Criteria with citations count the sentences
+    that cite a resolved id for four fifths."""
     body = F.array_join(F.filter(F.split(X.text(F.col("report")), r"\r?\n"), lambda s: ~s.rlike(r"^\s*(?:[-*+]\s*)?\[\d+\]\s*(?::|\s).*https?://")), "\n")
     told = F.filter(F.split(body, r"(?<=[.!?。！？])\s*(?!\[\d+\])|\n+"), lambda s: F.arrays_overlap(F.regexp_extract_all(s, F.lit(r"\[(\d+)\]"), 1), F.col("cit.resolved_ids")))
     x = reports.select("doc_id", "rubric_id", "report", F.array_join(told, "\n").alias("told")).join(criteria, "rubric_id")
     plain = X.coverage(F.col("report"), F.col("criterion"))
     s = F.when(F.col("evaluation") == "claim_with_citation", 0.20 * plain + 0.80 * X.coverage(F.col("told"), F.col("criterion"))).otherwise(plain)
     w = F.when(F.col("weight").isNull(), 1.0).when(F.isnan("weight") | (F.abs("weight") == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("weight")))
-    dims = x.groupBy("doc_id", "dim").agg(F.avg(s).alias("s"), F.max(w).alias("w"))
-    return dims.groupBy("doc_id").agg(F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("s")) / F.sum("w")).otherwise(0.0).alias("rubric"))
+    return x.groupBy("doc_id", "dim").agg(F.avg(s).alias("s"), F.max(w).alias("w"))
+
+
+def rubric_scores(reports: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(doc_id, rubric): the dimensions' mean by weight."""
+    return rubric_dimensions(reports, criteria).groupBy("doc_id").agg(F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("s")) / F.sum("w")).otherwise(0.0).alias("rubric"))
 
 
 def dimension_reward(rubric: Column, gates_: Column, rules: Column) -> Column:

@@ -33,17 +33,6 @@ def prompt(body: Column, images: Column, items: Column, suffix: Column) -> Colum
     return X.strip(F.concat(marks, F.lit("\n"), X.text(body), F.when(ev != "", F.concat(F.lit("\n\nEvidence:\n"), ev)).otherwise(""), F.lit("\n\n"), X.text(suffix)))
 
 
-def resolved_paths(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """P20: references (ref_id, candidates array) with the first candidate that the index (path) has, else the only file of
-    that base name."""
-    c = refs.select("ref_id", F.posexplode("candidates").alias("prio", "path")).join(index.select("path"), "path", "left_semi")
-    exact = c.groupBy("ref_id").agg(F.min_by("path", "prio").alias("path"))
-    base = lambda p: F.element_at(F.split(p, "/"), -1)
-    alone = index.select(base(F.col("path")).alias("name"), "path").groupBy("name").agg(F.min("path").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    by = refs.select("ref_id", base(F.element_at("candidates", 1)).alias("name")).join(alone, "name", "left").select("ref_id", "only")
-    return refs.select("ref_id").join(exact, "ref_id", "left").join(by, "ref_id", "left").select("ref_id", F.coalesce("path", "only").alias("path"))
-
-
 def images_of(pages: DataFrame, images: DataFrame, all_if_none: bool = False) -> DataFrame:
     """(task_id, md, image): images of a task that a file's name names, else its first 4000 characters, else the task's
     only image, else all or none."""
@@ -57,8 +46,8 @@ def images_of(pages: DataFrame, images: DataFrame, all_if_none: bool = False) ->
 
 def by_number(left: DataFrame, quiz: DataFrame, name: str = "name") -> DataFrame:
     """Workspaces with the quiz of the number in their name; of equal numbers the last quiz."""
-    q = quiz.withColumn("num", X.task_id(F.col("id"))).withColumn("rn__", F.row_number().over(Window.partitionBy("num").orderBy(F.desc("ord")))).where("rn__ = 1").select("num", F.struct("*").alias("quiz"))
-    return left.withColumn("num", X.task_id(F.col(name))).join(q, "num", "left")
+    q = quiz.withColumn("num", X.quiz_number(F.col("id"))).withColumn("rn__", F.row_number().over(Window.partitionBy("num").orderBy(F.desc("ord")))).where("rn__ = 1").select("num", F.struct("*").alias("quiz"))
+    return left.withColumn("num", X.quiz_number(F.col(name))).join(q, "num", "left")
 
 
 def referenced(content: DataFrame, refs: DataFrame) -> DataFrame:
@@ -138,7 +127,7 @@ def step_rewards(state: DataFrame, teacher: DataFrame, generated: DataFrame, com
 
     state (grp, submitted boolean, invalid int), teacher (grp, t, objective, final boolean), generated (grp, c, text),
     completed (grp, c, text). A trajectory has a few steps of each; pairs are scored as columns, matched greedily."""
-    cov = lambda a, b: X.coverage(F.col(a), F.col(b), 0.45, 0.65)
+    cov = lambda a, b: X.coverage(F.col(a), F.col(b), 0.45, 0.65, X.STEP_STOPWORDS)
     t = teacher.select("grp", F.col("t").cast("int").alias("t"), "objective", "final")
     plan = assign(t.join(generated, "grp").select("grp", "t", F.col("c").cast("int").alias("c"), cov("text", "objective").alias("score")), high_index=True)
     done = assign(t.where("not final").join(completed, "grp").select("grp", "t", F.col("c").cast("int").alias("c"), cov("text", "objective").alias("score")))

@@ -189,6 +189,26 @@ def grouped(m: DataFrame) -> DataFrame:
     return m.withColumn("grp", F.sum((F.col("role") != "tool").cast("int")).over(conv()))
 
 
+def truncated(m: DataFrame, most: int, tool_chars: int) -> DataFrame:
+    """Messages (conv_id, turn, role, text, tool_name) cut to size: the system's always stay; if there are more than
+    ``most`` others, the newest groups that fit, a call with its results in whole or not at all, and results without a call
+    before them go; in any case long results are cut to ``tool_chars`` characters and say so. ``place`` is the new order.
+
+    A group that starts with anything but a call is one message, so nothing is left of a group that doesn't fit."""
+    talk = F.col("role") != "system"
+    heads = talk & (F.col("role") != "tool")
+    calls = F.last(F.when(heads, (F.col("role") == "assistant") & F.col("tool_name").isNotNull()), ignorenulls=True).over(before())
+    orphan = (F.col("role") == "tool") & ~F.coalesce(calls, F.lit(False))
+    x = m.withColumns({"n__": F.count_if(talk).over(whole()), "orphan__": orphan, "grp__": F.sum(heads.cast("int")).over(conv())})
+    newer = F.count_if(talk & ~F.col("orphan__")).over(Window.partitionBy("conv_id").orderBy(F.desc("grp__")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("upto__", newer)  # messages of this group and of all newer ones
+    x = x.where(~talk | (F.col("n__") <= most) | (~F.col("orphan__") & (F.col("upto__") <= most)))
+    told = F.concat(F.left("text", F.lit(tool_chars)), F.lit("\n\n[内容已截断：原始长度 "), F.length("text").cast("string"), F.lit(f" 字符，已截断至 {tool_chars} 字符]"))
+    x = x.withColumn("text", F.when((F.col("role") == "tool") & (F.length("text") > tool_chars), told).otherwise(F.col("text")))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy((F.col("role") != "system").cast("int"), "turn"))
+    return x.withColumn("place", place).drop("n__", "orphan__", "grp__", "upto__")
+
+
 def keep_last(m: DataFrame, most: int) -> DataFrame:
     """The last messages by whole groups, ``most`` at most; tools' messages without a call before them go. A group of
     one message always fits in whole, so only a call with its results can be too long, and then it goes."""

@@ -94,6 +94,7 @@ items AS (SELECT source AS task_id, doc_id AS ord, CASE WHEN lang = 'en' THEN 't
 
 # --- evidence -----------------------------------------------------------------------------------------------------
 
+STOP = "'about', 'after', 'also', 'and', 'are', 'from', 'have', 'into', 'must', 'that', 'the', 'their', 'then', 'this', 'using', 'with'"
 TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}|[0-9]+(?:\\.[0-9]+)?%?'))"
 
 
@@ -108,11 +109,14 @@ def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {ITEMS}, s AS (SELECT *, 5 * (contains(text, 'http://') OR contains(text, 'https://'))::INT + 2 * len(regexp_extract_all(name, '(?i)search|source|evidence|extract|notes?')) - 20 * (name LIKE '%final%')::INT + (n_chars > 500)::INT AS score FROM items)
+WITH {ITEMS}, r AS (SELECT * REPLACE (CASE ord % 7 WHEN 0 THEN 'Final_Report' WHEN 1 THEN 'notes' WHEN 2 THEN '检索URL' WHEN 3 THEN 'x_20240102_030405' WHEN 4 THEN '报告最终' WHEN 5 THEN 'Source_evidence' ELSE '资料最终报告' END || '_' || ord || '.md' AS name) FROM items),
+s AS (SELECT *, 5 * regexp_matches(text, 'https?://[^\\s)\\]}}>"''。，；：！？]')::INT + CASE ord % 7 WHEN 0 THEN -20 WHEN 1 THEN 0 WHEN 2 THEN 6 WHEN 3 THEN -20 WHEN 4 THEN -20 WHEN 5 THEN 4 ELSE -18 END + (n_chars > 500)::INT AS score FROM r)
 SELECT task_id, name, score::INT AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, n_chars, name) AS rank FROM s) WHERE rank <= 10""")
 def evidence_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1, F4."""
-    x = items_of(spark, sf_dir).withColumn("score", evidence.doc_score(F.col("name"), F.col("text")))
+    kinds = F.array(*[F.lit(k) for k in ("Final_Report", "notes", "检索URL", "x_20240102_030405", "报告最终", "Source_evidence", "资料最终报告")])
+    name = F.concat(F.element_at(kinds, (F.col("ord") % 7 + 1).cast("int")), F.lit("_"), F.col("ord").cast("string"), F.lit(".md"))
+    x = items_of(spark, sf_dir).withColumn("name", name).withColumn("score", evidence.doc_score(F.col("name"), F.col("text")))
     return evidence.top_docs(x, 10).select("task_id", "name", "score", "rank")
 
 
@@ -342,23 +346,28 @@ def code_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(left(text, 180), '\\s+$', '') || chr(10) || '...[text truncated ' || (length(text) - 300) || ' chars]...' || chr(10) || regexp_replace(right(text, 120), '^\\s+', '') END) AS head_tail,
- md5(CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) <= 400 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 376), '\\s+$', '') || chr(10) || '...[truncated]' END) AS cut,
- md5(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS clean FROM documents""")
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS mid FROM d),
+e AS (SELECT doc_id, text, regexp_replace('A' || ' ' || 'B' || chr(10) || chr(10) || CASE WHEN mid = '' THEN '' ELSE mid END, '\\s+$', '') AS e FROM c),
+f AS (SELECT doc_id, text, regexp_replace(regexp_replace(e, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS e FROM e)
+SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(left(text, 180), '\\s+$', '') || chr(10) || chr(10) || '[... ' || (length(text) - 300) || ' chars omitted from text ...]' || chr(10) || chr(10) || regexp_replace(right(text, 120), '^\\s+', '') END) AS head_tail,
+ md5(CASE WHEN length(e) <= 400 THEN e ELSE regexp_replace(left(e, 376), '\\s+$', '') || chr(10) || '[... truncated ...]' END) AS cut,
+ md5(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS clean FROM f""")
 def text_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P7, P9, X13."""
+    """P9 of the text behind an image, a marker and blank lines."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.compact(t, 300)).alias("head_tail"), F.md5(X.compact_evidence(t, 400)).alias("cut"), F.md5(X.clean_space(t)).alias("clean"))
+    marked = F.concat(F.lit("![i](u.png)A<|x|>B \t\n\n \n\n"), X.strip(X.text(t)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.head_and_tail(t, 300, "text")).alias("head_tail"), F.md5(X.compact_evidence(marked, 400)).alias("cut"), F.md5(X.clean_space(t)).alias("clean"))
 
 
 @query("""
-WITH c AS (SELECT doc_id, lang, lower(text) AS t FROM documents),
-h AS (SELECT doc_id, lang, len(regexp_extract_all(t, '[äöüß]')) * 2 + len(regexp_extract_all(t, '\\b(?:der|die|und|das)\\b')) AS de, len(regexp_extract_all(t, '[éèêç]')) * 2 + len(regexp_extract_all(t, '\\b(?:le|la|et|les)\\b')) AS fr,
- len(regexp_extract_all(t, '[ñóíá]')) * 2 + len(regexp_extract_all(t, '\\b(?:el|los|que|y)\\b')) AS es, len(regexp_extract_all(t, '\\b(?:the|and|of|to)\\b')) AS en FROM c)
-SELECT lang, CASE WHEN greatest(de, fr, es, en) = 0 THEN 'en' WHEN de = greatest(de, fr, es, en) THEN 'de' WHEN fr = greatest(de, fr, es, en) THEN 'fr' WHEN es = greatest(de, fr, es, en) THEN 'es' ELSE 'en' END AS found, count(*) AS n FROM h GROUP BY ALL""")
+WITH t AS (SELECT doc_id, coalesce(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '中，' || left(text, 3) WHEN 2 THEN left(text, 200) || '。' ELSE '12 é' END, '') AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '[一-鿿　-〿]') THEN 'zh' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'zh' END AS spoken,
+ CASE WHEN len(regexp_extract_all(t, '[一-鿿　-〿]')) > n THEN 'zh' WHEN n > 0 THEN 'en' ELSE 'zh' END AS main FROM (SELECT doc_id, t, length(array_to_string(list_filter(regexp_split_to_array(t, '[^0-9A-Za-z_À-ÖØ-öø-ɏ一-鿿]+'), lambda w: regexp_full_match(w, '[A-Za-z]+')), '')) AS n FROM t)""")
 def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X10."""
-    return table(spark, sf_dir, "documents").groupBy("lang", X.language(F.col("text")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    """By any Chinese character, and by what prevails; report_language has the third rule."""
+    k, t = F.col("doc_id") % 4, F.col("text")
+    x = F.when(k == 0, t).when(k == 1, F.concat(F.lit("中，"), F.left(t, F.lit(3)))).when(k == 2, F.concat(F.left(t, F.lit(200)), F.lit("。"))).otherwise("12 é")
+    return table(spark, sf_dir, "documents").select("doc_id", X.spoken_language(x).alias("spoken"), X.main_language(x).alias("main"))
 
 
 @query("""
@@ -373,11 +382,12 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT page_id, lower(regexp_extract(url, '^(\\w+://[^/?#]+)', 1)) || substr(url, length(regexp_extract(url, '^(\\w+://[^/?#]+)', 1)) + 1) AS url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS host,
  contains(url, 'example.com') OR NOT regexp_matches(url, '^https?://[^/\\s]+\\.[^/\\s]+') AS bad, regexp_replace(regexp_replace(lower(url), '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
- regexp_replace(regexp_replace(url, '[^0-9A-Za-z._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name, nullif(regexp_extract(url, '([0-9]+)$', 1), '') AS task FROM pages""")
+ regexp_replace(regexp_replace(url, '[^0-9A-Za-z._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name, CASE page_id % 4 WHEN 0 THEN '0' || page_id WHEN 1 THEN page_id::VARCHAR END AS task, page_id::VARCHAR AS number FROM pages""")
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2, X3, F6, X11, X14, X18."""
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", X.normal_url(u).alias("url"), X.url_host(u).alias("host"), X.bad_url(u).alias("bad"), X.slug(u).alias("slug"), X.safe_name(u).alias("name"), X.task_id(u).alias("task"))
+    u, k, i = F.col("url"), F.col("page_id") % 4, F.col("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("w/task_0"), i, F.lit("/f.md"))).when(k == 1, F.concat(F.lit("see task_"), i)).when(k == 2, F.concat(F.lit("mytask_"), i)).otherwise(F.concat(F.lit("G"), i, F.lit("I7.png")))
+    return table(spark, sf_dir, "pages").select("page_id", X.normal_url(u).alias("url"), X.url_host(u).alias("host"), X.bad_url(u).alias("bad"), X.slug(u).alias("slug"), X.safe_name(u).alias("name"), X.task_id(path).alias("task"), X.quiz_number(path).alias("number"))
 
 
 @query("""
@@ -411,26 +421,28 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH t AS (SELECT item_id, text AS c, {TOKENS} AS need FROM benchmark), d AS (SELECT doc_id, source, {TOKENS} AS have FROM documents), b AS (SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source),
-j AS (SELECT item_id, d.doc_id, len(need) AS n, len(list_intersect(need, have)) AS c FROM t JOIN (SELECT d.* FROM d JOIN b USING (doc_id)) d ON d.source = 'src' || t.item_id % 20)
-SELECT item_id, doc_id, round_even(least(1.0, c / (0.55 * n)), 6) AS v1, round_even(least(1.0, c / (0.45 * n)), 6) AS v2 FROM j""")
+w AS (SELECT *, list_filter(need, lambda x: NOT list_contains([{STOP}], x)) AS few FROM t),
+j AS (SELECT item_id, d.doc_id, len(need) AS n, len(list_intersect(need, have)) AS c, len(few) AS n2, len(list_intersect(few, have)) AS c2 FROM w JOIN (SELECT d.* FROM d JOIN b USING (doc_id)) d ON d.source = 'src' || w.item_id % 20)
+SELECT item_id, doc_id, round_even(least(1.0, c / (0.55 * n)), 6) AS v1, CASE WHEN n2 = 0 THEN 0 ELSE round_even(least(1.0, c2 / (0.45 * n2)), 6) END AS v2 FROM j""")
 def criterion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria against the newest document of their source."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     newest = d.groupBy("source").agg(F.max("doc_id").alias("doc_id"))
     j = b.select("item_id", F.col("text").alias("want"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(d.join(newest.select("doc_id"), "doc_id", "left_semi"), "source")
-    return j.select("item_id", "doc_id", F.bround(X.coverage(F.col("text"), F.col("want")), 6).alias("v1"), F.bround(X.coverage(F.col("text"), F.col("want"), 0.45, 0.65), 6).alias("v2"))
+    return j.select("item_id", "doc_id", F.bround(X.coverage(F.col("text"), F.col("want")), 6).alias("v1"), F.bround(X.coverage(F.col("text"), F.col("want"), 0.45, 0.65, X.STEP_STOPWORDS), 6).alias("v2"))
 
 
 @query(f"""
 WITH t AS (SELECT item_id, 'src' || item_id % 20 AS source, {TOKENS} AS need FROM benchmark), d AS (SELECT doc_id, source, {TOKENS} AS have FROM documents),
-j AS (SELECT item_id, doc_id, len(need) AS n, len(list_intersect(need, have)) AS c FROM t JOIN d USING (source))
-SELECT item_id, doc_id, round_even(least(1.0, c / (0.55 * n)), 6) AS v1, round_even(least(1.0, c / (0.45 * n)), 6) AS v2 FROM j""")
+w AS (SELECT *, list_filter(need, lambda x: NOT list_contains([{STOP}], x)) AS few FROM t),
+j AS (SELECT item_id, doc_id, len(need) AS n, len(list_intersect(need, have)) AS c, len(few) AS n2, len(list_intersect(few, have)) AS c2 FROM w JOIN d USING (source))
+SELECT item_id, doc_id, round_even(least(1.0, c / (0.55 * n)), 6) AS v1, CASE WHEN n2 = 0 THEN 0 ELSE round_even(least(1.0, c2 / (0.45 * n2)), 6) END AS v2 FROM j""")
 def criterion_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria against every document of their source; a document's tokens are taken once for all its criteria."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     need = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), X.tokens(F.col("text")).alias("need"))
     j = d.select("doc_id", "source", X.tokens(F.col("text")).alias("have")).join(need, "source")
-    return j.select("item_id", "doc_id", F.bround(X.token_coverage(F.col("have"), F.col("need")), 6).alias("v1"), F.bround(X.token_coverage(F.col("have"), F.col("need"), 0.45, 0.65), 6).alias("v2"))
+    return j.select("item_id", "doc_id", F.bround(X.token_coverage(F.col("have"), F.col("need")), 6).alias("v1"), F.bround(X.token_coverage(F.col("have"), F.col("need"), 0.45, 0.65, X.STEP_STOPWORDS), 6).alias("v2"))
 
 
 @query("""

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import claims, toolcalls
+from tessera.operators import claims, mix, references, toolcalls, traces
 from tessera.plans import contract
-from tessera.queries import _sink, query, table
+from tessera.queries import MESSAGES, _sink, messages_of, query, table
 from tessera.streaming import cache
 from tessera.streaming import events as streaming
 
@@ -213,3 +213,92 @@ def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     r.repartition(3, F.col("seq") % 3).write.parquet(f"{path}/requests")
     s = streaming.stream_of(spark, f"{path}/requests", "*.parquet", r.schema)
     return streaming.run_to_end(cache.replayed_stream(s, "event_type", 259200, 100), path)
+
+
+# --- references and paths -----------------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT page_id, page_id // 5 AS grp, page_id % 6 AS k, rtrim(coalesce(url, ''), '.,;:!?)]}"''') AS url FROM pages),
+m AS (SELECT *, CASE k WHEN 0 THEN 'Page ' || page_id WHEN 1 THEN 'The label ' || page_id WHEN 2 THEN '3. Some line ' || page_id WHEN 3 THEN 'Window ' || page_id ELSE regexp_extract(url, '^https?://([^/?#]+)', 1) END AS title,
+  CASE k WHEN 0 THEN 'link' WHEN 1 THEN 'label' WHEN 2 THEN 'line' WHEN 3 THEN 'window' ELSE 'host' END AS tier FROM p WHERE regexp_matches(url, '^https?://[^/?#]') AND k <> 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY grp, url ORDER BY page_id) AS n FROM m)
+SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY page_id)::INT AS number, url, title, tier, 'f' || page_id AS source_file FROM f WHERE n = 1""")
+def reference_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files a group, each naming a page in one of six ways."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    u = F.coalesce("url", F.lit(""))
+    say = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    forms = [say("see [*Page ", i, "*](", u, ") for\nmore"), say("x\n- Source: The label ", i, " ", u, "\ny"), say("- 3. Some line ", i, " - ", u), say("{'title': 'Window ", i, "'}\n\n", u, "\n"), say(u, ".\n"), say("see ", u, "/x.PNG here")]
+    text = F.lit(None).cast("string")
+    for k, f in enumerate(forms):
+        text = F.when(F.col("page_id") % 6 == k, f).otherwise(text)
+    return references.web_references(p.select(F.floor(F.col("page_id") / 5).alias("grp"), F.col("page_id").alias("ord"), F.concat(F.lit("f"), i).alias("name"), text.alias("text")))
+
+
+@query("""
+WITH i AS (SELECT DISTINCT '/srv/work_space/' || source || '/images/' || doc_id % 40 || '.png' AS path FROM documents UNION SELECT '/srv/data/images/only' || doc_id || '.png' FROM documents),
+s AS (SELECT doc_id AS ref_id, doc_id % 6 AS k, source, string_split(CASE doc_id % 6 WHEN 3 THEN 'x/' || source || '/images/' || doc_id % 41 || '.png' WHEN 4 THEN 'elsewhere/only' || doc_id || '.png' ELSE 'nowhere/images/' || doc_id % 60 || '.png' END, '/') AS a FROM documents),
+e AS (SELECT path, string_split(path, '/') AS b FROM i),
+j AS (SELECT ref_id, e.path, n FROM s, (SELECT unnest([1, 2, 3, 4]) AS n) t, e WHERE s.k > 2 AND len(a) >= n AND array_to_string(a[len(a) - n + 1:], '/') = array_to_string(b[len(b) - n + 1:], '/')),
+l AS (SELECT ref_id, n, min(path) AS path, count(*) AS c FROM j GROUP BY ALL),
+f AS (SELECT ref_id, arg_max(path, n) AS path, max(n) AS n FROM l WHERE n > 1 OR c = 1 GROUP BY ref_id)
+SELECT ref_id, CASE WHEN k < 3 THEN '/srv/work_space/' || source || '/images/' || ref_id % 40 || '.png' ELSE f.path END AS path, CASE WHEN k < 3 THEN 'exact' WHEN f.n > 1 THEN 'suffix' WHEN f.n = 1 THEN 'name' END AS how FROM s LEFT JOIN f USING (ref_id)""")
+def paths_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: paths as they are, behind a map, behind a marker, and by their ends, in an index of images."""
+    d = table(spark, sf_dir, "documents")
+    i, src, image = F.col("doc_id").cast("string"), F.col("source"), lambda n: F.concat(F.lit("/images/"), (F.col("doc_id") % n).cast("string"), F.lit(".png"))
+    index = d.select(F.concat(F.lit("/srv/work_space/"), src, image(40)).alias("path")).union(d.select(F.concat(F.lit("/srv/data/images/only"), i, F.lit(".png"))))
+    forms = [F.concat(F.lit("/srv/work_space/"), src, image(40)), F.concat(F.lit("C:\\old/"), src, image(40)), F.concat(F.lit("/home/u/work_space/"), src, image(40)), F.concat(F.lit("x/"), src, image(41)), F.concat(F.lit("elsewhere/only"), i, F.lit(".png")), F.concat(F.lit("nowhere"), image(60))]
+    raw = F.lit(None).cast("string")
+    for k, f in enumerate(forms):
+        raw = F.when(F.col("doc_id") % 6 == k, f).otherwise(raw)
+    return references.resolved_paths(d.select(F.col("doc_id").alias("ref_id"), raw.alias("raw")), index, [("C:\\old\\", "/srv/work_space")], "/srv")
+
+
+# --- messages and samples -----------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {MESSAGES}, m AS (SELECT conv_id, turn, role, tool_name, text FROM messages UNION ALL SELECT conv_id + 1000000, turn, CASE role WHEN 'system' THEN 'tool' ELSE role END, tool_name, text FROM messages),
+h AS (SELECT *, count(*) FILTER (role <> 'system') OVER (PARTITION BY conv_id) AS n, count(*) FILTER (role NOT IN ('system', 'tool')) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM m),
+c AS (SELECT conv_id, g, bool_or(role = 'assistant' AND tool_name IS NOT NULL) AS call FROM h WHERE role NOT IN ('system', 'tool') GROUP BY ALL),
+k AS (SELECT h.*, role = 'tool' AND NOT coalesce(call, false) AS orphan FROM h LEFT JOIN c USING (conv_id, g)),
+z AS (SELECT conv_id, g, count(*) AS z FROM k WHERE role <> 'system' AND NOT orphan GROUP BY ALL),
+u AS (SELECT a.conv_id, a.g, sum(b.z) AS upto FROM z a JOIN z b ON b.conv_id = a.conv_id AND b.g >= a.g GROUP BY ALL)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'system', turn)::INT AS place, CASE WHEN role = 'tool' AND length(text) > 60 THEN left(text, 60) || chr(10) || chr(10) || '[内容已截断：原始长度 ' || length(text) || ' 字符，已截断至 60 字符]' ELSE text END AS text
+FROM k LEFT JOIN u USING (conv_id, g) WHERE role = 'system' OR n <= 4 OR (NOT orphan AND upto <= 4)""")
+def messages_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and again with the system's messages as results that follow no call."""
+    m = messages_of(spark, sf_dir).select("conv_id", "turn", "role", "tool_name", "text")
+    lost = m.select((F.col("conv_id") + 1000000).alias("conv_id"), "turn", F.when(F.col("role") == "system", "tool").otherwise(F.col("role")).alias("role"), "tool_name", "text")
+    return traces.truncated(m.union(lost), 4, 60).select("conv_id", "turn", "place", "text")
+
+
+@query("""
+WITH s AS (SELECT conv_id, arg_min(text, turn) AS f, arg_max(text, turn) AS l, CASE WHEN conv_id % 3 > 0 THEN conv_id % 2 END AS image FROM conversations GROUP BY conv_id)
+SELECT min(conv_id) AS conv_id FROM s GROUP BY f, l, image""")
+def vision_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: conversations as samples with an image or none."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]).alias("texts"))
+    images = F.when(F.col("conv_id") % 3 > 0, F.array((F.col("conv_id") % 2).cast("string")))
+    return mix.first_of(c.withColumn("key", mix.vision_key(images, F.col("texts"))), [F.col("key")], ["conv_id"]).select("conv_id")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ln FROM documents),
+c AS (SELECT doc_id, ln, CASE WHEN ln % 2 = 1 THEN replace(line, ' ', '  ') ELSE line END AS line FROM l)
+SELECT doc_id, min(ln)::INT AS ln FROM c GROUP BY doc_id, regexp_replace(line, '\\s+', '', 'g')""")
+def chunks_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's lines, every other one with wider spaces, without those that differ from one before in white space only."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ln", "line"))
+    x = x.withColumn("line", F.when(F.col("ln") % 2 == 1, F.replace("line", F.lit(" "), F.lit("  "))).otherwise(F.col("line")))
+    return mix.first_of(x, [F.col("doc_id"), mix.squeezed(F.col("line"))], ["ln"]).select("doc_id", "ln")
+
+
+@query("""
+SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, lang, left(source, 4) AS source, length(text) % 50 AS n FROM documents) GROUP BY lang, source, n""")
+def records_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by their canonical JSON."""
+    x = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left("source", F.lit(4)).alias("source"), (F.length("text") % 50).alias("n"))
+    return mix.first_of(x, [mix.canonical(x, "lang", "source", "n")], ["doc_id"]).select("doc_id")

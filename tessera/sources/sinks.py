@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,17 +44,22 @@ def appended(batch: DataFrame, path: str) -> None:
     batch.groupBy("plan_id", "step").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")).write.mode("append").json(path)
 
 
-@F.udf(StringType())
-def scrubbed(value: str | None) -> str | None:
-    """K6: JSON without save_mode and saveMode at any depth."""
-    import json
+@F.pandas_udf(StringType())
+def scrubbed(values: pd.Series) -> pd.Series:
+    """K6: JSON without save_mode and saveMode at any depth; what is no JSON stays as it is."""
 
     def walk(x):  # noqa: ANN001, ANN202
         if isinstance(x, dict):
             return {k: walk(v) for k, v in x.items() if k not in ("save_mode", "saveMode")}
         return [walk(v) for v in x] if isinstance(x, list) else x
 
-    return None if value is None else json.dumps(walk(json.loads(value)), ensure_ascii=False)
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(walk(json.loads(value)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return value
+
+    return values.map(one)
 
 
 def typed(df: DataFrame, path: str, kind: str) -> None:

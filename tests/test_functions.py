@@ -31,9 +31,22 @@ def one(spark, value, f):
         (X.value_key, "2024年3月5日", "date:2024-3-5"),
         (X.value_key, "1,200.50 KG", "number:1200.5:kg"),
         (X.value_key, " Some  Text", "text:some text"),
-        (X.language, "这是一个测试 ok", "zh"),
+        (X.spoken_language, "long English text、", "zh"),
+        (X.spoken_language, "é 1", "zh"),
+        (X.main_language, "这是一个测试 ok", "zh"),
+        (X.main_language, "这是 okay", "en"),
+        (X.main_language, "这ok是", "zh"),
         (X.task_id, "task_17/report.md", "17"),
         (X.task_id, "none", None),
+        (X.task_id, "mytask_17", None),
+        (X.quiz_number, "mytask_017", "17"),
+        (X.quiz_number, "x\\Q3I2.png", "3"),
+        (X.quiz_number, "D5 q", "5"),
+        (X.anchors, "Image 1 shows the  Eiffel Tower; figure 2 - 3 depicts a cat: no. 图1对应埃菲尔铁塔。Image 1 shows the Eiffel Tower", ["Image 1 shows the Eiffel Tower", "figure 2 - 3 depicts a cat", "图1对应埃菲尔铁塔"]),
+        (lambda c: X.compact_evidence(c, 40), "a![x](y)b<|z|>c  \n\n\n\n" + "d" * 40, "ab c\n\n" + "d" * 10 + "\n[... truncated ...]"),
+        (pyfuncs.none_to_empty, "{bad", "{bad"),
+        (pyfuncs.shrink_arguments(9), "{bad", "{bad"),
+        (sinks.scrubbed, "{bad", "{bad"),
         (X.strip_thoughts, '<think>a\nb</think> "yes"', "yes"),
         (X.fenced_json, 'x ```json\n{"a": 1}\n``` y', '{"a": 1}'),
         (X.fenced_json, "no json", None),
@@ -42,7 +55,7 @@ def one(spark, value, f):
         (X.tool_calls, '<tool_call>{"name": "a"}</tool_call><tool_call>{bad</tool_call>', ['{"name": "a"}']),
         (X.hashtags, "#a:b #c #a:b", ["#a:b"]),
         (lambda c: X.future_years(c, 2025), "2026 2027 2130 1999", 2),
-        (lambda c: X.compact(c, 10, "x"), "abcdefghijklmno", "abcdef\n...[x truncated 5 chars]...\nlmno"),
+        (lambda c: X.head_and_tail(c, 10, "x"), "abcdefghijklmno", "abcdef\n\n[... 5 chars omitted from x ...]\n\nlmno"),
         (lambda c: F.size(X.ngrams(F.split(c, " "), 3)), "a b", 0),
         (X.bad_url, "https://example.com/x", True),
         (X.bad_url, "https://real.site/x", False),
@@ -67,8 +80,8 @@ def test_shrink(spark):
 @given(texts=st.lists(st.text(max_size=200), min_size=1, max_size=20), limit=st.integers(2, 60))
 def test_compact_is_bounded(spark, texts, limit):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for a, b in df.select("t", X.compact(F.col("t"), limit).alias("c")).collect():
-        assert b == a if len(a) <= limit else len(b) <= limit + 60
+    for a, b in df.select("t", X.head_and_tail(F.col("t"), limit).alias("c")).collect():
+        assert b == a if len(a) <= limit else len(b) <= limit + 70
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

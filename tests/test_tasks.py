@@ -1,8 +1,9 @@
 """Hand-derived cases of prompts, workspace joins and trajectory rewards."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import tasks
+from tessera.operators import references, tasks
 
 
 def test_prompts(spark):
@@ -15,19 +16,41 @@ def test_prompts(spark):
 
 def test_paths_images_and_numbers(spark):
     index = spark.createDataFrame([("/a/x.png",), ("/b/y.png",), ("/c/y.png",), ("/d/z.png",)], "path string")
-    refs = spark.createDataFrame([(1, ["/no/x.png", "/a/x.png"]), (2, ["/no/z.png"]), (3, ["/no/y.png"])], "ref_id int, candidates array<string>")
-    assert {r.ref_id: r.path for r in tasks.resolved_paths(refs, index).collect()} == {1: "/a/x.png", 2: "/d/z.png", 3: None}
+    refs = spark.createDataFrame([(1, "/old/x.png"), (2, "/no/z.png"), (3, "/no/y.png"), (4, "q/b/y.png"), (5, " "), (6, None)], "ref_id int, raw string")
+    assert {r.ref_id: (r.path, r.how) for r in references.resolved_paths(refs, index, [("/old/", "/a")]).collect()} == {1: ("/a/x.png", "exact"), 2: ("/d/z.png", "name"), 3: (None, None), 4: ("/b/y.png", "suffix"), 5: (None, None), 6: (None, None)}
+    got = references.path_candidates(F.col("raw"), [("D:\\w", "/m")], "/r")
+    paths = [r.c for r in spark.createDataFrame([("D:\\w\\data\\images\\1.png",), ("/x/work_space/a/data/images/2.png",)], "raw string").select(got.alias("c")).collect()]
+    assert paths == [["D:\\w\\data\\images\\1.png", "/m\\data\\images\\1.png", "/r/data/images/1.png", "/r/D:\\w\\data\\images\\1.png"], ["/x/work_space/a/data/images/2.png", "/r/work_space/a/data/images/2.png", "/r/data/images/2.png"]]
+
     md = spark.createDataFrame([("1", "cat.md", ""), ("1", "b.md", "see dog"), ("1", "c.md", ""), ("2", "d.md", "")], "task_id string, md string, text string")
     im = spark.createDataFrame([("1", "cat.png"), ("1", "dog.png"), ("2", "only.png")], "task_id string, image string")
     assert sorted((r.md, r.image) for r in tasks.images_of(md, im).collect()) == [("b.md", "dog.png"), ("cat.md", "cat.png"), ("d.md", "only.png")]
     assert tasks.images_of(md, im, True).where("md = 'c.md'").count() == 2
     w = spark.createDataFrame([("task_7",), ("task_8",)], "name string")
-    q = spark.createDataFrame([("q_7", 0, "old"), ("x7", 1, "new")], "id string, ord int, body string")
+    q = spark.createDataFrame([("Q7", 0, "old"), ("D07I2", 1, "new")], "id string, ord int, body string")
     assert {r.name: r.quiz and r.quiz.body for r in tasks.by_number(w, q).collect()} == {"task_7": "new", "task_8": None}
     c = spark.createDataFrame([("HTTP://A.b/x.",), ("http://c.d",)], "url string")
     assert tasks.referenced(c, spark.createDataFrame([("http://a.b/x",)], "url string")).count() == 1
 
 
+@pytest.mark.parametrize(
+    ("before", "line", "want"),
+    [
+        ("", "[T *x*](http://a.b/c) and http://a.b/c", ("link", "T x")),
+        ("", "来源：题目 http://a.b/c", ("label", "题目")),
+        ("", "Source: 12 http://a.b/c rest", ("label", "12 rest")),
+        ("", "2) A `line` (http://a.b/c)", ("line", "A line")),
+        ("Title: First\n\"title\": \"Last\"\n", "http://a.b/c", ("window", "Last")),
+        ("Title: far\n" + "x" * 495 + "\n", "URL: http://a.b/c", ("host", "a.b")),
+        ("", "42 http://a.b/c", ("host", "a.b")),
+    ],
+)
+def test_reference_titles_by_tier(before, line, want):
+    (row,) = references._mentions(1, 1, "f", f"{before}{line}\nmore")
+    assert (row[5], row[4]) == want and row[3] == "http://a.b/c"
+
+
+
 def test_filters(spark):
     s = spark.createDataFrame([(1, "short", ["/a"]), (2, "short", ["/b"]), (3, "x" * 400, [])], "sample_id int, text string, images array<string>")
     assert [r.sample_id for r in tasks.fits_trainer(s, 50, spark.createDataFrame([("/a",)], "path string")).collect()] == [1]
