@@ -149,3 +149,17 @@ def claim_outcomes(claims: DataFrame, facts: DataFrame) -> DataFrame:
     out = F.when(F.size("cited") == 0, "no_citation").when(~F.col("relevant") & F.col("indexed").isNull(), "source_not_indexed").when(~F.col("relevant") & F.col("field"), "wrong_source")
     out = out.when(F.col("yes") & F.col("no"), "conflicting_evidence").when(F.col("no"), "contradicted").when(F.col("yes"), "supported").otherwise("insufficient_evidence")
     return met.join(listed, "claim_id", "left").select("claim_id", out.alias("outcome"))
+
+
+def chart_frame(items: DataFrame, by_date: bool = False) -> DataFrame:
+    """(chart, dimension, place, metrics map) of items (chart, ord, dimension, metrics map<string, string>): a chart's
+    rows in input order, or by date where ``by_date`` and all its dimensions are dates. Values that are no numbers count as 0; rows
+    without a dimension go."""
+    from pyspark.sql import Window
+
+    rows = items.where(F.coalesce("dimension", F.lit("")) != "")
+    x = rows.select("chart", "ord", "dimension", F.transform_values("metrics", lambda _, v: F.coalesce(v.try_cast("double"), F.lit(0.0))).alias("metrics"))
+    dated = F.col("dimension").try_cast("timestamp")
+    all_dates = F.every(dated.isNotNull()).over(Window.partitionBy("chart"))
+    at = F.when(F.lit(by_date) & all_dates, dated)
+    return x.withColumn("at__", at).withColumn("place", F.row_number().over(Window.partitionBy("chart").orderBy("at__", "ord"))).select("chart", "dimension", "place", "metrics")

@@ -397,6 +397,42 @@ def repeated_headings(reports: DataFrame, least: int = 3) -> DataFrame:
     return headings(reports).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+#: The headings that a report has besides its sections, by its language.
+LABELS = {"zh": ("目录", "参考文献"), "de": ("Inhaltsverzeichnis", "Quellen"), "fr": ("Table des matières", "Références"), "es": ("Índice", "Referencias"), "en": ("Table of Contents", "Reference")}
+
+
+def structure_issues(reports: DataFrame, outline: DataFrame) -> DataFrame:
+    """(doc_id, has_issues, headings, expected, unexpected, repeated, problem_sections) of reports (doc_id, report,
+    title, query, references int) against their outlines (doc_id, sec, title, subsections array).
+
+    Expected are the title, the table of contents, sections with their subsections, and the references if there are any.
+    Repeated are headings that come three times or more and more often than expected. A section is a problem if a heading under
+    it is unexpected or repeated, or if it has over two subheadings more than expected."""
+    lang = X.report_language(F.coalesce(F.nullif("query", F.lit("")), F.nullif("title", F.lit("")), F.lit("Report")))
+    label = lambda k: F.create_map(*[F.lit(x) for lg, two in LABELS.items() for x in (lg, two[k])])[lang]
+    key = X.heading_key
+    own = reports.select("doc_id", F.explode(F.array_distinct(F.array(key(F.coalesce(F.nullif("title", F.lit("")), F.lit("Report"))), key(label(0))))).alias("key"), F.lit(1).alias("n"))
+    refs = reports.where("references > 0").select("doc_id", key(label(1)).alias("key"), F.lit(1).alias("n"))
+    subs = F.coalesce("subsections", F.array().cast("array<string>"))
+    sub = lambda s, i: key(F.coalesce(F.nullif(s, F.lit("")), F.concat_ws(".", "sec", (i + 1).cast("string"))))
+    sec = outline.select("doc_id", "sec", key(F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Section "), F.col("sec").cast("string")))).alias("key"), F.transform(subs, sub).alias("subs"))
+    below = sec.select("doc_id", F.explode(F.concat(F.array("key"), "subs")).alias("key"), F.lit(1).alias("n"))
+    expected = own.unionAll(below).unionAll(refs).groupBy("doc_id", "key").agg(F.sum("n").alias("wanted"))
+    size = sec.groupBy("doc_id").agg(F.sum(F.size("subs") + 1).alias("s"))
+    sections = sec.groupBy("doc_id", F.col("key").alias("parent")).agg(F.max_by(F.size("subs"), "sec").alias("n_subs"))
+    h = headings(reports)
+    counts = h.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).join(expected, ["doc_id", "key"], "left")
+    counts = counts.withColumns({"odd": F.col("wanted").isNull(), "again": (F.col("key") != "") & (F.col("c") >= 3) & (F.col("c") > F.coalesce("wanted", F.lit(0)))})
+    total = counts.groupBy("doc_id").agg(F.sum("c").alias("headings"), F.sum(F.when(F.col("odd"), F.col("c")).otherwise(0)).alias("unexpected"), F.array_sort(F.collect_list(F.when(F.col("again"), F.concat("key", F.lit(" x"), F.col("c").cast("string"))))).alias("repeated"))
+    x = h.join(counts.select("doc_id", "key", "odd", "again"), ["doc_id", "key"]).join(sections, ["doc_id", "parent"])
+    bad = x.groupBy("doc_id", "parent").agg((F.max("odd") | F.max("again") | (F.count_if(F.col("level") >= 3) > F.max("n_subs") + 2)).alias("bad")).where("bad")
+    bad = bad.groupBy("doc_id").agg(F.array_sort(F.collect_list("parent")).alias("problem_sections"))
+    y = reports.select("doc_id", (F.col("references") > 0).cast("int").alias("r")).join(size, "doc_id", "left").join(total, "doc_id", "left").join(bad, "doc_id", "left")
+    y = y.withColumns({"headings": F.coalesce("headings", F.lit(0)), "unexpected": F.coalesce("unexpected", F.lit(0)), "expected": 2 + F.coalesce("s", F.lit(0)) + F.coalesce("r", F.lit(0)), "repeated": F.coalesce("repeated", F.array().cast("array<string>")), "problem_sections": F.coalesce("problem_sections", F.array().cast("array<string>"))})
+    many = F.col("headings") > F.col("expected") + F.greatest(F.lit(3), F.floor(F.col("expected") / 4))
+    return y.select("doc_id", ((F.size("repeated") > 0) | many).alias("has_issues"), "headings", "expected", "unexpected", F.slice("repeated", 1, 8).alias("repeated"), "problem_sections")
+
+
 def without_repeated_headings(reports: DataFrame) -> DataFrame:
     """(doc_id, ln, line) without headings equal to the one right before, blank lines aside."""
     by = Window.partitionBy("doc_id").orderBy("ln")

@@ -152,6 +152,15 @@ RESEARCH_TOOLS = [
 IMAGE_TOOL, SAVE_TOOL, REPORT_TOOL, MARK_TOOL = "ask_question_about_image", "file_saver", "generate_markdown_report", "mark_step"
 
 
+#: Which tools' messages go with a workflow's target.
+TRIGGERS = {
+    "workflow_image_to_file_saver": (IMAGE_TOOL,),
+    "workflow_research_to_file_saver": RESEARCH_TOOLS,
+    "workflow_generate_report": (SAVE_TOOL, "file_read"),
+    "workflow_mark_after_save_or_report": (SAVE_TOOL, REPORT_TOOL),
+}
+
+
 def workflow_modes(m: DataFrame, lookback: int, weights: dict[str, int]) -> DataFrame:
     """(conv_id, turn, mode, weight) of assistants' calls: what a call ends, by the tools of the ``lookback`` messages before it.
     ``weights`` has file_saver, report and mark_step, each at least 1."""
@@ -184,6 +193,34 @@ def recent_tool_pairs(m: DataFrame, tools: list[str], most: int = 2) -> DataFram
     return hit.select("conv_id", F.explode(F.array_compact(F.array("turn", near))).alias("turn")).distinct()
 
 
+def workflow_pairs(m: DataFrame, lookback: int, weights: dict[str, int], most: int = 2) -> DataFrame:
+    """(conv_id, target, turn): for every target call that ends a workflow (see ``workflow_modes``), the two latest messages
+    before it that call or answer one of its mode's trigger tools, each with its neighbour: the assistant's message before an
+    answer, the answer after a call. Call and answer count apart.
+
+    A message knows the latest hit before it, and that hit the one before itself, so a conversation is read once."""
+    if most != 2:
+        raise ValueError("the rule takes two messages")
+    o = conv()
+    x = m.withColumns({"near__": F.struct(F.lag(F.struct("turn", "role")).over(o).alias("before"), F.lead(F.struct("turn", "role")).over(o).alias("after"))})
+    hits, last = {}, {}
+    for mode, tools in TRIGGERS.items():
+        hit = F.col("role").isin("assistant", "tool") & F.col("tool_name").isin(*tools)
+        hits[f"{mode}__"] = F.when(hit, F.struct("turn", "role", "near__"))
+    x = x.withColumns(hits)
+    x = x.withColumns({f"{k}1": F.last(k, ignorenulls=True).over(before()) for k in hits})
+    x = x.withColumns({f"{k}2": F.last(F.when(F.col(k).isNotNull(), F.struct(F.col(f"{k}1").alias("x"))), ignorenulls=True).over(before()) for k in hits})
+    for k in hits:
+        last[k] = F.array(F.col(f"{k}1"), F.col(f"{k}2.x"))
+    found = F.when(F.lit(False), F.array(F.col(f"{next(iter(hits))}1")))
+    for mode in TRIGGERS:
+        found = found.when(F.col("mode") == mode, last[f"{mode}__"])
+    x = x.join(workflow_modes(m, lookback, weights).where("mode <> ''").select("conv_id", "turn", "mode"), ["conv_id", "turn"])
+    each = x.select("conv_id", F.col("turn").alias("target"), F.explode(F.array_compact(found)).alias("h"))
+    mate = F.when((F.col("h.role") == "tool") & (F.col("h.near__.before.role") == "assistant"), F.col("h.near__.before.turn")).when((F.col("h.role") == "assistant") & (F.col("h.near__.after.role") == "tool"), F.col("h.near__.after.turn"))
+    return each.select("conv_id", "target", F.explode(F.array_compact(F.array("h.turn", mate))).alias("turn")).distinct()
+
+
 def grouped(m: DataFrame) -> DataFrame:
     """Grp: a message and the tools' messages that follow it, from 1."""
     return m.withColumn("grp", F.sum((F.col("role") != "tool").cast("int")).over(conv()))

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import claims, mix, references, toolcalls, traces
+from tessera.operators import claims, mix, records, references, reports, toolcalls, traces
 from tessera.plans import contract
-from tessera.queries import MESSAGES, _sink, messages_of, query, table
+from tessera.queries import MESSAGES, REPORTS, _sink, messages_of, query, reports_of, table
 from tessera.streaming import cache
 from tessera.streaming import events as streaming
 
@@ -302,3 +302,55 @@ def records_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by their canonical JSON."""
     x = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left("source", F.lit(4)).alias("source"), (F.length("text") % 50).alias("n"))
     return mix.first_of(x, [mix.canonical(x, "lang", "source", "n")], ["doc_id"]).select("doc_id")
+
+
+@query(f"""
+WITH {MESSAGES}, m AS (SELECT conv_id, turn, role, CASE tool_name WHEN 'search' THEN 'serper_search' WHEN 'extract' THEN 'ask_question_about_image' WHEN 'chart' THEN CASE WHEN conv_id % 3 = 0 THEN 'generate_markdown_report' ELSE 'mark_step' END WHEN 'write' THEN 'file_saver' END AS tool, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM messages),
+t AS (SELECT * FROM m WHERE role = 'assistant' AND tool IS NOT NULL),
+r AS (SELECT t.conv_id, t.turn, t.i, t.tool, list(p.tool) FILTER (p.tool IS NOT NULL AND p.role IN ('assistant', 'tool')) AS recent FROM t LEFT JOIN m p ON p.conv_id = t.conv_id AND p.i < t.i AND p.i >= t.i - 4 GROUP BY ALL),
+g AS (SELECT conv_id, turn, i, CASE WHEN tool = 'file_saver' AND list_contains(recent, 'ask_question_about_image') THEN ['ask_question_about_image'] WHEN tool = 'file_saver' AND list_contains(recent, 'serper_search') THEN ['serper_search']
+  WHEN tool = 'generate_markdown_report' THEN ['file_saver', 'file_read'] WHEN tool = 'mark_step' AND list_has_any(recent, ['file_saver', 'generate_markdown_report']) THEN ['file_saver', 'generate_markdown_report'] END AS tools FROM r),
+h AS (SELECT g.conv_id, g.turn AS target, g.i AS t, m.i, m.role, row_number() OVER (PARTITION BY g.conv_id, g.turn ORDER BY m.i DESC) AS k FROM g JOIN m ON m.conv_id = g.conv_id AND m.i < g.i AND m.role IN ('assistant', 'tool') AND list_contains(g.tools, m.tool)),
+x AS (SELECT conv_id, target, i FROM h WHERE k <= 2 UNION SELECT h.conv_id, target, p.i FROM h JOIN m p ON p.conv_id = h.conv_id AND h.k <= 2 AND (h.role = 'tool' AND p.i = h.i - 1 AND p.role = 'assistant' OR h.role = 'assistant' AND p.i = h.i + 1 AND p.i < h.t AND p.role = 'tool'))
+SELECT x.conv_id, target, m.turn FROM x JOIN m ON m.conv_id = x.conv_id AND m.i = x.i""")
+def workflow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every workflow's target, by its mode's trigger tools."""
+    names = F.create_map(*[F.lit(x) for kv in (("search", "serper_search"), ("extract", "ask_question_about_image"), ("chart", "mark_step"), ("write", "file_saver")) for x in kv])
+    tool = F.when((F.col("tool_name") == "chart") & (F.col("conv_id") % 3 == 0), "generate_markdown_report").otherwise(names[F.col("tool_name")])
+    return traces.workflow_pairs(messages_of(spark, sf_dir).withColumn("tool_name", tool), 4, {"file_saver": 4})
+
+
+@query(f"""
+WITH {REPORTS}, l AS (SELECT doc_id, unnest(string_split(report, chr(10))) AS line, unnest(range(len(string_split(report, chr(10))))) AS ln FROM reports),
+h AS (SELECT doc_id, ln, regexp_replace(regexp_replace(lower(trim(substr(line, 4))), '^\\s*(?:[0-9]+(?:\\.[0-9]+)*[.)、]?|[一二三四五六七八九十]+[、.])\\s*', ''), '[^0-9a-z一-鿿]+', '', 'g') AS key, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS i FROM l WHERE regexp_matches(line, '^## +\\S')),
+o AS (SELECT r.doc_id, 1 AS sec, max(key) FILTER (i = 1) AS key, r.lang, r.source FROM reports r LEFT JOIN h ON h.doc_id = r.doc_id GROUP BY ALL UNION ALL SELECT r.doc_id, 2, max(key) FILTER (i = 2), r.lang, r.source FROM reports r LEFT JOIN h ON h.doc_id = r.doc_id GROUP BY ALL),
+s AS (SELECT doc_id, sec, coalesce(nullif(key, ''), 'section' || sec) AS key FROM o),
+e AS (SELECT DISTINCT doc_id, unnest([source, 'tableofcontents']) AS key, 1 AS n FROM reports WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, unnest([source, 'inhaltsverzeichnis']), 1 FROM reports WHERE doc_id % 2 = 1
+  UNION ALL SELECT doc_id, key, 1 FROM s UNION ALL SELECT doc_id, lang, 1 FROM o UNION ALL SELECT doc_id, source, 1 FROM o UNION ALL SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'reference' ELSE 'quellen' END, 1 FROM reports WHERE doc_id % 3 > 0),
+w AS (SELECT doc_id, key, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT doc_id, key, count(*) AS c FROM h GROUP BY ALL),
+j AS (SELECT c.*, w.n IS NULL AS odd, c.key <> '' AND c >= 3 AND c > coalesce(w.n, 0) AS again FROM c LEFT JOIN w USING (doc_id, key)),
+t AS (SELECT doc_id, sum(c) AS headings, coalesce(sum(c) FILTER (odd), 0) AS unexpected, coalesce(list_sort(list(key || ' x' || c) FILTER (again)), []) AS repeated FROM j GROUP BY doc_id),
+p AS (SELECT doc_id, list_sort(list(DISTINCT key)) AS ps FROM j SEMI JOIN s ON s.doc_id = j.doc_id AND s.key = j.key WHERE odd OR again GROUP BY doc_id)
+SELECT r.doc_id, len(coalesce(repeated, [])) > 0 OR coalesce(headings, 0) > 8 + (r.doc_id % 3 > 0)::INT + 3 AS has_issues, coalesce(headings, 0)::BIGINT AS headings, (8 + (r.doc_id % 3 > 0)::INT)::BIGINT AS expected, coalesce(unexpected, 0)::BIGINT AS unexpected, array_to_string(coalesce(repeated, [])[1:8], ',') AS repeated, array_to_string(coalesce(ps, []), ',') AS problem_sections
+FROM reports r LEFT JOIN t USING (doc_id) LEFT JOIN p USING (doc_id)""")
+def report_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports whose outline has their first two headings as sections."""
+    r = reports_of(spark, sf_dir).withColumns({"title": F.col("source"), "query": F.when(F.col("doc_id") % 2 == 1, "der Bericht").otherwise(""), "references": (F.col("doc_id") % 3).cast("int")})
+    first = F.filter(F.split("report", "\n"), lambda ln: ln.rlike(r"^## +\S"))
+    heads = r.select("doc_id", F.array("lang", "source").alias("subsections"), F.posexplode(F.array(*[F.regexp_replace(F.coalesce(F.try_element_at(first, F.lit(i)), F.lit("")), "^## +", f"{i}. ") for i in (1, 2)])).alias("k", "title"))
+    outline = heads.select("doc_id", (F.col("k") + 1).alias("sec"), "title", "subsections")
+    out = reports.structure_issues(r, outline)
+    return out.select("doc_id", "has_issues", "headings", F.col("expected").cast("long").alias("expected"), "unexpected", F.array_join("repeated", ",").alias("repeated"), F.array_join("problem_sections", ",").alias("problem_sections"))
+
+
+@query("""
+WITH i AS (SELECT user_id AS chart, event_id AS ord, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE event_type END AS dimension, value, event_type, ts FROM events WHERE event_id % 9 <> 0)
+SELECT chart, dimension, row_number() OVER (PARTITION BY chart ORDER BY CASE WHEN chart % 2 = 0 THEN date_trunc('second', ts) END, ord)::INT AS place, CASE WHEN ord % 4 = 0 THEN 0.0 ELSE round(value, 2) END AS amount, CASE event_type WHEN 'view' THEN 1.0 ELSE 0.0 END AS seen FROM i""")
+def chart_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a chart's rows, by date where the dimension is one."""
+    e = table(spark, sf_dir, "events")
+    dim = F.when(F.col("event_id") % 9 == 0, "").when(F.col("user_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("event_type"))
+    amount = F.when(F.col("event_id") % 4 == 0, "n/a").otherwise(F.round("value", 2).cast("string"))
+    m = F.create_map(F.lit("amount"), amount, F.lit("seen"), F.when(F.col("event_type") == "view", "1"))
+    x = records.chart_frame(e.select(F.col("user_id").alias("chart"), F.col("event_id").alias("ord"), dim.alias("dimension"), m.alias("metrics")), True)
+    return x.select("chart", "dimension", "place", F.col("metrics")["amount"].alias("amount"), F.col("metrics")["seen"].alias("seen"))
