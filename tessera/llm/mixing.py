@@ -11,7 +11,9 @@ TOLERANCE of itself over ROUNDS rounds (MOST times at most); ``unmet`` tells how
 which is what the caps leave over. Cells are joined to documents by a shuffle unless they are few; the cells of most
 documents are broadcast, fewer than 256 whatever the input.
 
-Targets: ``targets`` (dimension, value, share), or each value's token share to the power ``flatten``, made to sum to 1.
+Targets: ``targets`` (dimension, value, share), or each value's token share to the power ``flatten``, made to sum to 1. The
+budget is ``keep`` of all tokens, or less if a value has too few tokens for its share of that: FULL of the most that all values
+can bear, so that the targets can be met without taking a document twice. ``strict`` raises where a share still is further off.
 
 Defined results: null source, language or topic is the value ''; null or empty text has no tokens and probability 1 (it
 takes nothing from the budget); null ids share one draw; repeated rows are all kept or all dropped; no documents: no rows;
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import attach, written
 
 DIMS = ("source", "lang", "topic")
-ROUNDS, FLATTEN, KEEP, SEED = 8, 0.7, 0.8, "mix-1"
+ROUNDS, FLATTEN, KEEP, FULL, SEED = 8, 0.7, 0.8, 0.95, "mix-1"
 TOLERANCE, MOST, FEW = 0.01, 40, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: (topic, what a text of that topic contains); the first that fits.
@@ -67,10 +69,13 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep:
     and t_topic, the targets."""
     x = cells
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    x = x.crossJoin(F.broadcast(total)).withColumn("cap", F.col("tokens") / (F.col("total") * keep)).withColumn("w", F.col("tokens") / F.col("total"))  # one row
+    x = x.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total"))  # one row
     for d in DIMS:
         x = x.join(shares(cells, d, flatten, targets).select(F.col("value").alias(d), F.col("share").alias(f"t_{d}")), d)
-    x = written(x, "cells")
+    x = written(x, "shares")
+    borne = [x.groupBy(d).agg((F.sum("w") / F.first(f"t_{d}")).alias("k"), F.first(f"t_{d}").alias("t")).where("t > 0").select("k") for d in DIMS]
+    most = borne[0].union(borne[1]).union(borne[2]).agg(F.least(F.lit(float(keep)), FULL * F.min("k")).alias("keep__"))
+    x = written(x.crossJoin(F.broadcast(most)).withColumn("cap", F.col("w") / F.col("keep__")).drop("keep__"), "cells")  # one row
     # few cells are raked in one task, where windows need no shuffle; more are shuffled by each dimension
     few = x.count() <= FEW
     for _ in range(MOST):
@@ -88,6 +93,12 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep:
     return x.drop("before")
 
 
+def worst(raked: DataFrame) -> float:
+    """How far the share that is furthest off is from its target, in parts of the target."""
+    x = unmet(raked).where("target > 0").agg(F.max(F.abs(F.col("share") / F.col("target") - 1))).first()[0]
+    return float(x or 0.0)
+
+
 def unmet(raked: DataFrame) -> DataFrame:
     """(dimension, value, target, share) of raked cells: the shares that the weights have."""
     every = F.sum("w").over(Window.partitionBy())
@@ -106,24 +117,27 @@ def cells_of(x: DataFrame) -> DataFrame:
     return x.where("tokens__ > 0").groupBy(*[F.col(f"{d}__").alias(d) for d in DIMS]).agg(F.sum("tokens__").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def _weighed(docs: DataFrame, rounds: int, flatten: float, keep: float, targets: DataFrame | None, topic: Column | None) -> DataFrame:
+def _weighed(docs: DataFrame, rounds: int, flatten: float, keep: float, targets: DataFrame | None, topic: Column | None, strict: float | None) -> DataFrame:
     x = tokens_of(docs, topic)
-    p = written(rake(written(cells_of(x), "tokens"), rounds, flatten, keep, targets).select(*[F.col(d).alias(f"{d}__") for d in DIMS], F.col("docs").alias("docs__"), (F.col("w") / F.col("cap")).alias("p__")), "p")
+    raked = rake(written(cells_of(x), "tokens"), rounds, flatten, keep, targets)
+    if strict is not None and (off := worst(raked)) > strict:
+        raise ValueError(f"a share is {off:.3f} of its target off; see unmet()")
+    p = written(raked.select(*[F.col(d).alias(f"{d}__") for d in DIMS], F.col("docs").alias("docs__"), (F.col("w") / F.col("cap")).alias("p__")), "p")
     y = attach(x, p, [f"{d}__" for d in DIMS], "docs__", F.col("doc_id"))
     prob = F.when(F.col("tokens__") > 0, F.least(F.col("p__"), F.lit(1.0))).otherwise(F.lit(1.0))
     return y.withColumn("p__", prob).withColumn("kept__", draw(F.col("doc_id")) < F.col("p__"))
 
 
-def mix(docs: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None, strict: float | None = None) -> DataFrame:
     """docs with topic, n_tokens, probability and kept."""
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability", "kept")]
     new = [F.col(f"{a}__").alias(b) for a, b in (("topic", "topic"), ("tokens", "n_tokens"), ("p", "probability"), ("kept", "kept"))]
-    return _weighed(docs, rounds, flatten, keep, targets, topic).select(*own, *new)
+    return _weighed(docs, rounds, flatten, keep, targets, topic, strict).select(*own, *new)
 
 
-def sample(docs: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None) -> DataFrame:
+def sample(docs: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None, strict: float | None = None) -> DataFrame:
     """The pipeline's form: the kept documents, as they were."""
-    return _weighed(docs, rounds, flatten, keep, targets, topic).where("kept__").select(*docs.columns)
+    return _weighed(docs, rounds, flatten, keep, targets, topic, strict).where("kept__").select(*docs.columns)
 
 
 def oracle(source: str = "documents") -> str:
@@ -133,8 +147,10 @@ def oracle(source: str = "documents") -> str:
       coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens FROM {source})""", "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL)"]
     for k in DIMS:
         out.append(f"t_{k} AS (SELECT {k}, s / sum(s) OVER () AS t_{k} FROM (SELECT {k}, pow(sum(tokens), {FLATTEN}) AS s FROM cells GROUP BY {k}))")
-    out.append(f"""c AS (SELECT source, lang, topic, tokens / sum(tokens) OVER () AS w, tokens / ({KEEP} * sum(tokens) OVER ()) AS cap, t_source, t_lang, t_topic
-      FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))""")
+    borne = " UNION ALL ".join(f"SELECT sum(tokens) / any_value(total) / any_value(t_{k}) AS k FROM a GROUP BY {k}" for k in DIMS)
+    out.append(f"""a AS (SELECT *, sum(tokens) OVER () AS total FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
+    b AS (SELECT least({KEEP}, {FULL} * min(k)) AS keep FROM ({borne}))""")
+    out.append("c AS (SELECT source, lang, topic, tokens / total AS w, tokens / total / keep AS cap, t_source, t_lang, t_topic FROM a, b)")
     step = f"(SELECT * EXCLUDE (w, before), w, CASE WHEN k % {ROUNDS} = 0 THEN w ELSE before END AS before FROM r WHERE NOT rests AND k < {ROUNDS * MOST})"
     for d in DIMS:
         step = f"(SELECT * EXCLUDE (w), w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {step})"
