@@ -1,12 +1,16 @@
 """Toxicity: cumulative-link ordinal regression over sparse words.
 
 Severity has ordered grades 0..K; P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds
-t_0 < t_1 < ... A text's features are its distinct words, hashed, longer ones by their first HEAD bytes, so that forms of a word
-which no label has count too; a word counts once however long the text. Trained on a bounded sample of labelled rows (``sample``, about: those whose hashed ids are smallest), here by proximal AdaGrad with a penalty
-that keeps weights of words which few texts bear out at zero. Expected severity is the sum of P(grade > k).
+t_0 < t_1 < ... A text's features are its distinct words, hashed, longer ones by their first HEAD bytes, and the beginnings of
+STEMS bytes of longer words, so that forms of a word which no label has count too; a feature counts once however long the text.
+Trained on a bounded sample of labelled rows (``sample``, about: those whose hashed ids are smallest), here by proximal AdaGrad
+with a penalty that keeps weights of features which few texts bear out at zero. Expected severity is the sum of P(grade > k).
+
+What reaches the driver has a bound: features that at most TEXTS or over COMMON of the sample's texts have are left out on the
+executors, and of a text's others the MOST_FEATURES with the smallest hashes stay: 16 KB a sampled text, however long texts are.
 
 Grades come from labels: 0 where toxic = 0, 1 for a toxic text of good quality, 2 for a toxic text of low quality. The
-threshold for rejection is the one that does best on held-out rows of the sample.
+threshold for rejection is the one that does best on the sample's rows, each scored by a model of the other FOLDS - 1 parts.
 
 Scoring is one pass over all texts, whole, with no shuffle; the model (two numbers a feature, a fixed table) is broadcast.
 
@@ -27,26 +31,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE, bytes_of, lean, mix, powers, sampled, sent, slices, small_batches, words_of
+from tessera.llm.common import BYTE, bytes_of, lean, mix, powers, sampled, sent, slices, small_batches, words_of, written
 
 BITS = 20
-LEAST = -0.5
+LEAST = -0.1
 HEAD = 8
+STEMS = (4, 5, 6, 7)
+TEXTS, COMMON, MOST_FEATURES, FOLDS = 3.0, 0.3, 4000, 5
 
 
 def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text's index, feature), distinct, ordered by text: words without marks at their ends, no more than HEAD bytes of
-    each, hashed to BITS bits."""
+    each, and the shorter beginnings of STEMS bytes of longer ones, hashed to BITS bits."""
     raw, off = bytes_of(texts)
     # marks and digits count as spaces, so that "word," and "word" are one feature
     plain = raw.copy()
     plain[(raw < 128) & ~_ALPHA[raw]] = 32
     h, doc, start, end = words_of(plain, off)
-    longer = end - start > HEAD
-    at, head = start[longer], np.zeros(int(longer.sum()), np.uint64)
-    for i, p in enumerate(powers(HEAD)):
-        head += BYTE[plain[at + i]] * p
-    h[longer] = mix(head ^ np.uint64(HEAD))
+    size = end - start
+    stems, docs = [], []
+    p = powers(HEAD)
+    head, longest = np.zeros(len(start), np.uint64), size > HEAD
+    for i in range(HEAD):
+        at = np.flatnonzero(size > i)
+        head[at] += BYTE[plain[start[at] + i]] * p[i]
+        if i + 1 in STEMS:
+            at = np.flatnonzero(size > i + 1)
+            stems.append(mix(head[at] ^ np.uint64(i + 1 + 256)))
+            docs.append(doc[at])
+    h[longest] = mix(head[longest] ^ np.uint64(HEAD))
+    h, doc = np.concatenate([h, *stems]), np.concatenate([doc, *docs])
     f = np.unique(doc << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64))
     return f >> BITS, f & ((1 << BITS) - 1)
 
@@ -77,7 +91,7 @@ class Ordinal:
         return p
 
 
-def fit(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float = 6.0) -> Ordinal:
+def fit(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float = TEXTS) -> Ordinal:
     """Ordinal regression; y are grades 0..K. First the words are chosen: a word must explain what is left of more than
     ``texts`` examples to have a weight, so texts aren't learnt by heart. Then the chosen words' weights are fitted anew."""
     m = _descend(doc, f, y, texts, rate=0.2)
@@ -148,7 +162,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal |
                 at = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32)))], names=["doc_id", "y", "f"])
 
-    t = got.mapInArrow(lean(run), "doc_id long, y long, f array<int>").toArrow().combine_chunks()
+    rows = written(got.mapInArrow(lean(run), "doc_id long, y long, f array<int>"), "features")
+    n = rows.count()
+    often = rows.select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > TEXTS) & (F.col("n") <= max(COMMON * n, TEXTS + 1)))
+    known = np.zeros(1 << BITS, bool)
+    known[often.select("f").toArrow().column(0).to_numpy()] = True
+    held = sent(docs.sparkSession, np.packbits(known))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(held()).astype(bool)
+        for b in batches:
+            fs = [x[keep[x]][:MOST_FEATURES] for x in (v.values.to_numpy() for v in b.column(2))]
+            at = np.cumsum([0, *map(len, fs)]).astype(np.int32)
+            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *fs])))], names=["doc_id", "y", "f"])
+
+    t = rows.mapInArrow(lean(thin), "doc_id long, y long, f array<int>").toArrow().combine_chunks()
     ids, y = t.column(0).to_numpy(), t.column(1).to_numpy()
     if not len(y) or y.min() == y.max():
         return None
@@ -157,15 +185,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal |
     y = y[order]
     f = lists.flatten().to_numpy()
     doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    del t, lists
     y = np.unique(y, return_inverse=True)[1]  # grades without examples close up
-    held = np.arange(len(y)) % 5 == 0
-    fold = (np.cumsum(~held) - 1).astype(np.int32)
-    own = ~held[doc]
-    inner = fit(fold[doc[own]], f[own], y[~held])
-    p = inner.above(doc, f, len(y)).sum(axis=1)
-    tries = np.linspace(0.1, 1.0, 46)
-    # a clean text lost weighs as much as three toxic ones kept
-    cost = [((p[held] < c) & (y[held] > 0)).sum() + 3 * ((p[held] >= c) & (y[held] == 0)).sum() for c in tries]
+    p = np.zeros(len(y))
+    for k in range(FOLDS):
+        own = np.arange(len(y)) % FOLDS != k
+        if own.all() or y[own].min() == y[own].max():
+            continue
+        place, mine = (np.cumsum(own) - 1).astype(np.int32), own[doc]
+        inner = fit(place[doc[mine]], f[mine], np.unique(y[own], return_inverse=True)[1])
+        p[~own] = inner.above(doc, f, len(y)).sum(axis=1)[~own]
+    tries = np.linspace(0.04, 1.0, 49)
+    # a clean text lost weighs as much as two toxic ones kept
+    cost = [((p < c) & (y > 0)).sum() + 2 * ((p >= c) & (y == 0)).sum() for c in tries]
     best = np.flatnonzero(np.array(cost) == min(cost))
     m = fit(doc, f, y)
     m.cut = float(tries[best[len(best) // 2]])

@@ -352,7 +352,9 @@ def test_mixing_rakes_until_weights_rest(spark):
     cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", (3000 if i == 0 else 100) * (j + 1) * (1 + (i + k) % 3), 1) for i in range(8) for j in range(3) for k in range(3)], "source string, lang string, topic string, tokens long, docs long")
     raked = mixing.rake(cells, flatten=0.7, keep=0.8)
     got = raked.toPandas()
-    w, cap = got.tokens / got.tokens.sum(), got.tokens / got.tokens.sum() / 0.8
+    w = got.tokens / got.tokens.sum()
+    most = min((w.groupby(got[d]).sum() / got.groupby(d)[f"t_{d}"].first()).min() for d in mixing.DIMS)
+    cap = w / min(0.8, mixing.FULL * most)
     for _ in range(3000):
         for d in mixing.DIMS:
             w = w * got[f"t_{d}"] / w.groupby(got[d]).transform("sum")
@@ -362,6 +364,21 @@ def test_mixing_rakes_until_weights_rest(spark):
     assert len(left) == 14 and left.groupby("dimension").share.sum().round(9).eq(1).all()
 
 
+def test_mixing_meets_its_targets_by_default(spark):
+    """With default settings every share is within 1 % of its target; a source whose tokens can't bear its share is told."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    raked = mixing.rake(mixing.cells_of(mixing.tokens_of(docs)))
+    assert mixing.worst(raked) < 0.01
+    got = mixing.mix(docs, strict=0.01)
+    kept = got.where("kept").agg(F.sum("n_tokens")).first()[0] / got.agg(F.sum("n_tokens")).first()[0]
+    most = raked.agg(F.max(F.col("w") / F.col("cap"))).first()[0]
+    assert most <= 1 + 1e-9 and 0.2 < kept < 0.8
+    apart = spark.createDataFrame([(i, "a b c " * (50 if i else 1), "en" if i else "de", f"s{min(i, 1)}", 0, "x", 1) for i in range(20)], DOCS)
+    targets = spark.createDataFrame([("lang", "de", 0.9), ("source", "s0", 0.1)], "dimension string, value string, share double")
+    with pytest.raises(ValueError, match="off"):
+        mixing.mix(apart, targets=targets, strict=0.01)
+
+
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(7)
     rows = [(i, text(rng, int(rng.integers(5, 40))), "en" if i % 3 else "de", f"s{i % 4}", 0, "x", 1) for i in range(2000)]
