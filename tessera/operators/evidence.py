@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.ordinals import running
+from tessera.functions.shared import written
 
 #: A final report's names, and what in a name hints at evidence.
 FINAL_NAMES = ("最终报告", "final_report", "final-report", "final_answer", "final-answer")
@@ -99,7 +101,7 @@ def task_keys(qid: Column, id_: Column) -> Column:
     return F.array_distinct(F.filter(F.array(qid, digits(qid), id_, digits(id_)), lambda x: x.isNotNull() & (x != "")))
 
 
-#: Query tokens that are sent to the documents at most (some 20 MB); more meet the documents' in a join.
+#: Query tokens that are sent to the documents at a time (some 20 MB).
 MOST_SENT = 400_000
 
 
@@ -115,9 +117,11 @@ def _sent_hits(docs: DataFrame, queries: list, k: int) -> DataFrame:
     place = {t: i for i, t in enumerate(vocab)}
     pairs = np.array(sorted((place[t], q) for q, r in enumerate(queries) for t in r.ts), np.int64).reshape(-1, 2)
     start = np.searchsorted(pairs[:, 0], np.arange(len(vocab) + 1))
-    posting, size, known, n_queries = pairs[:, 1], np.diff(start), pa.array(vocab, pa.string()), len(queries)
+    n_queries = len(queries)
+    sent = docs.sparkSession.sparkContext.broadcast((names, start, pairs[:, 1], np.diff(start), pa.array(vocab, pa.string())))
 
     def run(batches):  # noqa: ANN001, ANN202
+        names, start, posting, size, known = sent.value
         best = [np.zeros(0, np.int64)] * 4  # query, count, length, document
         least = np.ones(n_queries, np.int64)
         for b in batches:
@@ -151,16 +155,23 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
     """(item_id, rank, doc_id, score): documents by the share of the query's tokens that they have, then longer, then
     first; fillers without a common token only where fewer than k have one. Documents and queries without an id don't count.
 
-    k is held to 1 to 5. The queries go to the documents while their tokens are few (their number is checked): a partition then
-    sends its k best of each query and nothing else. More tokens meet the documents' in an equi-join, where a query gathers
-    one row per document with a token of its. Fillers come from the k first documents, which every query could need."""
+    k is held to 1 to 5. The queries go to the documents, a block of MOST_SENT tokens at a time, and a partition sends its k best
+    of each query and nothing else; documents are cut into tokens once. No join on common words, whatever the number of queries.
+    Fillers come from the k first documents, which every query could need."""
     k = min(max(k, 1), 5)
     q = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), X.tokens(F.col("text")).alias("ts"))
     d = docs.select("doc_id", F.length("text").alias("n"), X.tokens(F.col("text")).alias("ts"))
-    if (q.agg(F.sum(F.size("ts"))).first()[0] or 0) <= MOST_SENT:
+    total = q.agg(F.sum(F.size("ts"))).first()[0] or 0
+    if total <= MOST_SENT:
         hits = _sent_hits(d, q.collect(), k)
     else:
-        hits = q.select("item_id", F.explode("ts").alias("t")).join(d.select("doc_id", "n", F.explode("ts").alias("t")), "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        d = written(d, "tokens")
+        by, _ = running(q.withColumn("m", F.size("ts")), ["item_id"], "m")
+        by = written(by.withColumn("block", F.floor((F.col("upto") - 1) / MOST_SENT)), "blocks")
+        hits = None
+        for block in range((total - 1) // MOST_SENT + 1):
+            one = written(_sent_hits(d, by.where(F.col("block") == block).select("item_id", "ts").collect(), k), "hits")
+            hits = one if hits is None else hits.unionAll(one)
     order = Window.partitionBy("item_id").orderBy(F.desc("c"), F.desc("n"), "doc_id")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     score = best.join(q.select("item_id", F.size("ts").alias("m")), "item_id").select("item_id", "doc_id", "n", F.bround(F.col("c") / F.col("m"), 6).alias("score"))

@@ -530,7 +530,7 @@ def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 GATES = f"""
 g AS (SELECT r.doc_id, list_sort(list_distinct(list_filter([
  CASE WHEN length(regexp_replace(report, '^\\s+|\\s+$', '', 'g')) < 100 OR regexp_matches(report, '(?i)traceback|exception|tool crashed|error executing') THEN 'empty_or_crashed' END,
- CASE WHEN (len(us) > 0 AND {BAD.format('us')} >= greatest(2, ceil(len(us) * 0.5))) OR (cites >= 40 AND mapping_count >= 6 AND integrity < 0.20) OR (cites >= 80 AND claim_coverage < 0.08) OR (mapping_count >= 8 AND orphan_ratio >= 0.60)
+ CASE WHEN (len(us) > 0 AND {BAD.format('us')} >= greatest(2, ceil(len(us) * 0.5))) OR len(list_filter(regexp_extract_all(report, '\\b(20[2-9][0-9]|21[0-9]{{2}})\\b'), lambda y: y::INT > {YEAR} + 1)) >= 3 OR (cites >= 40 AND mapping_count >= 6 AND integrity < 0.20) OR (cites >= 80 AND claim_coverage < 0.08) OR (mapping_count >= 8 AND orphan_ratio >= 0.60)
    OR (len(mapped) >= 4 AND len(list_intersect(mapped, evidence_urls)) / len(mapped) < 0.25) OR source = 'src1' THEN 'fabricated_source_data' END,
  CASE WHEN (lang = 'de' AND length(regexp_replace(report, '^\\s+|\\s+$', '', 'g')) > 1200) OR (lang = 'en' AND NOT regexp_matches(report, '(?m)^\\s*\\|.+\\|\\s*$')) THEN 'format_instruction_fail' END,
  CASE WHEN severe THEN 'repetition_collapse' END], lambda x: x IS NOT NULL))) AS gates

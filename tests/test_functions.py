@@ -128,6 +128,14 @@ def test_visual_admission_and_caps(spark):
     assert evidence.visual_top(df.withColumn("text", F.lit("a chart")), 2).count() == 2
 
 
+def test_retrieve_in_blocks_gives_the_same(spark, monkeypatch):
+    q, d = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("benchmark", "documents"))
+    plain = lambda x: sorted(map(tuple, x.collect()))
+    whole = plain(evidence.retrieve(q, d, 3))
+    monkeypatch.setattr(evidence, "MOST_SENT", 150)
+    assert whole and plain(evidence.retrieve(q, d, 3)) == whole
+
+
 def test_retrieve_fills_with_documents_without_a_common_token(spark):
     q = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     d = spark.createDataFrame([(1, "alpha"), (2, "other words here"), (3, "x")], "doc_id long, text string")

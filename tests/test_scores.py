@@ -207,3 +207,12 @@ def test_audit_summary(spark):
     assert tuple(audit.summary(x).first()) == (3, 0.55, 0.25, 0.9, 0.666667, 0.666667)
     assert [tuple(r) for r in audit.frequencies(x).collect()] == [("a", 2), ("b", 1)]
     assert tuple(audit.summary(x.limit(0)).first())[0] == 0
+
+
+def test_report_structure_by_hand(spark):
+    text = "# Tea\n## Table of Contents\n## 1. Leaves\n### 1.1 Green\n### Extra\n### Extra\n### Extra\n```\n## Not one\n```\n## Water\n### Hot\n### Cold\n### Ice\n## Reference\n"
+    r = spark.createDataFrame([(1, text, "Tea", "", 2), (2, None, None, None, 0), (3, "# Tea\n## Table of Contents\n", "Tea", "", 0)], "doc_id int, report string, title string, query string, references int")
+    o = spark.createDataFrame([(1, 1, "1. Leaves", ["1.1 Green"]), (1, 2, "Water", ["Hot", "Cold"]), (2, 1, None, None)], "doc_id int, sec int, title string, subsections array<string>")
+    got = {x.doc_id: tuple(x)[1:] for x in reports.structure_issues(r, o).collect()}
+    assert got[1] == (True, 12, 8, 4, ["extra x3"], ["leaves", "water"])  # Ice is unexpected, so Water is a problem too
+    assert got[2] == (False, 0, 3, 0, [], []) and got[3] == (False, 2, 2, 0, [], [])
