@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera import queries_records  # noqa: F401
+from tessera import queries_more, queries_records  # noqa: F401
 from tessera.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
