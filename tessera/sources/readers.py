@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.functions import text as X
+from tessera.functions.ordinals import running
 
 
 def _files(df: DataFrame) -> DataFrame:
@@ -61,6 +63,16 @@ def decoded(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8
     return b.select("path", decode(F.expr(f"substring(content, 1, {most})")).alias("d")).select("path", "d.text", "d.encoding")
 
 
+def task_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bool = True) -> DataFrame:
+    """(ord, task_id, name, path, text): files in ``task_*`` folders under a folder, anywhere below or right in them, by the
+    task's number, then name; a folder without a number comes last. A file of a nested task folder belongs to the innermost."""
+    x = decoded(spark, path, ("utf-8",), glob=glob)
+    inner = F.regexp_extract("path", r".*/task_([^/]*)/" + (".*" if recursive else "[^/]*$"), 1)
+    x = x.where(F.col("path").rlike(r"/task_[^/]*/" + ("" if recursive else "[^/]*$"))).withColumn("task_id", X.task_id(F.concat(F.lit("task_"), inner)))
+    x = x.withColumns({"num": F.coalesce(F.col("task_id").cast("long"), F.lit(10**9)), "name": F.element_at(F.split("path", "/"), -1)})
+    return running(x, ["num", "name", "path"], name="ord")[0].select("ord", "task_id", "name", "path", "text")
+
+
 def json_any(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, value): records of JSON files that hold an array, {data|tasks|items: [...]}, one object or lines."""
     w = _files(spark.read.text(path, wholetext=True)).withColumn("v", F.try_parse_json("value"))

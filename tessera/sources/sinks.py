@@ -63,7 +63,7 @@ def scrubbed(values: pd.Series) -> pd.Series:
 
 
 def typed(df: DataFrame, path: str, kind: str) -> None:
-    """K7: txt, md and html (one text column), csv, json."""
+    """K7: txt, md and html (one text column), csv, json, yaml (a list of flow mappings: each row's JSON)."""
     w = df.write.mode("overwrite")
     if kind in ("txt", "md", "html"):
         w.text(path)
@@ -71,5 +71,7 @@ def typed(df: DataFrame, path: str, kind: str) -> None:
         w.option("header", True).csv(path)
     elif kind == "json":
         w.json(path)
+    elif kind == "yaml":
+        df.select(F.concat(F.lit("- "), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"no writer for {kind}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ordinals, prose
 from tessera.operators import audit, claims, mix, toolcalls, traces
 from tessera.plans import contract
-from tessera.sources import readers
+from tessera.sources import readers, sinks
 from tessera.streaming import cache, events, fold, watch
 
 # --- claims ---
@@ -368,3 +368,18 @@ def test_fold_counts_rows_of_one_place(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 1, 3), ("b", 1, 5), (None, 1, 7)], "k string, seq long, v long")
     add = lambda s, e: (s.__setitem__("n", s["n"] + e["v"]) or s["n"],)
     assert sorted(r.n for r in fold.folded(df, "k", "seq", {"n": 0}, add, "n long").collect())[-2:] == [5, 5]
+
+
+def test_files_of_task_folders(spark, tmp_path):
+    for name in ("task_10/b.md", "task_10/a.md", "task_9/sub/z.md", "task_x/q.md", "other/n.md", "task_9/skip.txt", "task_2/task_3/in.md"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(name)
+    got = [(r.task_id, r.name, r.text) for r in readers.task_files(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == [("3", "in.md", "task_2/task_3/in.md"), ("9", "z.md", "task_9/sub/z.md"), ("10", "a.md", "task_10/a.md"), ("10", "b.md", "task_10/b.md"), (None, "q.md", "task_x/q.md")]
+    assert [r.name for r in readers.task_files(spark, str(tmp_path), recursive=False).orderBy("ord").collect()] == ["in.md", "a.md", "b.md", "q.md"]
+
+
+def test_rows_as_yaml(spark, tmp_path):
+    sinks.typed(spark.createDataFrame([("a: b\n", None)], "x string, n int").coalesce(1), str(tmp_path / "y"), "yaml")
+    assert [r.value for r in spark.read.text(str(tmp_path / "y")).collect()] == ['- {"x":"a: b\\n","n":null}']
