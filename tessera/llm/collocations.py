@@ -236,7 +236,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
         x = x.unionAll(y)
     x = x.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
-    return x.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return x.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = r"""
@@ -253,6 +253,6 @@ s AS (SELECT g.lang, g.k, g.a, unnest(range(2, g.k)) AS m, g.ws FROM g WHERE k >
 q AS (SELECT lang, a, m, ws, unnest(range(1, k - m + 2)) AS i FROM s),
 h AS (SELECT lang, ws[i:i + m - 1] AS ws, max(a) AS held FROM q GROUP BY ALL),
 f AS (SELECT b.*, array_to_string(b.ws, ' ') AS phrase FROM b LEFT JOIN h ON h.lang = b.lang AND h.ws = b.ws WHERE best = 1 AND (h.held IS NULL OR 100::HUGEINT * h.held < 80::HUGEINT * b.a))
-SELECT f.lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score
+SELECT f.lang, rank, phrase, a, l, r, n, score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM f) f JOIN n ON n.lang = f.lang WHERE rank <= 2000
 """
