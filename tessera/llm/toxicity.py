@@ -148,7 +148,7 @@ def _descend(doc: np.ndarray, f: np.ndarray, y: np.ndarray, texts: float, rounds
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Ordinal | None:
     """The model, from about ``sample`` labelled documents, those with the smallest hashed ids; None if labels are of one kind."""
     lab = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("x"), F.min("quality").alias("g"))
     chosen = sampled(lab, F.col("doc_id"), sample)
@@ -232,6 +232,6 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     return _scored(docs, model).select(*own, F.col("severity__.s").alias("expected_severity"), F.col("severity__.g").alias("grade"), F.col("rejected__").alias("rejected"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> DataFrame:
     """The pipeline's form: documents that are not rejected, as they were."""
     return _scored(docs, train(docs, labels, sample)).where("not rejected__").select(*docs.columns)
