@@ -11,9 +11,10 @@ TOLERANCE of itself over ROUNDS rounds (MOST times at most); ``unmet`` tells how
 which is what the caps leave over. Cells are joined to documents by a shuffle unless they are few; the cells of most
 documents are broadcast, fewer than 256 whatever the input.
 
-Targets: ``targets`` (dimension, value, share), or each value's token share to the power ``flatten``, made to sum to 1. The
-budget is ``keep`` of all tokens, or less if a value has too few tokens for its share of that: FULL of the most that all values
-can bear, so that the targets can be met without taking a document twice. ``strict`` raises where a share still is further off.
+Targets: each value's token share to the power ``flatten``, but no more than FULL of what the value has against a budget of
+``keep`` of all tokens, the others sharing the rest in proportion; so they can be met without taking a document twice. Or
+``targets`` (dimension, value, share), taken as they are: then the budget shrinks to FULL of the most that all values can bear.
+``strict`` raises where a share still is further off.
 
 Defined results: null source, language or topic is the value ''; null or empty text has no tokens and probability 1 (it
 takes nothing from the budget); null ids share one draw; repeated rows are all kept or all dropped; no documents: no rows;
@@ -49,11 +50,19 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":" + seed))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def shares(cells: DataFrame, dim: str, flatten: float, targets: DataFrame | None) -> DataFrame:
+def shares(cells: DataFrame, dim: str, flatten: float, targets: DataFrame | None, keep: float = KEEP) -> DataFrame:
     """(value, share) of a dimension. Values without a target keep their share of what the targets leave."""
     own = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").cast("double").alias("tokens"))
     every = Window.partitionBy()
-    if targets is None:
+    if targets is None and keep < FULL:
+        # values are filled up in order of how little they can bear: those before the first that gets its full part are at their limit
+        x = own.withColumns({"a": F.pow("tokens", F.lit(flatten)), "c": FULL / keep * F.col("tokens") / F.sum("tokens").over(every)}).withColumn("bears", F.col("c") / F.col("a"))
+        order = Window.orderBy("bears", "value")  # a row a value
+        taken = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        x = x.withColumn("part", (1 - taken) / F.sum("a").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        x = x.withColumn("part", F.min(F.when(F.col("part") <= F.col("bears"), F.struct("bears", "value", "part"))).over(every)["part"])
+        x = x.withColumn("share", F.least(F.col("part") * F.col("a"), F.col("c")))
+    elif targets is None:
         x = own.withColumn("share", F.pow("tokens", F.lit(flatten)))
     else:
         t = targets.where(F.col("dimension") == dim).select("value", F.col("share").cast("double").alias("share"))
@@ -71,7 +80,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, keep:
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
     x = x.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total"))  # one row
     for d in DIMS:
-        x = x.join(shares(cells, d, flatten, targets).select(F.col("value").alias(d), F.col("share").alias(f"t_{d}")), d)
+        x = x.join(shares(cells, d, flatten, targets, keep).select(F.col("value").alias(d), F.col("share").alias(f"t_{d}")), d)
     x = written(x, "shares")
     borne = [x.groupBy(d).agg((F.sum("w") / F.first(f"t_{d}")).alias("k"), F.first(f"t_{d}").alias("t")).where("t > 0").select("k") for d in DIMS]
     most = borne[0].union(borne[1]).union(borne[2]).agg(F.least(F.lit(float(keep)), FULL * F.min("k")).alias("keep__"))
@@ -146,7 +155,9 @@ def oracle(source: str = "documents") -> str:
     out = [f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE 'prose' END AS topic,
       coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens FROM {source})""", "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL)"]
     for k in DIMS:
-        out.append(f"t_{k} AS (SELECT {k}, s / sum(s) OVER () AS t_{k} FROM (SELECT {k}, pow(sum(tokens), {FLATTEN}) AS s FROM cells GROUP BY {k}))")
+        out.append(f"""t_{k} AS (SELECT {k}, least(part * a, c) AS t_{k} FROM (SELECT *, max(CASE WHEN i = first THEN l END) OVER () AS part FROM (SELECT *, min(CASE WHEN l <= c / a THEN i END) OVER () AS first
+      FROM (SELECT *, row_number() OVER (ORDER BY c / a, {k}) AS i, (1 - coalesce(sum(c) OVER (ORDER BY c / a, {k} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(a) OVER (ORDER BY c / a, {k} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l
+      FROM (SELECT {k}, pow(sum(tokens), {FLATTEN}) AS a, {FULL / KEEP} * sum(tokens) / sum(sum(tokens)) OVER () AS c FROM cells GROUP BY {k})))))""")
     borne = " UNION ALL ".join(f"SELECT sum(tokens) / any_value(total) / any_value(t_{k}) AS k FROM a GROUP BY {k}" for k in DIMS)
     out.append(f"""a AS (SELECT *, sum(tokens) OVER () AS total FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
     b AS (SELECT least({KEEP}, {FULL} * min(k)) AS keep FROM ({borne}))""")
