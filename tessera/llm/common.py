@@ -40,14 +40,19 @@ def sent(spark: SparkSession, thing: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(data.value)
 
 
+def trim() -> None:
+    """Gives free memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that gives back free memory at its end: workers live on, and what they hold adds up."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
-            trim.malloc_trim(0)
+        trim()
 
     return one
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE, bytes_of, lean, mix, powers, sampled, sent, slices, small_batches, words_of, written
+from tessera.llm.common import BYTE, bytes_of, lean, mix, powers, sampled, sent, slices, small_batches, trim, words_of, written
 
 BITS = 20
 LEAST = -0.1
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Ordinal |
     y = y[order]
     f = lists.flatten().to_numpy()
     doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    del t, lists
+    del t
     y = np.unique(y, return_inverse=True)[1]  # grades without examples close up
     p = np.zeros(len(y))
     for k in range(FOLDS):
@@ -203,6 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Ordinal |
     best = np.flatnonzero(np.array(cost) == min(cost))
     m = fit(doc, f, y)
     m.cut = float(tries[best[len(best) // 2]])
+    del doc, f, lists
+    trim()
     return m
 
 
