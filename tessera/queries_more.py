@@ -79,11 +79,11 @@ fs AS (SELECT DISTINCT doc_id, s, n, p, m, CASE WHEN pk % 3 = 0 THEN 'supported'
   UNION ALL SELECT DISTINCT doc_id, '', 0, '', '', 'unverified' FROM l WHERE k = 4),
 a AS (SELECT doc_id, outcome FROM o UNION ALL SELECT doc_id, outcome FROM fs),
 n AS (SELECT doc_id, count(*) AS total, {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in claims.OUTCOMES)} FROM a GROUP BY doc_id)
-SELECT doc_id, round_even((doc_id % 10) / 10.0 + (supported * (1 - (doc_id % 10) / 10.0) - (contradicted + wrong_source) * ((doc_id % 10) / 10.0) + 0.25 * lexical_match * (1 - (doc_id % 10) / 10.0)) / total, 6) AS combined, supported + contradicted + wrong_source AS decided, * EXCLUDE (doc_id) FROM n""")
+SELECT doc_id, round_even((doc_id % 10) / 10.0 + (supported * (1 - (doc_id % 10) / 10.0) - (contradicted + wrong_source) * ((doc_id % 10) / 10.0) + 0.25 * lexical_match * (1 - (doc_id % 10) / 10.0)) / total, 6) + 0.0 AS combined, supported + contradicted + wrong_source AS decided, * EXCLUDE (doc_id) FROM n""")
 def combined_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sources say of every order's report."""
     out = claims.combined_evidence(*claim_reports(spark, sf_dir))
-    return out.withColumn("combined", F.bround("combined", 6))
+    return out.withColumn("combined", F.bround("combined", 6) + F.lit(0.0))  # no negative zero
 
 
 # --- plan contracts -----------------------------------------------------------------------------------------------
