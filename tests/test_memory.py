@@ -383,3 +383,10 @@ def test_files_of_task_folders(spark, tmp_path):
 def test_rows_as_yaml(spark, tmp_path):
     sinks.typed(spark.createDataFrame([("a: b\n", None)], "x string, n int").coalesce(1), str(tmp_path / "y"), "yaml")
     assert [r.value for r in spark.read.text(str(tmp_path / "y")).collect()] == ['- {"x":"a: b\\n","n":null}']
+
+
+def test_claims_meet_their_evidence_without_broadcasts(spark):
+    evidence = spark.createDataFrame([(1, "https://a.test/p", 'Part 7: size = "3"', True, None)], "doc_id long, url string, text string, complete boolean, facts array<struct<subject: string, field: string, value: string, exclusive: boolean>>")
+    out = claims.combined_evidence(spark.createDataFrame([(1, 'Part 7: size = "3" [1]\n[1] : https://a.test/p', 0.0)], "doc_id long, report string, base double"), evidence)
+    assert [(r.supported, r.total) for r in out.collect()] == [(1, 1)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
