@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tessera.streaming.fold import Step, folded, folded_stream
+from tessera.streaming.fold import FoldedStream, Step, folded, folded_stream
 
 TTL, SIZE = 600, 100
 OUTCOME = "hit boolean, expired int, evicted string, held int"
@@ -38,5 +38,5 @@ def replayed(requests: DataFrame, key: str, ttl: float = TTL, size: int = SIZE)
     return folded(requests, key, "seq", START, cache_step(ttl, size), OUTCOME)
 
 
-def replayed_stream(requests: DataFrame, key: str, ttl: float = TTL, size: int = SIZE) -> DataFrame:
+def replayed_stream(requests: DataFrame, key: str, ttl: float = TTL, size: int = SIZE) -> FoldedStream:
     return folded_stream(requests, key, "seq", START, cache_step(ttl, size), OUTCOME)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.streaming.fold import FoldedStream
+
 
 def changed(events: DataFrame, key: str, order: list[str], *payload: str) -> DataFrame:
     """Events whose payload differs from the one before of the same key (A, B, A all stay)."""
@@ -57,8 +59,10 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hour
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame | FoldedStream, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is into a Parquet sink with its own checkpoint (exactly once), and read it."""
+    if isinstance(stream, FoldedStream):
+        return stream.run(path)
     q = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")

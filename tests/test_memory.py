@@ -390,3 +390,18 @@ def test_claims_meet_their_evidence_without_broadcasts(spark):
     out = claims.combined_evidence(spark.createDataFrame([(1, 'Part 7: size = "3" [1]\n[1] : https://a.test/p', 0.0)], "doc_id long, report string, base double"), evidence)
     assert [(r.supported, r.total) for r in out.collect()] == [(1, 1)]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_of_a_stream_wait_in_files(spark, tmp_path):
+    """Three files that each hold every third event: what waits is rows, not state, and comes once."""
+    log = [(k, n, f"e{n % 7}", float(n)) for k in range(40) for n in range(1, 10)]
+    df = spark.createDataFrame(log, "k long, seq long, entry string, at double")
+    for part in (2, 0, 1):
+        x = df.where(F.col("seq") % 3 == part)
+        x.union(x.where("k = 3")).union(spark.createDataFrame([(None, 1, "x", 0.0)], df.schema)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # some twice, one without key
+        make = lambda: cache.replayed_stream(events.stream_of(spark, str(tmp_path / "in"), "*.parquet", df.schema), "k", 600, 4)
+        out = events.run_to_end(make(), str(tmp_path / "out"))
+        assert out.count() == (360 if part == 1 else 0)
+        if part == 0:
+            assert spark.read.parquet(str(tmp_path / "out/arrived/batch__=1")).where("not ready__").count() == 240
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, cache.replayed(df, "k", 600, 4).collect()))
