@@ -405,3 +405,10 @@ def test_events_of_a_stream_wait_in_files(spark, tmp_path):
         if part == 0:
             assert spark.read.parquet(str(tmp_path / "out/arrived/batch__=1")).where("not ready__").count() == 240
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, cache.replayed(df, "k", 600, 4).collect()))
+
+
+def test_waiting_events_leave_no_trace_in_the_state(spark, tmp_path):
+    df = spark.createDataFrame([(1, n, f"e{n}", float(n)) for n in range(2, 2000)], "k long, seq long, entry string, at double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert events.run_to_end(cache.replayed_stream(events.stream_of(spark, str(tmp_path / "in"), "*.parquet", df.schema), "k", 600, 4), str(tmp_path / "out")).count() == 0
+    assert not list(tmp_path.glob("out/data/*/kept__=true/*")) and spark.read.parquet(str(tmp_path / "out/arrived")).count() == 1998
