@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import queries
 from tessera.functions import prose
+from tessera.functions import text as X
 from tessera.operators import audit, claims, reports
 
 SF, YEAR = "/root/testdata/sf0.001", 2025
@@ -216,3 +217,12 @@ def test_report_structure_by_hand(spark):
     got = {x.doc_id: tuple(x)[1:] for x in reports.structure_issues(r, o).collect()}
     assert got[1] == (True, 12, 8, 4, ["extra x3"], ["leaves", "water"])  # Ice is unexpected, so Water is a problem too
     assert got[2] == (False, 0, 3, 0, [], []) and got[3] == (False, 2, 2, 0, [], [])
+
+
+def test_few_rows_are_read_by_many_tasks(spark):
+    r = spark.range(40).selectExpr("id AS doc_id", "concat('Report ', id, '. Uncertain image, see Figure 1 and the ratio. [1]') AS report")
+    parts = reports.citations(r.join(r.select("doc_id"), "doc_id")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 2 * spark.sparkContext.defaultParallelism
+    for p in (p for k, p in reports.PATTERNS.items() if k.startswith("count_")):
+        t = spark.createDataFrame([("Image FIGURE fig. x visible Chart 图像 uncertain = Percent per  CENT Ratio hypothesis 假设 no source exception " + k,) for k in ("", "İmage ſource", "LEGEND\nUnit")], "t string")
+        assert t.where(X.count(F.col("t"), p) != F.regexp_count("t", F.lit(p))).count() == 0
