@@ -143,12 +143,13 @@ def claim_outcomes(claims: DataFrame, facts: DataFrame) -> DataFrame:
     yes = own & ((same & F.col("polarity")) | (~same & F.col("exclusive") & ~F.col("polarity")))
     no = own & ((same & ~F.col("polarity")) | (~same & F.col("exclusive") & F.col("polarity")))
     flag = lambda x, n: F.coalesce(F.max(x), F.lit(False)).alias(n)
-    met = c.join(f, ["s", "f"], "left").groupBy("claim_id", "cited").agg(flag(F.col("source").isNotNull(), "field"), flag(own, "relevant"), flag(yes, "yes"), flag(no, "no"))
-    known = facts.select("source").distinct()
-    listed = claims.select("claim_id", F.explode("cited").alias("source")).join(known, "source", "left_semi").select("claim_id").distinct().withColumn("indexed", F.lit(True))
-    out = F.when(F.size("cited") == 0, "no_citation").when(~F.col("relevant") & F.col("indexed").isNull(), "source_not_indexed").when(~F.col("relevant") & F.col("field"), "wrong_source")
+    met = c.join(f, ["s", "f"], "left").select("claim_id", "cited", F.col("source").isNotNull().alias("field"), own.alias("relevant"), yes.alias("yes"), no.alias("no"), F.lit(False).alias("indexed"))
+    known, none = facts.select("source").distinct(), F.lit(None).cast("boolean")
+    listed = c.select("claim_id", "cited", F.explode("cited").alias("source")).join(known, "source", "left_semi").select("claim_id", "cited", none, none, none, none, F.lit(True))
+    met = met.unionAll(listed).groupBy("claim_id", "cited").agg(*[flag(F.col(n), n) for n in ("field", "relevant", "yes", "no", "indexed")])
+    out = F.when(F.size("cited") == 0, "no_citation").when(~F.col("relevant") & ~F.col("indexed"), "source_not_indexed").when(~F.col("relevant") & F.col("field"), "wrong_source")
     out = out.when(F.col("yes") & F.col("no"), "conflicting_evidence").when(F.col("no"), "contradicted").when(F.col("yes"), "supported").otherwise("insufficient_evidence")
-    return met.join(listed, "claim_id", "left").select("claim_id", out.alias("outcome"))
+    return met.select("claim_id", out.alias("outcome"))
 
 
 def chart_frame(items: DataFrame, by_date: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import queries
 from tessera.functions import prose
 from tessera.functions import text as X
-from tessera.operators import audit, claims, reports
+from tessera.operators import audit, claims, records, reports
 
 SF, YEAR = "/root/testdata/sf0.001", 2025
 URL = r"(?i)https?://[^\s)\]}>\"'。，；：！？]+"
@@ -226,3 +226,9 @@ def test_few_rows_are_read_by_many_tasks(spark):
     for p in (p for k, p in reports.PATTERNS.items() if k.startswith("count_")):
         t = spark.createDataFrame([("Image FIGURE fig. x visible Chart 图像 uncertain = Percent per  CENT Ratio hypothesis 假设 no source exception " + k,) for k in ("", "İmage ſource", "LEGEND\nUnit")], "t string")
         assert t.where(X.count(F.col("t"), p) != F.regexp_count("t", F.lit(p))).count() == 0
+
+
+def test_whether_a_source_is_known_is_asked_for_each_list_of_citations(spark):
+    cl = spark.createDataFrame([(1, "p", "size", "3", ["nobody"], True), (1, "p", "size", "3", ["b"], True)], "claim_id long, subject string, field string, value string, cited array<string>, polarity boolean")
+    facts = spark.createDataFrame([("b", "q", "size", "3", False)], "source string, subject string, field string, value string, exclusive boolean")
+    assert sorted(r.outcome for r in records.claim_outcomes(cl, facts).collect()) == ["insufficient_evidence", "source_not_indexed"]
