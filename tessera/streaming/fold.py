@@ -9,8 +9,8 @@ not matter and what waits is never in memory: ``order`` counts a key's events fr
 
 from __future__ import annotations
 
-import copy
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from tessera.functions import arrow  # noqa: F401 (functions go to executors by value)
+from tessera.functions.arrow import dicts
+from tessera.functions.shared import tasks
 
 Step = Callable[[dict, dict], tuple]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # for processors with state
@@ -31,27 +32,27 @@ def folded(events: DataFrame, key: str, order: str, start: dict, step: Step, ddl
     head = [key, order]
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in head)
     out = f"{kinds}, {ddl}"
-    schema = to_arrow_schema(StructType.fromDDL(out))
+    schema, fresh = to_arrow_schema(StructType.fromDDL(out)), pickle.dumps(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), {}
         for b in batches:
             rows = []
-            for e in (e for i in range(0, b.num_rows, 256) for e in b.slice(i, 256).to_pylist()):
+            for e in dicts(b):
                 if e[key] != last:
-                    last, state = e[key], copy.deepcopy(start)
+                    last, state = e[key], pickle.loads(fresh)
                 rows.append((e[key], e[order], *step(state, e)))
             cols = zip(*rows, strict=True) if rows else [()] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return events.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, out)
+    return events.where(F.col(key).isNotNull()).repartition(tasks(events.sparkSession), key).sortWithinPartitions(key, order).mapInArrow(run, out)
 
 
 def resumed(events: DataFrame, states: DataFrame, key: str, order: str, start: dict, step: Step, schema: StructType) -> DataFrame:
     """``folded`` from where ``states`` (key, order, held__: JSON) ended. ``schema``: key, order and outputs. A key's last row is
     its new state: the order that comes next, the JSON in held__, no outputs; of other rows held__ is null."""
     whole = StructType([*schema.fields, StructField("held__", StringType())])
-    arrow_schema, blank = to_arrow_schema(whole), (None,) * (len(schema) - 2)
+    arrow_schema, blank, fresh = to_arrow_schema(whole), (None,) * (len(schema) - 2), pickle.dumps(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -62,12 +63,12 @@ def resumed(events: DataFrame, states: DataFrame, key: str, order: str, start: d
         then = 1
         for b in batches:
             rows = []
-            for e in (e for i in range(0, b.num_rows, 256) for e in b.slice(i, 256).to_pylist()):
+            for e in dicts(b):
                 if e[key] != last:
                     if last is not None:
                         rows.append((last, then, *blank, json.dumps(state)))
                     last, then = e[key], 1
-                    state = copy.deepcopy(start) if e["held__"] is None else json.loads(e["held__"])
+                    state = pickle.loads(fresh) if e["held__"] is None else json.loads(e["held__"])
                 if e["held__"] is None:
                     rows.append((last, e[order], *step(state, e), None))
                     then = e[order] + 1
@@ -78,7 +79,7 @@ def resumed(events: DataFrame, states: DataFrame, key: str, order: str, start: d
             yield out([(last, then, *blank, json.dumps(state))])
 
     x = events.withColumn("held__", F.lit(None).cast("string")).unionByName(states, allowMissingColumns=True)
-    return x.repartition(key).sortWithinPartitions(key, F.col("held__").isNull(), order).mapInArrow(run, whole)
+    return x.repartition(tasks(x.sparkSession), key).sortWithinPartitions(key, F.col("held__").isNull(), order).mapInArrow(run, whole)
 
 
 @dataclass

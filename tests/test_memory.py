@@ -5,10 +5,11 @@ import random
 import time
 from collections import Counter, OrderedDict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import ordinals, prose
+from tessera.functions import arrow, ordinals, prose
 from tessera.operators import audit, claims, mix, toolcalls, traces
 from tessera.plans import contract
 from tessera.sources import readers, sinks
@@ -421,3 +422,35 @@ def test_claims_alone_are_the_same_and_read_by_many_tasks(spark):
     keep = ("doc_id", "s", "f", "v", "polarity", "sources")
     assert sorted(map(tuple, got.select(*keep).collect())) == sorted(map(tuple, claims.report_claims(df).where("s is not null").select(*keep).collect()))
     assert got.count() == 80 and got.select(F.spark_partition_id()).distinct().count() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_columns_become_python_values_as_arrow_gives_them():
+    rng = random.Random(3)
+    some = lambda make: [None if rng.random() < 0.3 else make() for _ in range(500)]
+    few = lambda make: lambda: [make() for _ in range(rng.randrange(4))]
+    maybe = lambda: rng.choice([None, -1, 2**40])
+    cols = {
+        "long": pa.array(some(maybe), pa.int64()),
+        "int": pa.array(range(500), pa.int32()),
+        "double": pa.array(some(rng.random), pa.float64()),
+        "text": pa.array(some(lambda: rng.choice(["", "é", "NaN"]))),
+        "yes": pa.array(some(lambda: rng.random() < 0.5)),
+        "none": pa.nulls(500, pa.list_(pa.string())),
+        "texts": pa.array(some(few(lambda: rng.choice(["a", None]))), pa.list_(pa.string())),
+        "deep": pa.array(some(few(few(maybe))), pa.list_(pa.list_(pa.int64()))),
+        "map": pa.array(some(lambda: [(k, few(maybe)()) for k in range(rng.randrange(3))]), pa.map_(pa.int32(), pa.list_(pa.int64()))),
+        "at": pa.array(some(lambda: rng.randrange(10**15)), pa.timestamp("us", "UTC")),
+        "struct": pa.array(some(lambda: {"a": maybe()}), pa.struct([("a", pa.int64())])),
+    }
+    b = pa.record_batch(cols)
+    for part in (b, b.slice(17, 300), b.slice(499), b.slice(0, 0)):
+        want = part.to_pylist()
+        assert list(arrow.dicts(part)) == list(arrow.dicts(part, 100)) == want
+        assert [[type(v) for v in r.values()] for r in arrow.dicts(part)] == [[type(v) for v in r.values()] for r in want]
+
+
+def test_a_fold_in_batch_is_spread_over_four_tasks_a_core(spark):
+    df = spark.range(4000).selectExpr("id % 500 AS k", "id AS seq", "id % 7 AS v").coalesce(1)
+    out = fold.folded(df, "k", "seq", {"n": 0}, lambda s, e: (s.__setitem__("n", s["n"] + e["v"]) or s["n"],), "n long")
+    assert out.select(F.spark_partition_id()).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
+    assert out.groupBy("k").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == sum(i % 7 for i in range(4000))
