@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import tasks
+
 
 def zero_based(deps: DataFrame, steps: DataFrame) -> DataFrame:
     """M8: dependencies that count from 1 (none names 0, and the greatest is the number of steps) count from 0 afterwards."""
@@ -14,10 +16,13 @@ def zero_based(deps: DataFrame, steps: DataFrame) -> DataFrame:
     return deps.join(by, "plan_id").select("plan_id", (F.col("idx") - F.col("shift")).alias("idx"), (F.col("dep") - F.col("shift")).alias("dep"))
 
 
-def ready(steps: DataFrame, deps: DataFrame) -> DataFrame:
-    """(plan_id, idx): steps not started whose dependencies are all completed; one out of range never is."""
-    d = deps.join(steps.select("plan_id", F.col("idx").alias("dep"), "status"), ["plan_id", "dep"], "left")
-    ok = d.groupBy("plan_id", "idx").agg(F.every(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("ok"))
+def ready(steps: DataFrame, deps: DataFrame, parts: int | None = None) -> DataFrame:
+    """(plan_id, idx): steps not started whose dependencies are all completed; one out of range never is. Rows meet in
+    ``parts`` tasks; steps that are dealt out by (plan_id, idx) to as many stay where they are."""
+    n = parts or tasks(steps.sparkSession)
+    own = steps.select("plan_id", F.col("idx").alias("dep"), "status")
+    d = deps.repartition(n, "plan_id", "dep").join(own, ["plan_id", "dep"], "left").select("plan_id", "idx", "status")
+    ok = d.repartition(n, "plan_id", "idx").groupBy("plan_id", "idx").agg(F.every(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("ok"))
     return steps.where("status = 'not_started'").join(ok, ["plan_id", "idx"], "left").where(F.coalesce("ok", F.lit(True))).select("plan_id", "idx")
 
 

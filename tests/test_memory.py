@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.functions import arrow, ordinals, prose
 from tessera.operators import audit, claims, mix, toolcalls, traces
-from tessera.plans import contract
+from tessera.plans import contract, dag
 from tessera.sources import readers, sinks
 from tessera.streaming import cache, events, fold, watch
 
@@ -454,3 +455,22 @@ def test_a_fold_in_batch_is_spread_over_four_tasks_a_core(spark):
     out = fold.folded(df, "k", "seq", {"n": 0}, lambda s, e: (s.__setitem__("n", s["n"] + e["v"]) or s["n"],), "n long")
     assert out.select(F.spark_partition_id()).distinct().count() >= 3 * spark.sparkContext.defaultParallelism
     assert out.groupBy("k").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == sum(i % 7 for i in range(4000))
+
+
+def test_steps_of_plans_meet_in_a_given_number_of_tasks(spark):
+    rng = random.Random(8)
+    states = {(p, i): rng.choice(["completed", "not_started", "blocked"]) for p in range(60) for i in range(6)}
+    deps = {(p, i, rng.randrange(8)) for p, i in states for _ in range(rng.randrange(3))}
+    want = sorted(k for k, s in states.items() if s == "not_started" and all(states.get((p, d)) == "completed" for p, i, d in deps if (p, i) == k))
+    s = spark.createDataFrame([(*k, v) for k, v in states.items()], "plan_id long, idx int, status string")
+    d = spark.createDataFrame(list(deps), "plan_id long, idx int, dep int")
+    for n in (1, 7, None):
+        assert sorted(map(tuple, dag.ready(s, d, n).collect())) == want
+    assert dag.ready(s.repartition(7, "plan_id", "idx"), d, 7).rdd.getNumPartitions() == 7
+
+
+def test_lines_are_shuffled_before_their_least_is_sought(spark):
+    steps = queries.steps_of(spark, "/root/testdata/sf0.001")[0]
+    assert steps.rdd.getNumPartitions() == queries.plan_tasks(spark, "/root/testdata/sf0.001") == 2 * spark.sparkContext.defaultParallelism
+    plan = steps._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
