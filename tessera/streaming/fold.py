@@ -21,14 +21,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from tessera.functions.arrow import dicts
-from tessera.functions.shared import tasks
 
 Step = Callable[[dict, dict], tuple]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # for processors with state
 
 
-def folded(events: DataFrame, key: str, order: str, start: dict, step: Step, ddl: str) -> DataFrame:
-    """(key, order, and ``ddl``'s columns) of every event. Rows of a key and order beyond the first count as further events."""
+def folded(events: DataFrame, key: str, order: str, start: dict, step: Step, ddl: str, parts: int | None = None) -> DataFrame:
+    """(key, order, and ``ddl``'s columns) of every event. Rows of a key and order beyond the first count as further events.
+    ``parts``: tasks, where there are many keys and steps are slow; else Spark chooses by size."""
     head = [key, order]
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in head)
     out = f"{kinds}, {ddl}"
@@ -45,7 +45,8 @@ def folded(events: DataFrame, key: str, order: str, start: dict, step: Step, ddl
             cols = zip(*rows, strict=True) if rows else [()] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return events.where(F.col(key).isNotNull()).repartition(tasks(events.sparkSession), key).sortWithinPartitions(key, order).mapInArrow(run, out)
+    dealt = events.where(F.col(key).isNotNull()).repartition(*([parts] if parts else []), key)
+    return dealt.sortWithinPartitions(key, order).mapInArrow(run, out)
 
 
 def resumed(events: DataFrame, states: DataFrame, key: str, order: str, start: dict, step: Step, schema: StructType) -> DataFrame:
@@ -79,7 +80,7 @@ def resumed(events: DataFrame, states: DataFrame, key: str, order: str, start: d
             yield out([(last, then, *blank, json.dumps(state))])
 
     x = events.withColumn("held__", F.lit(None).cast("string")).unionByName(states, allowMissingColumns=True)
-    return x.repartition(tasks(x.sparkSession), key).sortWithinPartitions(key, F.col("held__").isNull(), order).mapInArrow(run, whole)
+    return x.repartition(key).sortWithinPartitions(key, F.col("held__").isNull(), order).mapInArrow(run, whole)
 
 
 @dataclass
